@@ -17,5 +17,84 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
-ORACLES: dict[str, str] = {}
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placelink.llm import warc
+
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placelink.llm import pii
+
+    return pii.report(_read(spark, sf_dir, "documents"))
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placelink.llm import mixing
+
+    return mixing.summary(_read(spark, sf_dir, "documents"))
+
+
+def op9_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    from placelink.llm import packing
+
+    return packing.round_trip(_read(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"))
+
+
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op3_warc": op3_warc,
+    "op5_pii": op5_pii,
+    "op8_source_mix": op8_source_mix,
+    "op9_bit_packing": op9_bit_packing,
+}
+
+_OP3 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT payload_digest AS digest, min(page_id) AS first_id, count(*) AS c FROM p WHERE payload_bytes >= 100 GROUP BY 1
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN c > 1 AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN c > 1 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f ON payload_digest = digest
+"""
+
+_OP8 = """
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), s AS (
+  SELECT source, sum(size) AS source_size,
+         CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w
+  FROM d GROUP BY source
+), r AS (
+  SELECT *, sum(source_size) OVER () AS total, 3 * source_size AS room,
+         coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room_before,
+         sum(w) OVER (ORDER BY 3 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_after
+  FROM s
+), l AS (
+  SELECT *, (total - room_before) / weight_after AS level, room / w < (total - room_before) / weight_after AS is_full FROM r
+), t AS (
+  SELECT source, CAST(source_size AS BIGINT) AS source_size,
+         CASE WHEN is_full THEN CAST(room AS DOUBLE)
+              ELSE (SELECT arg_min(level, room / w) FROM l WHERE NOT is_full) * w END AS target
+  FROM l
+), c AS (
+  SELECT doc_id, size, source_size, target,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 1 END AS whole
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), x AS (
+  SELECT *, least(whole + CASE WHEN before + size / 2 <= target - whole * source_size THEN 1 ELSE 0 END, 3) AS times FROM c
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * times AS BIGINT) AS taken,
+       CASE WHEN times > 0 AND target > 0 THEN round(least(1.0::DOUBLE, (before + size / 2) / target), 9) END AS position
+FROM x
+"""
+
+ORACLES: dict[str, str] = {"op3_warc": _OP3, "op8_source_mix": _OP8}
