@@ -43,10 +43,24 @@ def op9_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.round_trip(_read(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placelink.llm import near_dup
+
+    return near_dup.report(_read(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placelink.llm import line_dedup
+
+    return line_dedup.report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_warc": op3_warc,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_pii": op5_pii,
+    "op7_line_dedup": op7_line_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_bit_packing": op9_bit_packing,
 }
@@ -63,6 +77,26 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p LEFT JOIN f ON payload_digest = digest
 """
 
+_OP7 = """
+WITH l AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents
+), bad AS (
+  SELECT trim(line, ' ') AS line, min(doc_id) AS first_id FROM l WHERE trim(line, ' ') <> '' GROUP BY 1
+  HAVING count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) >= 10
+), k AS (
+  SELECT l.*, first_id IS NOT NULL AND first_id IS DISTINCT FROM doc_id AS gone
+  FROM l LEFT JOIN bad ON trim(l.line, ' ') = bad.line
+)
+SELECT d.doc_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_lines, CAST(coalesce(max(g), 0) AS BIGINT) AS n_removed,
+       CASE WHEN d.text IS NOT NULL THEN coalesce(max(t), '') END AS text
+FROM documents d LEFT JOIN (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS g, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS t
+  FROM k GROUP BY doc_id
+) x ON d.doc_id = x.doc_id
+GROUP BY d.doc_id, d.text
+"""
+
 _OP8 = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
@@ -97,4 +131,4 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * ti
 FROM x
 """
 
-ORACLES: dict[str, str] = {"op3_warc": _OP3, "op8_source_mix": _OP8}
+ORACLES: dict[str, str] = {"op3_warc": _OP3, "op7_line_dedup": _OP7, "op8_source_mix": _OP8}
