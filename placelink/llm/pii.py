@@ -177,5 +177,5 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` of every text."""
     found = spans(df, id_col, text_col)
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    counts = [F.size(F.expr(f"filter(spans, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in BASE]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
