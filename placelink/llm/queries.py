@@ -17,6 +17,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placelink.llm import quality
+
+    return quality.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from placelink.llm import warc
 
@@ -49,20 +55,35 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.report(_read(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placelink.llm import vector_dedup
+
+    return vector_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from placelink.llm import line_dedup
 
     return line_dedup.report(_read(spark, sf_dir, "documents"))
 
 
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placelink.llm import ann
+
+    return ann.nearest(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_quality": op2_quality,
     "op3_warc": op3_warc,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_pii": op5_pii,
+    "op6_vector_dedup": op6_vector_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_bit_packing": op9_bit_packing,
+    "op10_nn_descent": op10_nn_descent,
 }
 
 _OP3 = """
@@ -131,4 +152,21 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * ti
 FROM x
 """
 
-ORACLES: dict[str, str] = {"op3_warc": _OP3, "op7_line_dedup": _OP7, "op8_source_mix": _OP8}
+_OP6 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+         embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(embedding, x -> x <> 0)) > 0 AS able
+  FROM embeddings
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.able AND b.able AND a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), r(a, b) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON c.a = v.vec_id
+"""
+
+ORACLES: dict[str, str] = {"op3_warc": _OP3, "op6_vector_dedup": _OP6, "op7_line_dedup": _OP7, "op8_source_mix": _OP8}
