@@ -155,8 +155,8 @@ FROM x
 _OP6 = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
-         embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-         AND len(list_filter(embedding, x -> x <> 0)) > 0 AS able
+         embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS able
   FROM embeddings
 ), l AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
