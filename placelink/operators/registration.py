@@ -29,7 +29,7 @@ def names(table: DataFrame, source: str, identifier: str, columns: list[tuple[st
     parts = []
     for column, separator in columns:
         text = F.col(f"`{column}`").cast("string")
-        parts.append(F.array(text) if separator is None else F.transform(F.split(text, re.escape(separator), -1), F.trim))
+        parts.append(F.array(text) if separator is None else F.transform(F.split(text, re.escape(separator), -1), lambda p: F.trim(p)))
     held = F.flatten(F.array(*(F.coalesce(p, F.array().cast("array<string>")) for p in parts)))
     rows = table.where(ident.isNotNull() & (ident != "")).select(F.xxhash64(F.lit(source), ident).alias("feature_id"), F.explode(held).alias("name"))
     return rows.where("name is not null and name <> ''").distinct()
