@@ -63,7 +63,8 @@ def targets(sizes: DataFrame, schedules: dict[str | None, list[tuple[float, floa
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("room_before", F.coalesce(F.sum("room").over(before), F.lit(0))).withColumn("weight_after", F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
     per = per.withColumn("level", (F.col("total") - F.col("room_before")) / F.col("weight_after")).withColumn("full", F.col("room") / F.col("weight") < F.col("level"))
-    per = per.withColumn("water", F.min_by(F.when(~F.col("full"), F.col("level")), F.when(~F.col("full"), F.col("room") / F.col("weight"))).over(Window.partitionBy()))
+    # each level after the first that is not full is lower
+    per = per.withColumn("water", F.max(F.when(~F.col("full"), F.col("level"))).over(Window.partitionBy()))
     cum = F.transform(F.sequence(F.lit(0), F.lit(CELLS)), lambda k: F.aggregate(F.slice("w", 1, k), F.lit(0.0), lambda a, x: a + x) / (F.col("weight") * CELLS))
     target = F.when(F.col("full"), F.col("room").cast("double")).otherwise(F.col("water") * F.col("weight"))
     return per.select("source", F.col("source_size").cast("long").alias("source_size"), "n", target.alias("target"), cum.alias("cum"))

@@ -137,7 +137,7 @@ WITH d AS (
 ), t AS (
   SELECT source, CAST(source_size AS BIGINT) AS source_size,
          CASE WHEN is_full THEN CAST(room AS DOUBLE)
-              ELSE (SELECT arg_min(level, room / w) FROM l WHERE NOT is_full) * w END AS target
+              ELSE (SELECT max(level) FROM l WHERE NOT is_full) * w END AS target
   FROM l
 ), c AS (
   SELECT doc_id, size, source_size, target,
