@@ -13,6 +13,7 @@ import re
 import struct
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +28,8 @@ MAGIC = b"PLBITS1\n"
 HEADER = struct.Struct("<8sBI")  # magic, bits of an id, ids of a block
 TRAILER = struct.Struct("<QQQ8s")  # offset of the index, ids, documents, magic
 BLOCK = 8_192
-#: Entries of each of a worker's two caches of encoded words.
-CACHE = 250_000
+#: Entries of a generation of a worker's caches of encoded words, and of parts of words.
+WORDS, PARTS = 200_000, 300_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -137,9 +138,31 @@ class Reader:
 #: Texts of these code points alone are split here; others by the library.
 _PLAIN = re.compile("[\t\n\r -~¡-©«-±´¶-¸»¿-ÿ]*")
 _PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\\s0-9a-zß-öø-ÿ]+")
+#: White space to str.split that is none to the tokenizer's rule, or kept for it.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BLANK = re.compile("[ \t\n\r\v\f]+")
 
 
+class _Recent:
+    """A map that forgets what was not asked for while ``most`` others came."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key: str) -> array | None:
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key: str, value: array) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class WordEncoder:
     """The tokenizers library on whole texts, each distinct word encoded once.
 
@@ -153,8 +176,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, list[int]] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.words, self.parts = _Recent(WORDS), _Recent(PARTS)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spare = iter(range(256, 512))
         self.letters = {b: b if b in printable else next(spare) for b in range(256)}
@@ -163,36 +185,37 @@ class WordEncoder:
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def _part(self, part: str) -> list[int]:
-        shown = part.encode().decode("latin-1").translate(self.letters)
-        found = [t.id for t in self.tokenizer.model.tokenize(shown)]
-        if len(part) <= 64:
-            if len(self.parts) >= CACHE:
-                self.parts.clear()
-            self.parts[part] = found
+    def _part(self, part: str) -> array:
+        found = self.parts.get(part)
+        if found is None:
+            shown = part.encode().decode("latin-1").translate(self.letters)
+            found = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)])
+            if len(part) <= 64:
+                self.parts.put(part, found)
         return found
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> array:
+        found = self.words.get(word)
+        if found is not None:
+            return found
         if _PLAIN.fullmatch(word) and "<|" not in word and len(word) <= 1_000:
-            found: list[int] = []
+            found = array("I")
             for part in _PIECES.findall(word.lower()):
-                found += self.parts.get(part) or self._part(part)
+                found += self._part(part)
         else:
-            found = self.tokenizer.encode(word, add_special_tokens=False).ids
+            found = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids)
         if len(word) <= 64:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[word] = found
+            self.words.put(word, found)
         return found
 
-    def __call__(self, text: str) -> list[int]:
+    def __call__(self, text: str) -> array:
         if not text.isascii() and not unicodedata.is_normalized("NFC", text) and any(unicodedata.combining(c) for c in text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        known = self.words.get
-        for word in _BLANK.split(text) if "\x1c" <= min(text, default=" ") <= "\x1f" else text.split():
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+        out = array("I")
+        for word in _BLANK.split(text) if _ODD.search(text) else text.split():
             if word:
-                out += known(word) or self._word(word)
+                known = self.words.young.get(word)
+                out += self._word(word) if known is None else known
         return out
 
 
@@ -231,13 +254,14 @@ def write(df: DataFrame, path: str, end_id: int, folder: str, id_col: str = "doc
         encode = word_encoder(path)
         fs, at = open_store(folder)
         part, final = f"{at}/.attempt-{task.taskAttemptId()}", f"{at}/shard-{task.partitionId():07d}.bin"
-        tail = np.array([end_id], "<u4")
         for batch in batches:
             if writer is None:
                 out = fs.open_output_stream(part)
                 writer = Writer(out, bits_for(max(encode.vocabulary, end_id + 1)), block)
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                writer.add(doc, np.concatenate([np.array(encode(text.as_py()), "<u4"), tail]))
+                ids = encode(text.as_py())
+                ids.append(end_id)
+                writer.add(doc, np.frombuffer(ids, np.uint32))
         if writer is not None:
             writer.close()
             out.close()
