@@ -141,7 +141,8 @@ def _gradients(p: dict[str, np.ndarray], pages: Pages, y: np.ndarray) -> dict[st
     back = miss[:, None] * p["head"][None, :]
     doc = np.repeat(np.arange(len(y)), pages.chunks)
     g = back[doc, :FILTERS] / pages.chunks[doc][:, None]
-    g += back[doc, FILTERS:] * (chunk == feats[doc, FILTERS:])
+    best = chunk == feats[doc, FILTERS:]  # overlapping chunks can share a best place
+    g += back[doc, FILTERS:] * best / np.add.reduceat(best, pages.chunk_first[:-1], axis=0, dtype=np.int64)[doc]
     g *= chunk > 0
     from_left = top[pages.left] >= top[pages.right]
     where = np.where(from_left, place[pages.left], place[pages.right])
