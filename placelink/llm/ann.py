@@ -24,7 +24,9 @@ DEGREE, ORDERS, BLOCK, ROUNDS = 32, 4, 512, 3
 #: Reverse neighbours that are compared together; a node with more has several such groups a round.
 GROUP = 96
 #: Best nodes that a query expands, and the most steps it takes.
-BEAM, STEPS = 32, 12
+BEAM, STEPS = 48, 12
+#: Longest vectors, from which every query starts besides its own place.
+ENTRIES = 16
 
 
 def _lifted(x: np.ndarray, largest: float) -> np.ndarray:
@@ -163,6 +165,8 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     # a query that is in the index starts from its own node and its neighbours
     own = asked.select("q", F.col("rep").alias("id"))
     starts = own.union(own.join(near.select(F.col("a").alias("id"), "b"), "id").select("q", "b"))
+    longest = rows.join(reps, ["h1", "h2"]).where("id = rep").select(F.col("rep").alias("id"), "norm").distinct().orderBy(F.desc("norm"), "id").limit(ENTRIES)
+    starts = starts.union(asked.select("q").crossJoin(F.broadcast(longest.select("id"))))
     found = search(near, points, asked.select("q", "v"), starts)
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
     kept = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
