@@ -5,6 +5,9 @@ neighbours of neighbours: around each node its neighbours and the nodes that
 have it as a neighbour are compared with each other, and whoever finds a nearer
 neighbour takes it.  A query walks the graph: it scores the neighbours of the
 best nodes it has seen until its best nodes are all expanded.
+
+Graph and walk work on vectors of one byte a component, which keeps what the
+joins move small; the best nodes of a walk are scored again exactly.
 """
 
 from __future__ import annotations
@@ -19,12 +22,13 @@ from pyspark.sql import functions as F
 from placelink.llm.common import prepare, table
 from placelink.llm.vectors import hashed, matrix, ordered, runs, usable
 
-#: Neighbours of a node, orders and block size of the first graph, rounds of descent.
-DEGREE, ORDERS, BLOCK, ROUNDS = 32, 4, 512, 3
-#: Reverse neighbours that are compared together; a node with more has several such groups a round.
-GROUP = 96
-#: Best nodes that a query expands, and the most steps it takes.
-BEAM, STEPS = 48, 12
+#: Neighbours of a node, orders, block size and neighbours taken of each order, rounds of descent.
+DEGREE, ORDERS, BLOCK, FIRST, ROUNDS = 64, 6, 2_048, 24, 2
+#: Reverse neighbours that are compared together (a node with more has several such groups a
+#: round), and the nearest of a group that a node may take.
+GROUP, TAKEN = 128, 16
+#: Best nodes that a query expands, the most steps it takes, and best nodes scored exactly for each answer.
+BEAM, STEPS, RESCORED = 32, 12, 2
 #: Longest vectors, from which every query starts besides its own place.
 ENTRIES = 16
 
@@ -36,65 +40,81 @@ def _lifted(x: np.ndarray, largest: float) -> np.ndarray:
     return np.concatenate([x, rest[:, None]], axis=1)
 
 
+def _codes(x: np.ndarray) -> list[bytes]:
+    """Each row as a scale and one byte a component."""
+    scale = (np.abs(x).max(axis=1, keepdims=True) / 127).astype("<f4")
+    return [s.tobytes() + c.tobytes() for s, c in zip(scale, np.rint(x / scale).astype(np.int8), strict=True)]
+
+
+def _decoded(column: pa.Array) -> np.ndarray:
+    rows = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return np.ascontiguousarray(rows[:, :4]).view("<f4") * np.ascontiguousarray(rows[:, 4:]).view(np.int8).astype(np.float32)
+
+
 def _best(edges: DataFrame, degree: int) -> DataFrame:
     """The ``degree`` nearest of ``edges(a, b, s)`` of each ``a``, ties to the smaller id."""
     near = Window.partitionBy("a").orderBy(F.col("s").desc(), "b")
-    unique = edges.groupBy("a", "b").agg(F.max("s").alias("s"))
+    unique = edges.repartition("a").groupBy("a", "b").agg(F.max("s").alias("s"))
     return unique.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= degree).select("a", "b", "s")
 
 
-def _edges(ids: np.ndarray, x: np.ndarray, degree: int, floor: np.ndarray | None = None) -> pa.RecordBatch:
+def _edges(ids: np.ndarray, x: np.ndarray, most: int, floor: np.ndarray | None = None) -> pa.RecordBatch:
     s = x @ x.T
     np.fill_diagonal(s, -np.inf)
-    k = min(degree, len(ids) - 1)
+    k = min(most, len(ids) - 1)
     top = np.argpartition(-s, k - 1, axis=1)[:, :k]
     score = np.take_along_axis(s, top, axis=1)
     a, b, score = np.repeat(ids, k), ids[top].ravel(), score.ravel()
     if floor is not None:
-        better = (score > np.repeat(floor, k)) & (a != b)
+        better = score > np.repeat(floor, k)
         a, b, score = a[better], b[better], score[better]
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(score.astype(np.float32))], ["a", "b", "s"])
 
 
-def graph(points: DataFrame, largest: float, degree: int = DEGREE, rounds: int = ROUNDS, orders: int = ORDERS) -> DataFrame:
-    """``(a, b, s)``: near neighbours of ``points(id, v)``, of one dimension, by NN-descent."""
-    lifted = table(points.mapInArrow(lambda bs: (_lift_batch(b, largest) for b in bs), "id long, v array<float>"), "lifted")
-    placed = ordered(lifted.select(F.lit("").alias("grp"), "id", "v"), orders)
+def coded(points: DataFrame, largest: float) -> DataFrame:
+    """``(id, v, code)`` of ``points(id, v)``: lifted vectors, whole and in bytes."""
+
+    def lift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _lifted(matrix(batch.column(1)), largest)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())), pa.array(_codes(x), pa.binary())], ["id", "v", "code"])
+
+    return table(points.select("id", "v").mapInArrow(lift, "id long, v array<float>, code binary"), "coded")
+
+
+def graph(points: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, orders: int = ORDERS) -> DataFrame:
+    """``(a, b, s)``: near neighbours of ``points(id, v, code)``, of one dimension, by NN-descent."""
+    placed = ordered(points.select(F.lit("").alias("grp"), "id", "v"), orders)
     dealt = placed.select(F.floor(F.col("place") / BLOCK).alias("block"), "turn", "dim", "id", "v").repartition("block").sortWithinPartitions("block", "turn", "dim")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in runs(batches, 3):
             if own.num_rows > 1:
-                yield _edges(own.column("id").to_numpy(), matrix(own.column("v").combine_chunks()), degree)
+                yield _edges(own.column("id").to_numpy(), matrix(own.column("v").combine_chunks()).astype(np.float32), FIRST if own.num_rows > degree else degree)
 
     near = table(_best(dealt.mapInArrow(blocks, "a long, b long, s float"), degree), "near")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in runs(batches, 2):
             if own.num_rows > 1:
-                yield _edges(own.column("id").to_numpy(), matrix(own.column("v").combine_chunks()), 8, own.column("floor").to_numpy())
+                yield _edges(own.column("id").to_numpy(), _decoded(own.column("code").combine_chunks()), TAKEN, own.column("floor").to_numpy())
 
     for turn in range(rounds):
         full = near.groupBy("a").agg(F.when(F.count("*") >= degree, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("floor"))
-        held = lifted.join(full, lifted.id == full.a).select("id", "v", "floor")
+        held = points.join(full, points.id == full.a).select("id", "code", "floor")
         back = near.groupBy("b").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
-        parts = near.join(back, "b", "left").select(F.col("b").alias("hub"), F.pmod(F.xxhash64(F.lit(turn), "a"), F.col("groups")).cast("int").alias("part"), F.col("a").alias("id"))
+        parts = near.join(back, "b").select(F.col("b").alias("hub"), F.pmod(F.xxhash64(F.lit(turn), "a"), F.col("groups")).cast("int").alias("part"), F.col("a").alias("id"))
         forth = near.join(back.withColumnRenamed("b", "hub"), near.a == F.col("hub"), "left").select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.coalesce("groups", F.lit(1)) - 1)).alias("part"), F.col("b").alias("id"))
-        around = parts.union(forth).distinct().join(held, "id").select("hub", "part", "id", "v", "floor")
+        around = parts.union(forth).distinct().join(held, "id").select("hub", "part", "id", "code", "floor")
         found = around.repartition("hub", "part").sortWithinPartitions("hub", "part").mapInArrow(local, "a long, b long, s float")
         near = table(_best(near.union(found), degree), "near")
     return near
 
 
-def _lift_batch(batch: pa.RecordBatch, largest: float) -> pa.RecordBatch:
-    x = _lifted(matrix(batch.column(1)), largest).astype(np.float32)
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float32()))], ["id", "v"])
-
-
 def search(near: DataFrame, points: DataFrame, queries: DataFrame, starts: DataFrame, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
-    """``(q, id, score)``: what greedy search of the graph has scored.
+    """``(q, id, score)``: what greedy search of the graph has scored, about.
 
-    ``queries(q, v)`` walk ``near(a, b, s)`` over ``points(id, v)`` from
+    ``queries(q, v)`` walk ``near(a, b, s)`` over ``points(id, code)`` from
     ``starts(q, id)``.  A step scores the unseen neighbours of the nodes among
     a query's ``beam`` best that it has not expanded yet.
     """
@@ -104,17 +124,18 @@ def search(near: DataFrame, points: DataFrame, queries: DataFrame, starts: DataF
         for batch in batches:
             for rows in runs(iter([batch]), 1):
                 at = rows.column("q")[0].as_py()
-                v, ids = matrix(rows.column("v").combine_chunks()), rows.column("id")
                 first = 0
-                if at != q:
-                    q, own, first = at, v[0], 1  # the query's own vector comes first
+                if at != q:  # the query's own vector comes first
+                    q, own, first = at, np.array(rows.column("v")[0].as_py(), np.float32), 1
                 if rows.num_rows > first:
-                    s = (v[first:] * own[None, :]).sum(axis=1)
-                    yield pa.RecordBatch.from_arrays([rows.column("q").slice(first).combine_chunks(), ids.slice(first).combine_chunks(), pa.array(s)], ["q", "id", "score"])
+                    s = _decoded(rows.column("code").slice(first).combine_chunks())[:, : len(own)] @ own
+                    yield pa.RecordBatch.from_arrays([rows.column("q").slice(first).combine_chunks(), rows.column("id").slice(first).combine_chunks(), pa.array(s.astype(np.float64))], ["q", "id", "score"])
+
+    kind = dict(queries.dtypes)["v"]
 
     def scored(pairs: DataFrame) -> DataFrame:
-        lead = queries.select("q", F.lit(None).cast("long").alias("id"), "v")
-        rows = lead.union(pairs.join(points, "id").select("q", "id", "v"))
+        lead = queries.select("q", F.lit(None).cast("long").alias("id"), "v", F.lit(None).cast("binary").alias("code"))
+        rows = lead.union(pairs.join(points.select("id", "code"), "id").select("q", "id", F.lit(None).cast(kind), "code"))
         return rows.repartition("q").sortWithinPartitions("q", F.col("id").asc_nulls_first()).mapInArrow(score, "q long, id long, score double")
 
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
@@ -132,6 +153,18 @@ def search(near: DataFrame, points: DataFrame, queries: DataFrame, starts: DataF
     return seen.select("q", "id", "score")
 
 
+def exactly(pairs: DataFrame, points: DataFrame, queries: DataFrame) -> DataFrame:
+    """``pairs(q, id)`` with their inner products in double precision."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = (matrix(batch.column(2)) * matrix(batch.column(3))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["q", "id", "score"])
+
+    rows = pairs.join(points.select("id", F.col("v").alias("x")), "id").join(queries.select("q", "v"), "q")
+    return rows.select("q", "id", "x", "v").mapInArrow(score, "q long, id long, score double")
+
+
 def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest by inner product of each query.
 
@@ -159,7 +192,8 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     few = ids.where(F.col("place") <= k + 1).join(reps, ["h1", "h2"]).select("rep", "id")
     points = rows.join(reps, ["h1", "h2"]).where("id = rep").dropDuplicates(["h1", "h2"]).select(F.col("rep").alias("id"), "v")
     points, few = table(points, "points"), table(few, "members")
-    near = graph(points, common["largest"])
+    codes = coded(points, common["largest"])
+    near = graph(codes)
     asked = rows.where(F.col("id") % every == 0).select(F.col("id").alias("q"), "v", "h1", "h2").dropDuplicates(["q"])
     asked = table(asked.join(reps, ["h1", "h2"]).select("q", "v", "rep"), "queries")
     # a query that is in the index starts from its own node and its neighbours
@@ -167,9 +201,11 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     starts = own.union(own.join(near.select(F.col("a").alias("id"), "b"), "id").select("q", "b"))
     longest = rows.join(reps, ["h1", "h2"]).where("id = rep").select(F.col("rep").alias("id"), "norm").distinct().orderBy(F.desc("norm"), "id").limit(ENTRIES)
     starts = starts.union(asked.select("q").crossJoin(F.broadcast(longest.select("id"))))
-    found = search(near, points, asked.select("q", "v"), starts)
+    found = search(near, codes, asked.select("q", "v"), starts)
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
-    kept = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
+    kept = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= RESCORED * (k + 1))
+    kept = exactly(kept.select("q", "id"), points, asked)
+    kept = kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
     each = kept.select("q", F.col("id").alias("rep"), "score").join(few, "rep").where("id <> q")
     last = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
     return each.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
