@@ -64,3 +64,9 @@ def facets(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("attribute"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns)))
     each = rows.select(group, pairs.alias("p")).select(group, "p.*").where("value is not null and value <> ''")
     return each.groupBy(group, "attribute").agg(F.array_sort(F.collect_set("value")).alias("values"))
+
+
+def with_names(features: DataFrame, names: DataFrame) -> DataFrame:
+    """Features with their sorted names; an empty list without any."""
+    listed = names.groupBy("feature_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    return features.join(listed, "feature_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from placelink.functions import geo
 from placelink.functions import text as T
 from placelink.operators import annotate, context, registration, resolve, search, spans, spatial, views
-from placelink.plans import dialect
+from placelink.plans import dialect, install
+from placelink.sources import config
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -664,3 +665,97 @@ def candidates_with_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("ref_id"), F.col("o_orderpriority").alias("location_id")).distinct()
     held = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ref_id"), F.col("c_mktsegment").alias("location_id"))
     return annotate.candidate_rows(found, held)
+
+
+@query("""
+SELECT n_nationkey AS feature_id, coalesce(string_agg(DISTINCT s_name, '|' ORDER BY s_name), '') AS held
+FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 0 GROUP BY n_nationkey
+""")
+def feature_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("feature_id"))
+    names = read(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("feature_id"), F.col("s_name").alias("name"))
+    return views.with_names(features, names.union(names)).select("feature_id", F.array_join("names", "|").alias("held"))
+
+
+@query(f"""
+WITH {_MENTIONS}, t AS (SELECT doc_id, {_LOC} AS loc FROM m)
+SELECT d.source AS session_id, count(DISTINCT d.doc_id) AS documents, count(t.doc_id) AS total, count(t.doc_id) FILTER (WHERE loc IS NULL OR loc <> '') AS annotated,
+  CASE WHEN count(t.doc_id) > 0 THEN round(100.0 * count(t.doc_id) FILTER (WHERE loc IS NULL OR loc <> '') / count(t.doc_id), 6) ELSE 0.0 END AS percent
+FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id GROUP BY d.source
+""")
+def session_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("document_id", F.col("source").alias("session_id"))
+    return annotate.session_progress(docs, _toponyms(spark, sf_dir)).withColumn("percent", F.round("percent", 6))
+
+
+@query(f"""
+WITH {_MENTIONS}, held AS (SELECT doc_id, start, "end" FROM m WHERE start % 4 = 0), near AS (SELECT doc_id, start - 3 AS start, "end" FROM m WHERE start % 4 = 1)
+SELECT m.doc_id AS document_id, m.start, m."end" FROM m
+WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.doc_id = m.doc_id AND h.start = m.start AND h."end" = m."end")
+  AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM held UNION ALL SELECT * FROM near) h WHERE h.doc_id = m.doc_id AND m.start < h."end" AND m."end" > h.start)
+""")
+def recognised_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mentioned(spark, sf_dir).select("document_id", "start", "end")
+    held = found.where("start % 4 = 0").union(found.where("start % 4 = 1").withColumn("start", F.col("start") - 3))
+    return annotate.recognised(found, held)[0]
+
+
+@query("""
+WITH r AS (SELECT c_custkey AS ref_id, CASE WHEN c_custkey % 2 = 0 THEN n_name ELSE c_mktsegment END AS q, CAST(c_nationkey AS VARCHAR) AS held FROM customer JOIN nation ON n_nationkey = c_nationkey),
+h AS (SELECT ref_id, CAST(n_nationkey AS VARCHAR) AS location_id, held FROM r JOIN nation ON n_name = q)
+SELECT ref_id, location_id FROM h
+UNION ALL SELECT ref_id, held FROM r WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.ref_id = r.ref_id AND h.location_id = r.held)
+""")
+def annotation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = read(spark, sf_dir, "nation")
+    features = nations.select(F.col("n_nationkey").cast("long").alias("feature_id"), F.col("n_nationkey").cast("string").alias("location_id"))
+    names = nations.select(F.col("n_nationkey").cast("long").alias("feature_id"), F.col("n_name").alias("name"))
+    rows = read(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    refs = rows.select(F.col("c_custkey").alias("ref_id"), F.col("c_mktsegment").alias("text"), F.when(F.col("c_custkey") % 2 == 0, F.col("n_name")).otherwise(F.lit(" ")).alias("query"), F.col("c_nationkey").cast("string").alias("location_id"))
+    return annotate.candidates(names, features, refs)
+
+
+_CONFIG = {
+    "name": "suppliers",
+    "sources": [
+        {
+            "name": "supplier", "path": "-", "file": "-", "kind": "tabular", "separator": "|",
+            "attributes": {
+                "original": [{"name": "s_suppkey", "type": "integer"}, {"name": "s_name", "type": "text"}, {"name": "s_nationkey", "type": "integer"}],
+                "derived": [{"name": "code", "type": "text", "expression": "substr(s_name, instr(s_name, '#') + 1)"}, {"name": "label", "type": "text", "expression": "'S' || code"}],
+            },
+            "view": {
+                "select": [{"column": "supplier.s_suppkey"}, {"column": "supplier.label"}, {"column": "nation.n_name", "alias": "nation"}, {"column": "region.r_name", "alias": "region"}],
+                "join": [
+                    {"method": "left join", "condition": {"type": "attribute", "left": {"column": "supplier.s_nationkey"}, "right": {"column": "nation.n_nationkey"}}},
+                    {"method": "inner join", "condition": {"type": "attribute", "left": {"column": "nation.n_regionkey"}, "right": {"column": "region.r_regionkey"}}},
+                ],
+            },
+            "features": {"identifier": [{"column": "supplier.s_suppkey"}], "names": [{"column": "supplier.s_name"}, {"column": "supplier.label"}]},
+        },
+        {"name": "nation", "path": "-", "file": "-", "kind": "tabular", "separator": "|", "attributes": {"original": [{"name": "n_nationkey", "type": "integer"}, {"name": "n_name", "type": "text"}, {"name": "n_regionkey", "type": "integer"}]}},
+        {"name": "region", "path": "-", "file": "-", "kind": "tabular", "separator": "|", "attributes": {"original": [{"name": "r_regionkey", "type": "integer"}, {"name": "r_name", "type": "text"}]}},
+    ],
+}
+
+
+def _built(spark: SparkSession, sf_dir: str) -> install.Built:
+    gazetteer = config.parse(_CONFIG)
+    return install.build(gazetteer, {s.name: read(spark, sf_dir, s.name) for s in gazetteer.sources})
+
+
+@query("""
+SELECT s_suppkey, 'S' || substr(s_name, instr(s_name, '#') + 1) AS label, n_name AS nation, r_name AS region
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+""")
+def gazetteer_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir).views["supplier"]
+
+
+@query("""
+SELECT CAST(s_suppkey AS VARCHAR) AS location_id, name, 'supplier_view' AS source FROM (
+  SELECT s_suppkey, s_name AS name FROM supplier UNION ALL SELECT s_suppkey, 'S' || substr(s_name, instr(s_name, '#') + 1) FROM supplier)
+""")
+def gazetteer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _built(spark, sf_dir)
+    return made.names.join(made.features, "feature_id").select("location_id", "name", "source")
