@@ -28,7 +28,7 @@ DEGREE, ORDERS, BLOCK, FIRST, ROUNDS = 64, 6, 2_048, 24, 2
 #: round), and the nearest of a group that a node may take.
 GROUP, TAKEN = 128, 16
 #: Best nodes that a query expands, the most steps it takes, and best nodes scored exactly for each answer.
-BEAM, STEPS, RESCORED = 32, 12, 2
+BEAM, STEPS, RESCORED = 32, 4, 2
 #: Longest vectors, from which every query starts besides its own place.
 ENTRIES = 16
 
