@@ -109,13 +109,24 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def _ids_batch(keys: list, ids: list[list[int]], key_type: pa.DataType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, key_type), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+def _spelled(ids: list[list[int] | None], path: str) -> pa.Array:
+    token = _bytes_of(path).__getitem__
+    return pa.array([b"".join(map(token, row or ())) for row in ids], pa.binary())
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def _ids_batch(keys: list, ids: list[list[int]], key_type: pa.DataType, decoded: str | None) -> pa.RecordBatch:
+    cols, names = [pa.array(keys, key_type), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"]
+    if decoded:
+        cols, names = [*cols, _spelled(ids, decoded)], [*names, "decoded"]
+    return pa.RecordBatch.from_arrays(cols, names)
+
+
+def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
     """Token ids of every whole text: ``(id, ids array<int>)``, one row per input row.
 
+    With ``decoded`` the ids are also decoded again where they were made, as
+    :func:`decode` does, into a column of that name.
+
     A null text counts as empty (no ids), a null id stays null, rows that
     repeat are returned as often, an empty table gives none, other columns are
     ignored whatever their names.  Texts up to ``chunk`` code points are
@@ -125,13 +136,14 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     if not 0 < overlap < chunk:
         raise ValueError("overlap must be positive and smaller than chunk")
     prepare(df.sparkSession)
-    kind = dict(df.dtypes)[id_col]
+    kind, back = dict(df.dtypes)[id_col], path if decoded else None
+    told = f"id {kind}, ids array<int>{', decoded binary' if decoded else ''}"
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = codec(path, pattern)
         for batch in batches:
-            yield _ids_batch(_column(batch, "id").to_pylist(), [enc.encode_ordinary(t) for t in _column(batch, "text").to_pylist()], batch.schema.field("id").type)
+            yield _ids_batch(_column(batch, "id").to_pylist(), [enc.encode_ordinary(t) for t in _column(batch, "text").to_pylist()], batch.schema.field("id").type, back)
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,9 +162,9 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
             ids += enc.encode_ordinary(piece)
         again = rows.num_rows // len(chunks)
         ident = rows.column("id")[0].as_py()
-        return pa.Table.from_batches([_ids_batch([ident] * again, [ids] * again, rows.schema.field("id").type)])
+        return pa.Table.from_batches([_ids_batch([ident] * again, [ids] * again, rows.schema.field("id").type, back)])
 
-    short = docs.where(F.length("text") <= chunk).mapInArrow(near, f"id {kind}, ids array<int>")
+    short = docs.where(F.length("text") <= chunk).mapInArrow(near, told)
     n = F.length("text")
     cut = (
         docs.where(n > chunk)
@@ -162,7 +174,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         .repartition(F.col("sha"), F.col("part_no"))
     )
     marked = cut.mapInArrow(marks, f"id {kind}, sha string, total int, part_no int, part string, last boolean, marks array<int>")
-    long = marked.groupBy("id", "sha").applyInArrow(joined, f"id {kind}, ids array<int>")
+    long = marked.groupBy("id", "sha").applyInArrow(joined, told)
     return short.union(long)
 
 
@@ -176,10 +188,9 @@ def decode(df: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -
     fields = ", ".join(f"`{c}` {k}" for c, k in df.dtypes if c in others)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _bytes_of(path).__getitem__
         for batch in batches:
-            out = [b"".join(map(token, ids or ())) for ids in _column(batch, ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([_column(batch, id_col), *(_column(batch, c) for c in others), pa.array(out, pa.binary())], ["id", *others, "decoded"])
+            out = _spelled(_column(batch, ids_col).to_pylist(), path)
+            yield pa.RecordBatch.from_arrays([_column(batch, id_col), *(_column(batch, c) for c in others), out], ["id", *others, "decoded"])
 
     kind = dict(df.dtypes)[id_col]
     return df.mapInArrow(spell, f"id {kind}, {fields + ', ' if fields else ''}decoded binary")
@@ -187,8 +198,7 @@ def decode(df: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -
 
 def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every whole text."""
-    ids = encode(df, path, pattern, id_col, text_col)
-    # The digest of the ids is taken before decoding, so only it moves on.
-    told = ids.select("id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"))
-    back = decode(told, path)
-    return back.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    # decoded in the task that encodes: one Python worker a task instead of two
+    both = encode(df, path, pattern, id_col, text_col, decoded=True)
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")
+    return both.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

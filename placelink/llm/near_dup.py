@@ -42,8 +42,8 @@ CELL = 1_024
 SALT = 512
 #: Ids up to which a table of ids is broadcast: some 2 MB.
 BROADCAST_ROWS = 100_000
-#: Words whose hashes a worker keeps.
-CACHE = 400_000
+#: Words whose hashes a worker keeps while a task runs.
+CACHE = 150_000
 
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -181,6 +181,7 @@ def marks(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 h1, h2 = np.frombuffer(both, "<i8").tolist()
                 rows.append({"id": ident, "n": len(found), "h1": h1, "h2": h2, "sketch": sketch(found), "sigs": signatures(found, percent).view(np.int64)})
             yield pa.RecordBatch.from_pylist(rows, _MARKS)
+        _words.clear()
 
     return docs.mapInArrow(scan, "id long, n long, h1 long, h2 long, sketch binary, sigs array<long>")
 
@@ -200,6 +201,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
         for batch in batches:
             found = [shingles(t.as_py(), n).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "held"])
+        _words.clear()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, []

@@ -39,3 +39,9 @@ def test_query_rows(spark):
     want = sorted(((d, len(plain(t or "")), sha(" ".join(map(str, plain(t or ""))).encode()), sha((t or "").encode())) for d, t, _ in rows), key=str)
     assert got == want
     assert bpe.digests(df.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_decode(spark):
+    df = spark.createDataFrame([(1, "é \U0001f600 x", "k"), (2, None, "l")], "doc_id long, text string, extra string")
+    ids = bpe.encode(df, PATH, P.PATTERN)
+    assert {(r.id, bytes(r.decoded).decode()) for r in bpe.decode(ids, PATH).collect()} == {(1, "é \U0001f600 x"), (2, "")}
