@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placelink.llm.common import prepare, table
+from placelink.llm.common import drop, prepare, table
 from placelink.llm.vectors import hashed, matrix, ordered, runs, usable
 
-#: Neighbours of a node, orders, block size and neighbours taken of each order, rounds of descent.
-DEGREE, ORDERS, BLOCK, FIRST, ROUNDS = 64, 6, 2_048, 24, 2
+#: Neighbours of a node, least orders, block size and neighbours taken of each order.
+DEGREE, ORDERS, BLOCK, FIRST = 64, 6, 2_048, 24
+#: Descent ends when a round replaces a smaller share of all neighbours; the rounds only bound it for safety.
+DELTA, ROUNDS = 0.01, 30
 #: Reverse neighbours that are compared together (a node with more has several such groups a
 #: round), and the nearest of a group that a node may take.
 GROUP, TAKEN = 128, 16
@@ -52,10 +54,15 @@ def _decoded(column: pa.Array) -> np.ndarray:
 
 
 def _best(edges: DataFrame, degree: int) -> DataFrame:
-    """The ``degree`` nearest of ``edges(a, b, s)`` of each ``a``, ties to the smaller id."""
+    """The ``degree`` nearest of ``edges(a, b, s, new)`` of each ``a``, ties to the smaller id; ``new`` if no row of the edge is old."""
     near = Window.partitionBy("a").orderBy(F.col("s").desc(), "b")
-    unique = edges.repartition("a").groupBy("a", "b").agg(F.max("s").alias("s"))
-    return unique.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= degree).select("a", "b", "s")
+    unique = edges.repartition("a").groupBy("a", "b").agg(F.max("s").alias("s"), F.min("new").alias("new"))
+    return unique.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= degree).select("a", "b", "s", "new")
+
+
+def orders_for(count: int) -> int:
+    """Hash orders of the first graph: they grow with the logarithm of the number of blocks."""
+    return max(ORDERS, (max(count - 1, 0) // BLOCK).bit_length())
 
 
 def _edges(ids: np.ndarray, x: np.ndarray, most: int, floor: np.ndarray | None = None) -> pa.RecordBatch:
@@ -82,8 +89,12 @@ def coded(points: DataFrame, largest: float) -> DataFrame:
     return table(points.select("id", "v").mapInArrow(lift, "id long, v array<float>, code binary"), "coded")
 
 
-def graph(points: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, orders: int = ORDERS) -> DataFrame:
-    """``(a, b, s)``: near neighbours of ``points(id, v, code)``, of one dimension, by NN-descent."""
+def graph(points: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, orders: int | None = None, delta: float = DELTA) -> DataFrame:
+    """``(a, b, s)``: near neighbours of ``points(id, v, code)``, of one dimension, by NN-descent.
+
+    Rounds follow each other until one replaces less than ``delta`` of all neighbours.
+    """
+    orders = orders_for(points.count()) if orders is None else orders
     placed = ordered(points.select(F.lit("").alias("grp"), "id", "v"), orders)
     dealt = placed.select(F.floor(F.col("place") / BLOCK).alias("block"), "turn", "dim", "id", "v").repartition("block").sortWithinPartitions("block", "turn", "dim")
 
@@ -92,7 +103,7 @@ def graph(points: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, orders:
             if own.num_rows > 1:
                 yield _edges(own.column("id").to_numpy(), matrix(own.column("v").combine_chunks()).astype(np.float32), FIRST if own.num_rows > degree else degree)
 
-    near = table(_best(dealt.mapInArrow(blocks, "a long, b long, s float"), degree), "near")
+    near = table(_best(dealt.mapInArrow(blocks, "a long, b long, s float").withColumn("new", F.lit(True)), degree), "near")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in runs(batches, 2):
@@ -107,8 +118,12 @@ def graph(points: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, orders:
         forth = near.join(back.withColumnRenamed("b", "hub"), near.a == F.col("hub"), "left").select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.coalesce("groups", F.lit(1)) - 1)).alias("part"), F.col("b").alias("id"))
         around = parts.union(forth).distinct().join(held, "id").select("hub", "part", "id", "code", "floor")
         found = around.repartition("hub", "part").sortWithinPartitions("hub", "part").mapInArrow(local, "a long, b long, s float")
-        near = table(_best(near.union(found), degree), "near")
-    return near
+        last, near = near, table(_best(near.withColumn("new", F.lit(False)).union(found.withColumn("new", F.lit(True))), degree), "near")
+        drop(last)
+        share = near.agg(F.avg(F.col("new").cast("double"))).first()[0]
+        if share is None or share < delta:
+            break
+    return near.select("a", "b", "s")
 
 
 def search(near: DataFrame, points: DataFrame, queries: DataFrame, starts: DataFrame, beam: int = BEAM, steps: int = STEPS) -> DataFrame:

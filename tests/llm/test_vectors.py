@@ -85,3 +85,18 @@ def test_search_of_few_and_equal_vectors(spark):
     few = df.where("vec_id in (0, 3, 100)")
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(few).orderBy("query_id", "rank").collect()] == [(0, 1, 3, 1.0), (0, 2, 100, 0.0), (100, 1, 0, 0.0), (100, 2, 3, 0.0)]
     assert ann.nearest(df.limit(0)).count() == 0 and ann.nearest(df.where("vec_id = 100")).count() == 0
+
+
+def test_descent_goes_on_until_neighbours_stay(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    x = np.random.default_rng(5).standard_normal((2_500, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    points = ann.coded(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>"), 1.0)
+    near = {}
+    for r in ann.graph(points, degree=24, orders=2).collect():
+        near.setdefault(r.a, []).append(r.b)
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    hits = sum(len(set(np.argsort(-s[k])[:10].tolist()) & set(near[k])) for k in range(len(x)))
+    assert hits >= 0.99 * 10 * len(x)
+    assert ann.orders_for(2_000) == ann.orders_for(0) == 6 < ann.orders_for(1 << 20)
