@@ -29,8 +29,9 @@ DELTA, ROUNDS = 0.01, 30
 #: Reverse neighbours that are compared together (a node with more has several such groups a
 #: round), and the nearest of a group that a node may take.
 GROUP, TAKEN = 128, 16
-#: Best nodes that a query expands, the most steps it takes, and best nodes scored exactly for each answer.
-BEAM, STEPS, RESCORED = 32, 4, 2
+#: Best nodes that a query expands and best nodes scored exactly for each answer; walks end when nothing
+#: is left to expand, and the steps only bound them for safety.
+BEAM, RESCORED, STEPS = 32, 2, 1_000
 #: Longest vectors, from which every query starts besides its own place.
 ENTRIES = 16
 

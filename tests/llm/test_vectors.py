@@ -100,3 +100,12 @@ def test_descent_goes_on_until_neighbours_stay(spark, monkeypatch):
     hits = sum(len(set(np.argsort(-s[k])[:10].tolist()) & set(near[k])) for k in range(len(x)))
     assert hits >= 0.99 * 10 * len(x)
     assert ann.orders_for(2_000) == ann.orders_for(0) == 6 < ann.orders_for(1 << 20)
+
+
+def test_a_walk_ends_only_when_all_its_best_nodes_are_expanded(spark):
+    line = 8
+    points = ann.coded(spark.createDataFrame([(k, [float(k + 1), 1.0]) for k in range(line)], "id long, v array<double>"), line + 1.0)
+    near = spark.createDataFrame([(k, k + 1, 0.0) for k in range(line - 1)], "a long, b long, s float")
+    ask = spark.createDataFrame([(0, [1.0, 0.0])], "q long, v array<double>")
+    found = ann.search(near, points, ask, spark.createDataFrame([(0, 0)], "q long, id long"), beam=2)
+    assert found.count() == line
