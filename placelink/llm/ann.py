@@ -32,6 +32,8 @@ GROUP, TAKEN = 128, 16
 #: Best nodes that a query expands and best nodes scored exactly for each answer; walks end when nothing
 #: is left to expand, and the steps only bound them for safety.
 BEAM, RESCORED, STEPS = 32, 2, 1_000
+#: Vectors of a rarer dimension up to which all pairs are compared instead of a graph.
+FEW = 2_048
 #: Longest vectors, from which every query starts besides its own place.
 ENTRIES = 16
 
@@ -181,34 +183,15 @@ def exactly(pairs: DataFrame, points: DataFrame, queries: DataFrame) -> DataFram
     return rows.select("q", "id", "x", "v").mapInArrow(score, "q long, id long, score double")
 
 
-def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the ``k`` nearest by inner product of each query.
-
-    Queries are the rows whose id is divisible by ``every``; candidates are all
-    rows but the query's own, and all of them if there are fewer than ``k``.
-    Null and zero vectors, those with null or non-finite components and rows
-    with a null id take no part.  Equal vectors are one node of the graph with
-    its smallest ids behind it.  Vectors are compared only with those of their
-    dimension; the graph takes the most frequent one's.  Rows that share an id
-    are one candidate per distinct vector.  An empty table gives none.
-    """
-    spark = df.sparkSession
-    prepare(spark)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    h1, h2 = hashed(F.col("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    rows = table(rows.where(usable(F.col("v")) & F.col("id").isNotNull()).select("id", "v", h1.alias("h1"), h2.alias("h2"), norm.alias("norm"), F.size("v").alias("dim")), "vectors")
-    common = rows.groupBy("dim").agg(F.count("*").alias("c"), F.max("norm").alias("largest")).orderBy(F.col("c").desc(), "dim").first()
-    if common is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.col("dim") == common["dim"])
+def walk(rows: DataFrame, largest: float, k: int, every: int) -> DataFrame:
+    """``(q, id, score)``: the nearest of the queries in ``rows(id, v, h1, h2, norm)`` of one dimension, by the graph."""
     order = Window.partitionBy("h1", "h2").orderBy("id")
     ids = rows.select("id", "h1", "h2").distinct().withColumn("place", F.row_number().over(order))
     reps = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     few = ids.where(F.col("place") <= k + 1).join(reps, ["h1", "h2"]).select("rep", "id")
     points = rows.join(reps, ["h1", "h2"]).where("id = rep").dropDuplicates(["h1", "h2"]).select(F.col("rep").alias("id"), "v")
     points, few = table(points, "points"), table(few, "members")
-    codes = coded(points, common["largest"])
+    codes = coded(points, largest)
     near = graph(codes)
     asked = rows.where(F.col("id") % every == 0).select(F.col("id").alias("q"), "v", "h1", "h2").dropDuplicates(["q"])
     asked = table(asked.join(reps, ["h1", "h2"]).select("q", "v", "rep"), "queries")
@@ -222,6 +205,65 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     kept = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= RESCORED * (k + 1))
     kept = exactly(kept.select("q", "id"), points, asked)
     kept = kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
-    each = kept.select("q", F.col("id").alias("rep"), "score").join(few, "rep").where("id <> q")
+    return kept.select("q", F.col("id").alias("rep"), "score").join(few, "rep").where("id <> q").select("q", "id", "score")
+
+
+def in_full(rows: DataFrame, k: int, every: int) -> DataFrame:
+    """``(q, id, score)`` as :func:`walk` for ``rows(id, v, h1, h2, dim)`` of dimensions with few vectors, all pairs compared."""
+    key = ["dim", "h1", "h2"]
+    order = Window.partitionBy(*key).orderBy("id")
+    ids = rows.select("id", *key).distinct()
+    few = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).select(*key, "id")
+    points = rows.groupBy(*key).agg(F.min("id").alias("id"), F.first("v").alias("v"), F.max((F.col("id") % every == 0).cast("int")).alias("asks"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in runs(batches, 1):
+            x = matrix(own.column("v").combine_chunks())
+            id_, h1, h2 = (own.column(c).to_numpy() for c in ("id", "h1", "h2"))
+            dim = own.column("dim")[0].as_py()
+            for at in np.flatnonzero(own.column("asks").to_numpy()):
+                s = (x * x[at]).sum(axis=1)
+                top = np.lexsort((id_, -s))[: k + 1]
+                one = np.ones(len(top), np.int64)
+                cols = [pa.array(np.full(len(top), dim, np.int32)), pa.array(one * h1[at]), pa.array(one * h2[at]), pa.array(h1[top]), pa.array(h2[top]), pa.array(s[top])]
+                yield pa.RecordBatch.from_arrays(cols, ["dim", "g1", "g2", "h1", "h2", "score"])
+
+    dealt = points.select("dim", "id", "h1", "h2", "v", "asks").repartition("dim").sortWithinPartitions("dim")
+    found = dealt.mapInArrow(compare, "dim int, g1 long, g2 long, h1 long, h2 long, score double")
+    asked = ids.where(F.col("id") % every == 0).select("dim", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("id").alias("q"))
+    return found.join(asked, ["dim", "g1", "g2"]).join(few, key).where("id <> q").select("q", "id", "score")
+
+
+def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the ``k`` nearest by inner product of each query.
+
+    Queries are the rows whose id is divisible by ``every``; candidates are all
+    rows but the query's own, and all of them if there are fewer than ``k``.
+    Null and zero vectors, those with null or non-finite components and rows
+    with a null id take no part.  Equal vectors are one node of the graph with
+    its smallest ids behind it.  Vectors are compared only with those of their
+    dimension; the most frequent dimension and those of more than ``FEW``
+    vectors have a graph each, all others are compared in full.  Rows that
+    share an id are one candidate per distinct vector.  An empty table gives
+    none.
+    """
+    spark = df.sparkSession
+    prepare(spark)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    h1, h2 = hashed(F.col("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    rows = table(rows.where(usable(F.col("v")) & F.col("id").isNotNull()).select("id", "v", h1.alias("h1"), h2.alias("h2"), norm.alias("norm"), F.size("v").alias("dim")), "vectors")
+    dims = rows.groupBy("dim").agg(F.count("*").alias("c"), F.max("norm").alias("largest"))
+    common = dims.orderBy(F.col("c").desc(), "dim").first()
+    if common is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    walked = [common, *dims.where((F.col("c") > FEW) & (F.col("dim") != common["dim"])).orderBy("dim").collect()]
+    each = None
+    for d in walked:
+        found = walk(rows.where(F.col("dim") == d["dim"]), d["largest"], k, every)
+        each = found if each is None else each.union(found)
+    rest = rows.where(~F.col("dim").isin([d["dim"] for d in walked]))
+    if not rest.isEmpty():
+        each = each.union(in_full(rest, k, every))
     last = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
     return each.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")

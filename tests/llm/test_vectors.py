@@ -102,6 +102,21 @@ def test_descent_goes_on_until_neighbours_stay(spark, monkeypatch):
     assert ann.orders_for(2_000) == ann.orders_for(0) == 6 < ann.orders_for(1 << 20)
 
 
+def test_each_dimension_is_searched(spark):
+    rng = np.random.default_rng(9)
+    parts = {4: range(0, 90), 3: range(90, 150), 2: range(150, 161)}
+    rows = [(k, rng.standard_normal(d).astype(np.float32).tolist()) for d, ids in parts.items() for k in ids]
+    rows += [(200, rows[100][1]), (220, rows[100][1])]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    want = {}
+    for d in parts:
+        want |= exact([r for r in rows if len(r[1]) == d], 20, 20)
+    assert got == {q: [(i, round(s, 9)) for i, s in near] for q, near in want.items()}
+    assert len(got[160]) == 10 and {200, 220} <= got.keys()
+
+
 def test_a_walk_ends_only_when_all_its_best_nodes_are_expanded(spark):
     line = 8
     points = ann.coded(spark.createDataFrame([(k, [float(k + 1), 1.0]) for k in range(line)], "id long, v array<double>"), line + 1.0)
