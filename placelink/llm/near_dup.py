@@ -309,6 +309,11 @@ def join(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", t
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = table(marks(docs, n, percent), "marks")
     plain = found.where("n > 0 and id is not null")
+    # an id with several sets is no node: each of its sets gets a node of its own
+    several = plain.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x <> y").select("id")
+    several = table(several, "several")
+    if not several.isEmpty():
+        return _tied(docs, found, several, n, percent)
     # equal sets: one stands for all, the others follow it
     groups = table(plain.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1"), "groups")
     copies = plain.select("id", "h1", "h2").join(_if_small(groups), ["h1", "h2"]).where("id <> rep").select("id", "rep")
@@ -349,6 +354,25 @@ def join(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", t
     return told.join(where, told.id == where.m, "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
 
 
+def _tied(docs: DataFrame, found: DataFrame, several: DataFrame, n: int, percent: int) -> DataFrame:
+    """:func:`join` where ids in ``several`` have more than one set.
+
+    Distinct texts are numbered and joined by number, so every set is compared;
+    then rows that share an id tie the components of their texts.
+    """
+    rows = docs.where("id is not null").select("id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+    texts = rows.groupBy("t1", "t2").agg(F.min("id").alias("id"), F.first("text").alias("text"))
+    spread = texts.repartition("t1", "t2").sortWithinPartitions("t1", "t2").withColumn("node", F.monotonically_increasing_id())
+    texts = table(spread.select("node", "t1", "t2", "text"), "texts")
+    near = join(texts.select("node", "text"), n, percent, "node", "text").select(F.col("id").alias("node"), F.col("component").alias("root"))
+    placed = table(rows.select("id", "t1", "t2").distinct().join(texts.select("node", "t1", "t2"), ["t1", "t2"]).join(near, "node").select("id", "root").distinct(), "placed-ids")
+    # ids of a root are tied to the least of them, and an id ties its roots
+    ties = placed.join(placed.groupBy("root").agg(F.min("id").alias("least")), "root").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    where = components(ties).select(F.col("id").alias("m"), "component")
+    told = found.select("id", F.col("n").alias("n_shingles"))
+    return told.join(where, told.id == where.m, "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
+
+
 def report(df: DataFrame, n: int, percent: int) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every document."""
     return join(df, n, percent).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))

@@ -72,6 +72,13 @@ def test_rows_that_share_an_id_tie_their_groups(spark):
     assert got == {10: 10, 11: 10, 12: 10}
 
 
+def test_every_text_of_a_shared_id_is_compared(spark):
+    a, b = "alpha beta gamma delta epsilon zeta", " ".join(f"w{k}" for k in range(60))
+    rows = [(3, a), (5, a), (5, b), (7, b + " more"), (8, "quite other words stand here"), (9, None), (9, ""), (None, a)]
+    got = [tuple(r) for r in near_dup.report(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()]
+    assert sorted(got, key=str) == sorted([(3, 3, 3), (5, 3, 3), (5, 57, 3), (7, 58, 3), (8, 2, 8), (9, 0, 9), (9, 0, 9), (None, 3, None)], key=str)
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85, 95])
 def test_linked_sets_share_a_signature(percent):
     rng = np.random.default_rng(percent)
