@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from placelink.llm.common import prepare
 
 #: Bytes of a filter, bytes between its places, bytes of a chunk's half, filters, bytes' dimensions.
-WIDTH, STRIDE, HALF, FILTERS, EMBED = 8, 4, 128, 16, 8
+WIDTH, STRIDE, HALF, FILTERS, EMBED = 8, 1, 128, 16, 8
 #: The sample learnt from: so many labelled rows at most, none of more bytes than this.
 MAX_ROWS, MAX_BYTES = 3_000, 32_768
 EPOCHS, BATCH, RATE = 10, 64, 0.01
@@ -204,9 +204,9 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             texts = [t.as_py().encode("utf-8", "surrogatepass") for t in batch.column(1)]
             out, at = np.empty(len(texts)), 0
-            while at < len(texts):  # about a megabyte at a time, one text at least
+            while at < len(texts):  # a quarter of a megabyte at a time, one text at least
                 end, size = at + 1, len(texts[at])
-                while end < len(texts) and size + len(texts[end]) <= 1 << 20:
+                while end < len(texts) and size + len(texts[end]) <= 1 << 18:
                     size += len(texts[end])
                     end += 1
                 out[at:end] = probabilities(texts[at:end], model, _tables[mark])

@@ -46,6 +46,15 @@ def test_a_score_depends_on_its_text_alone():
     assert np.allclose(together, alone) and ((0 <= together) & (together <= 1)).all()
 
 
+def test_filters_see_every_alignment():
+    cue = b"abcdefgh"
+    table = np.zeros((quality.WIDTH, 256, quality.FILTERS), np.float32)
+    table[np.arange(8), list(cue), 0] = 1
+    model = quality.Model(table, np.zeros(quality.FILTERS, np.float32), np.ones(2 * quality.FILTERS), 0.0)
+    texts = [b" " * k + cue + b" " * (90 - k) for k in range(9)]
+    assert np.ptp(quality.probabilities(texts, model, quality.pair_tables(model))) == 0
+
+
 def test_report(spark):
     rows = sample(600, 3)
     docs = spark.createDataFrame([(k, t, "s") for k, t, _ in rows] + [(9000, None, "s"), (9001, "", "s"), (None, "some words", "s"), (1, rows[1][1], "s")], "doc_id long, text string, score string")
