@@ -11,8 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents per Arrow batch: bounds what a Python worker holds at a time.
-BATCH_ROWS = 512
+#: Documents and bytes of an Arrow batch: they bound what a Python worker holds at a time (one row at least).
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -27,16 +27,20 @@ def prepare(spark: SparkSession) -> None:
     env.setdefault("TOKENIZERS_PARALLELISM", "false")
     env.setdefault("OMP_NUM_THREADS", "1")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in tests, is a folder of this machine
-    used and set as the checkpoint directory.
+    Only where the setting is absent and the master is local, as in tests, is a
+    folder of this machine used and set as the checkpoint directory; on a
+    cluster its absence is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="placelink-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -85,6 +89,13 @@ def drop(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def open_store(uri: str):
+    """Filesystem and path of a URI of the shared storage."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: ``(id, component)``.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from placelink.llm.common import prepare, shared_path, table
+from placelink.llm.common import open_store, prepare, shared_path, table
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -78,7 +78,12 @@ def write(pages: DataFrame, folder: str, **columns) -> None:
 _HEAD = "file string, block long, seq int, local long, length long, valid boolean, span long, type string, id string, refers string, uri string, content_type string, digest string, payload_bytes long, computed string, whole boolean"
 
 
-def _parse(text: bytes, payload: bytes | None = None) -> dict:
+def _length(told: str) -> int | None:
+    """A Content-Length, or None if it is no number of at most 18 digits."""
+    return int(told) if told.isascii() and told.isdigit() and len(told) <= 18 else None
+
+
+def _parse(text: bytes) -> dict:
     """Fields of a candidate record whose magic has been cut off."""
     end = text.find(b"\r\n\r\n")
     out = {"valid": False, "span": None, "type": None, "id": None, "refers": None, "uri": None, "content_type": None, "digest": None, "payload_bytes": None, "computed": None, "whole": False}
@@ -90,10 +95,10 @@ def _parse(text: bytes, payload: bytes | None = None) -> dict:
         if not colon:
             return out
         fields[name.strip().lower()] = value.strip().decode("utf-8", "replace")
-    length = fields.get(b"content-length", "")
-    if not (length.isascii() and length.isdigit()) or b"warc-type" not in fields:
+    length = _length(fields.get(b"content-length", ""))
+    if length is None or b"warc-type" not in fields:
         return out
-    span = end + 4 + int(length)
+    span = end + 4 + length
     out |= {"valid": True, "span": len(MAGIC) + span + len(END), "whole": span + len(END) == len(text)}
     out |= {"type": fields[b"warc-type"], "id": fields.get(b"warc-record-id"), "refers": fields.get(b"warc-refers-to"), "uri": fields.get(b"warc-target-uri"), "content_type": fields.get(b"content-type"), "digest": fields.get(b"warc-payload-digest")}
     if span > len(text):
@@ -102,8 +107,8 @@ def _parse(text: bytes, payload: bytes | None = None) -> dict:
     if (out["content_type"] or "").startswith("application/http"):
         head, gap, rest = body.partition(b"\r\n\r\n")
         if gap:
-            own = [v for n, _, v in (x.partition(b":") for x in head.split(b"\r\n")) if n.strip().lower() == b"content-length"]
-            out["payload_bytes"] = int(own[0]) if out["type"] == "revisit" and own else len(rest)
+            own = [_length(v.strip().decode("latin-1")) for n, _, v in (x.partition(b":") for x in head.split(b"\r\n")) if n.strip().lower() == b"content-length"]
+            out["payload_bytes"] = own[0] if out["type"] == "revisit" and own and own[0] is not None else len(rest)
             out["computed"] = None if out["type"] == "revisit" else hashlib.sha256(rest).hexdigest()
             return out
     out["payload_bytes"], out["computed"] = len(body), hashlib.sha256(body).hexdigest()
@@ -168,6 +173,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     ``digest`` is the header's, ``computed`` the SHA-256 of the payload read
     (null for revisits).  A file that does not start with a record gives none;
     a chain that leads to no record ends there.  Empty files give none.
+    Records whose payload holds a magic are read again by byte range, through
+    ``pyarrow.fs``.
     """
     prepare(spark)
     found = table(_cuts(spark, folder).mapInArrow(_candidates, _HEAD), "candidates")
@@ -197,35 +204,40 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     full = placed.join(kept, ["file", "at"])
     plain = full.where("whole").select(*cols)
     wide = table(full.where("not whole").select("file", "at", "next"), "wide")
-    if wide.isEmpty():
-        return plain
-    return plain.union(_rejoined(spark, folder, placed, wide).select(*cols))
-
-
-def _rejoined(spark: SparkSession, folder: str, placed: DataFrame, wide: DataFrame) -> DataFrame:
-    """Records whose payload holds a magic: their cuts are read again and put together."""
-    owners = wide.select(F.col("file").alias("f"), F.col("at").alias("head"), "next")
-    spots = placed.select("file", "block", "seq", "at")
-    # each cut of such a file to the last wide record that starts at or before it
-    both = spots.withColumn("head", F.lit(None).cast("long")).withColumn("next", F.lit(None).cast("long"))
-    heads = owners.select(F.col("f").alias("file"), F.lit(None).cast("long").alias("block"), F.lit(-1).alias("seq"), F.col("head").alias("at"), "head", "next")
-    order = Window.partitionBy("file").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("head").isNotNull(), F.struct("head", "next")), ignorenulls=True).over(order)
-    parts = both.union(heads).withColumn("own", last).where("seq >= 0 and own is not null and at < own.next")
-    parts = table(parts.select("file", "block", "seq", "at", F.col("own.head").alias("head")), "parts")
-
-    def cuts(batches):
-        for file, block, seq, _, value in _numbered(batches):
-            yield pa.RecordBatch.from_pydict({"file": [file], "block": pa.array([block], pa.int64()), "seq": pa.array([seq], pa.int32()), "value": pa.array([value], pa.binary())})
-
-    def joined(rows):
-        rows = rows.sort_by("at").to_pylist()
-        own = _parse(MAGIC.encode().join(r["value"] for r in rows))
-        return pa.Table.from_pylist([{"file": rows[0]["file"], "at": rows[0]["head"]} | {k: own[k] for k in ("type", "id", "refers", "uri", "digest", "payload_bytes", "computed")}], _PART)
-
-    again = _cuts(spark, folder).mapInArrow(cuts, "file string, block long, seq int, value binary")
-    held = again.join(_if_small(parts), ["file", "block", "seq"])
-    return held.groupBy("file", "head").applyInArrow(joined, "file string, at long, type string, id string, refers string, uri string, digest string, payload_bytes long, computed string")
+    return plain if wide.isEmpty() else plain.union(_ranged(wide).select(*cols))
+
+
+def _ranged(wide: DataFrame) -> DataFrame:
+    """Records ``wide(file, at, next)`` whose payload holds a magic, read by their byte ranges.
+
+    A range does not depend on how the files were split when the candidates
+    were found.  One that cannot be read is an error, never a missing record;
+    the last record of a file may lack the blank lines behind it.
+    """
+    n = int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, name = None, None
+        try:
+            for batch in batches:
+                for file, at, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if file != name:
+                        if opened is not None:
+                            opened.close()
+                        fs, path = open_store(file)
+                        opened, name = fs.open_input_file(path), file
+                    opened.seek(at)
+                    text = opened.read(end - at)
+                    if not text.startswith(MAGIC.encode()):
+                        raise ValueError(f"no record at byte {at} of {file}")
+                    own = _parse(text[len(MAGIC) :])
+                    yield pa.RecordBatch.from_pylist([{"file": file, "at": at} | {k: own[k] for k in _PART.names[2:]}], _PART)
+        finally:
+            if opened is not None:
+                opened.close()
+
+    dealt = wide.repartition(n, "file", "at").sortWithinPartitions("file", "at")
+    return dealt.mapInArrow(ranges, "file string, at long, type string, id string, refers string, uri string, digest string, payload_bytes long, computed string")
 
 
 _PART = pa.schema([("file", pa.string()), ("at", pa.int64()), ("type", pa.string()), ("id", pa.string()), ("refers", pa.string()), ("uri", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("computed", pa.string())])
