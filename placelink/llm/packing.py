@@ -9,9 +9,9 @@ of the file in order, with their numbers of ids.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -19,17 +19,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placelink.llm.common import prepare, shared_path, table
+from placelink.llm.common import open_store, prepare, shared_path, table
 
 MAGIC = b"PLBITS1\n"
 HEADER = struct.Struct("<8sBI")  # magic, bits of an id, ids of a block
 TRAILER = struct.Struct("<QQQ8s")  # offset of the index, ids, documents, magic
 BLOCK = 8_192
-#: Entries of a generation of a worker's caches of encoded words, and of parts of words.
-WORDS, PARTS = 200_000, 300_000
+#: Entries of a generation of a worker's cache of encoded pieces of words.
+PARTS = 200_000
+#: Code points of a slice of a long text; short texts are encoded together up to four times as many bytes.
+SLICE = 1 << 20
+_BLANK = re.compile("[ \t\n\r\v\f]+")
 
 
 def bits_for(vocabulary: int) -> int:
@@ -135,48 +139,51 @@ class Reader:
         return self.ids(int(self.starts[k]), int(self.counts[k]))
 
 
-#: Texts of these code points alone are split here; others by the library.
-_PLAIN = re.compile("[\t\n\r -~¡-©«-±´¶-¸»¿-ÿ]*")
-_PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\\s0-9a-zß-öø-ÿ]+")
-#: White space to str.split that is none to the tokenizer's rule, or kept for it.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_BLANK = re.compile("[ \t\n\r\v\f]+")
-
+#: The rule under which a text's ids are its words' ids: what is no white space is kept in runs and nothing looks beyond it.
+_RULE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
-class _Recent:
-    """A map that forgets what was not asked for while ``most`` others came."""
 
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+def words_apart(told: dict) -> bool:
+    """Whether a tokenizer file encodes what stands between ASCII white space word by word."""
+    added = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and t["content"].split() == [t["content"]] for t in told.get("added_tokens") or [])
+    return added and not told.get("truncation") and not told.get("padding") and all(told.get(k) == v for k, v in _RULE.items())
 
-    def get(self, key: str) -> array | None:
-        found = self.young.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.put(key, found)
-        return found
 
-    def put(self, key: str, value: array) -> None:
-        if len(self.young) >= self.most:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+#: Words with other characters than these, or with what may be a special token, go to the library.
+_ODD = "[^!-~¡-©«-±´¶-¸»¿-ÿ]|<\\|"
+_PIECES = re.compile("\n|'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\n0-9a-zß-öø-ÿ]+")
+#: Stands for the end of a word among packed ids.
+_END = b"\xff\xff\xff\xff"
 
 
 class WordEncoder:
-    """The tokenizers library on whole texts, each distinct word encoded once.
-
-    White space is dropped and every word is normalised, split and merged on
-    its own by the tokenizer, so the ids of a text are its words' ids.  Words
-    of common Latin characters are split by the tokenizer's own rule here and
-    their pieces merged by its model; all others go to the tokenizer whole.
+    """The tokenizers library on whole texts; each distinct word of a slice of texts is encoded once.
+
+    Arrow splits the texts at ASCII white space and numbers the words, and
+    numpy gathers the ids of the distinct ones into those of the texts.  Words
+    of common Latin characters are split by ``_RULE`` here, all in one pass,
+    and their pieces merged by the tokenizer's model, unless they are cached;
+    all others go to the tokenizer.  Where the tokenizer file has another rule
+    the library gets the texts whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.parts = _Recent(WORDS), _Recent(PARTS)
+        with open(path, encoding="utf-8") as file:
+            self.apart = words_apart(json.load(file))
+        self.young: dict[str, bytes] = {"\n": _END}
+        self.old: dict[str, bytes] = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spare = iter(range(256, 512))
         self.letters = {b: b if b in printable else next(spare) for b in range(256)}
@@ -185,38 +192,87 @@ class WordEncoder:
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def _part(self, part: str) -> array:
-        found = self.parts.get(part)
+    def _part(self, part: str) -> bytes:
+        """The packed ids of a piece; the cache forgets what was not asked for while ``PARTS`` others came."""
+        found = self.young.get(part) or self.old.get(part)
         if found is None:
-            shown = part.encode().decode("latin-1").translate(self.letters)
-            found = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)])
-            if len(part) <= 64:
-                self.parts.put(part, found)
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            found = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        if len(part) <= 64:
+            if len(self.young) >= PARTS:
+                self.old, self.young = self.young, {"\n": _END}
+            self.young[part] = found
         return found
 
-    def _word(self, word: str) -> array:
-        found = self.words.get(word)
-        if found is not None:
-            return found
-        if _PLAIN.fullmatch(word) and "<|" not in word and len(word) <= 1_000:
-            found = array("I")
-            for part in _PIECES.findall(word.lower()):
-                found += self._part(part)
-        else:
-            found = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(word) <= 64:
-            self.words.put(word, found)
-        return found
-
-    def __call__(self, text: str) -> array:
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text) and any(unicodedata.combining(c) for c in text):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
-        out = array("I")
-        for word in _BLANK.split(text) if _ODD.search(text) else text.split():
-            if word:
-                known = self.words.young.get(word)
-                out += self._word(word) if known is None else known
-        return out
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that ``_RULE`` splits here, and how many each one has."""
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py()
+        pieces = _PIECES.findall(joined.lower())
+        held = list(map(self.young.get, pieces))
+        for k, found in enumerate(held):
+            if found is None:
+                held[k] = self._part(pieces[k])
+        ids = np.frombuffer(b"".join([*held, _END]), np.uint32)
+        ends = np.flatnonzero(ids == 0xFFFFFFFF)
+        return ids[ids != 0xFFFFFFFF], np.diff(ends, prepend=-1) - 1
+
+    def _others(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words that go to the library."""
+        ids, n = array("I"), []
+        for at in range(0, len(words), 1_024):  # an encoding holds far more than its ids
+            for made in self.tokenizer.encode_batch_fast(words[at : at + 1_024].to_pylist(), add_special_tokens=False):
+                ids.extend(made.ids)
+                n.append(len(made.ids))
+        return np.frombuffer(ids, np.uint32) if ids else np.zeros(0, np.uint32), np.array(n, np.int64)
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each one's end."""
+        split = pc.ascii_split_whitespace(texts)
+        ends = split.offsets.to_numpy()
+        held = split.flatten().dictionary_encode()
+        odd = pc.match_substring_regex(held.dictionary, _ODD)
+        plain, others = self._plain(held.dictionary.filter(pc.invert(odd))), self._others(held.dictionary.filter(odd))
+        ids = np.concatenate([plain[0], others[0]])
+        odd = odd.to_numpy(zero_copy_only=False)
+        width, first = np.empty(len(odd), np.int64), np.empty(len(odd), np.int64)
+        width[~odd], width[odd] = plain[1], others[1]
+        first[~odd], first[odd] = np.cumsum(plain[1]) - plain[1], len(plain[0]) + np.cumsum(others[1]) - others[1]
+        at = held.indices.to_numpy()
+        last = np.concatenate([[0], np.cumsum(width[at])])
+        spot = np.arange(last[-1]) + np.repeat(first[at] - last[:-1], width[at])
+        return ids[spot], last[ends[1:] - ends[0]]
+
+    def _long(self, text: str) -> np.ndarray:
+        """Ids of one text, cut at white space into slices."""
+        parts, at = [], 0
+        while at < len(text):
+            cut = _BLANK.search(text, at + SLICE)
+            end = cut.end() if cut else len(text)
+            parts.append(self._slice(pa.array([text[at:end]], pa.string()))[0])
+            at = end
+        return np.concatenate(parts)
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each of ``texts``, none of them null."""
+        if not self.apart:
+            for text in texts:
+                yield np.array(self.tokenizer.encode(text.as_py(), add_special_tokens=False).ids, np.uint32)
+            return
+        size = pc.binary_length(texts).to_numpy()
+        at = 0
+        while at < len(texts):
+            end, held = at + 1, int(size[at])
+            if held > 4 * SLICE:
+                yield self._long(texts[at].as_py())
+            else:
+                while end < len(texts) and held + int(size[end]) <= 4 * SLICE:
+                    held += int(size[end])
+                    end += 1
+                ids, ends = self._slice(texts.slice(at, end - at))
+                yield from np.split(ids, ends[:-1])
+            at = end
 
 
 @lru_cache(maxsize=2)
@@ -224,21 +280,15 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def open_store(uri: str):
-    """Filesystem and path of a URI of the shared storage."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def write(df: DataFrame, path: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Encode every whole text and write packed files into ``folder``.
 
     Returns the manifest ``(shard, uri, n_docs, n_ids, first_id)``, one row a
     file; files in order of ``shard`` hold the documents in ascending id (null
-    first, ties by text).  Each task writes one file under a name of its
-    attempt and then renames it, so a task that runs again replaces its file
-    by an equal one.  A null text counts as empty: only its end id is written.
+    first, ties by text).  Each attempt of a task writes a file of its own name;
+    the manifest lists those of the attempts that were committed, so nothing is
+    renamed or replaced and what a lost attempt left is never read.  A null
+    text counts as empty: only its end id is written.
     """
     spark = df.sparkSession
     prepare(spark)
@@ -253,20 +303,17 @@ def write(df: DataFrame, path: str, end_id: int, folder: str, id_col: str = "doc
         task, writer = TaskContext.get(), None
         encode = word_encoder(path)
         fs, at = open_store(folder)
-        part, final = f"{at}/.attempt-{task.taskAttemptId()}", f"{at}/shard-{task.partitionId():07d}.bin"
+        name = f"shard-{task.partitionId():07d}-{task.taskAttemptId()}.bin"
         for batch in batches:
             if writer is None:
-                out = fs.open_output_stream(part)
+                out = fs.open_output_stream(f"{at}/{name}")
                 writer = Writer(out, bits_for(max(encode.vocabulary, end_id + 1)), block)
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py())
-                ids.append(end_id)
-                writer.add(doc, np.frombuffer(ids, np.uint32))
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                writer.add(doc, np.append(ids, np.uint32(end_id)))
         if writer is not None:
             writer.close()
             out.close()
-            fs.move(part, final)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "uri": [f"{folder}/shard-{task.partitionId():07d}.bin"], "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_ids": pa.array([writer.n_ids], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "uri": [f"{folder}/{name}"], "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_ids": pa.array([writer.n_ids], pa.int64())})
 
     manifest = table(dealt.mapInArrow(store, "shard int, uri string, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

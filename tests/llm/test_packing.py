@@ -1,9 +1,11 @@
 import io
+import json
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -40,9 +42,33 @@ def test_words_give_the_ids_of_the_whole_text():
     whole, words = Tokenizer.from_file(PATH), packing.WordEncoder(PATH)
     rng = random.Random(4)
     parts = ["a", "B", "'s", "'", "é", "É", "ß", "İ", " ", "  ", "\n", "\x1c", "\x85", "\xa0", " ", "1", "²", "½", "µ", "-", "<|endoftext|>", "<|", "é", "́", "日本", "\U0001f600", "Σ", "ς", "×", "x" * 70]
-    for _ in range(3_000):
-        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
-        assert list(words(text)) == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    assert words.apart
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3_000)]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):  # the second time from the cache
+        assert [ids.tolist() for ids in words(pa.array(texts))] == want
+
+
+def test_long_texts_are_cut_at_white_space(monkeypatch):
+    monkeypatch.setattr(packing, "SLICE", 7)
+    monkeypatch.setattr(packing, "PARTS", 2)
+    whole, words = Tokenizer.from_file(PATH), packing.WordEncoder(PATH)
+    texts = ["", "It's a test of  slices\n", "x" * 100, " " * 50 + "end", "one two " * 40, "É́ " * 30]
+    assert [ids.tolist() for ids in words(pa.array(texts))] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_files_with_another_rule_go_to_the_library_whole(tmp_path):
+    with open(PATH, encoding="utf-8") as file:
+        told = json.load(file)
+    assert packing.words_apart(told)
+    told["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(told))
+    words = packing.WordEncoder(str(other))
+    assert not words.apart
+    texts = ["Two words", "", "a  b\nc"]
+    whole = Tokenizer.from_file(str(other))
+    assert [ids.tolist() for ids in words(pa.array(texts))] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_round_trip(spark):
