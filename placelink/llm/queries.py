@@ -98,6 +98,35 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p LEFT JOIN f ON payload_digest = digest
 """
 
+_OP4 = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), e AS (
+  SELECT doc_id, r, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM d
+), classes AS (
+  SELECT min(r) AS c, s, len(s) AS n FROM (SELECT r, list_sort(s) AS s FROM e WHERE len(s) > 0) GROUP BY s
+), member AS (
+  SELECT doc_id, r, c FROM e JOIN classes ON list_sort(e.s) = classes.s
+), each AS (SELECT c, n, unnest(s) AS g FROM classes
+), l AS (
+  SELECT a.c AS a, b.c AS b FROM each a JOIN each b ON a.g = b.g AND a.c < b.c AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), t AS (  -- sets that are linked, and sets of rows that share an id
+  SELECT a, b FROM l UNION SELECT b, a FROM l
+  UNION SELECT x.c, y.c FROM member x JOIN member y ON x.doc_id = y.doc_id AND x.c <> y.c
+), reach(a, b) AS (
+  SELECT c, c FROM classes UNION SELECT reach.a, t.b FROM reach JOIN t ON reach.b = t.a
+), f AS (
+  SELECT reach.a AS c, min(m.doc_id) AS first_id FROM reach JOIN member m ON m.c = reach.b GROUP BY reach.a
+)
+SELECT e.doc_id, CAST(len(e.s) AS BIGINT) AS n_shingles, CASE WHEN e.doc_id IS NOT NULL THEN coalesce(f.first_id, e.doc_id) END AS component_id
+FROM e LEFT JOIN member m ON m.r = e.r LEFT JOIN f ON f.c = m.c
+"""
+
 _OP7 = """
 WITH l AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
@@ -121,7 +150,7 @@ GROUP BY d.doc_id, d.text
 _OP8 = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS h
   FROM documents
 ), s AS (
   SELECT source, sum(size) AS source_size,
@@ -135,20 +164,24 @@ WITH d AS (
 ), l AS (
   SELECT *, (total - room_before) / weight_after AS level, room / w < (total - room_before) / weight_after AS is_full FROM r
 ), t AS (
-  SELECT source, CAST(source_size AS BIGINT) AS source_size,
+  SELECT source, w, CAST(source_size AS BIGINT) AS source_size,
          CASE WHEN is_full THEN CAST(room AS DOUBLE)
               ELSE (SELECT max(level) FROM l WHERE NOT is_full) * w END AS target
   FROM l
 ), c AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT doc_id, size, source_size, target, w,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
          CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 1 END AS whole
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), x AS (
-  SELECT *, least(whole + CASE WHEN before + size / 2 <= target - whole * source_size THEN 1 ELSE 0 END, 3) AS times FROM c
+  SELECT *, least(whole + CASE WHEN before + size / 2 <= target - whole * source_size THEN 1 ELSE 0 END, 3) AS times,
+         CASE WHEN target > 0 THEN least(1.0::DOUBLE, (before + size / 2) / target) END AS u
+  FROM c
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * times AS BIGINT) AS taken,
-       CASE WHEN times > 0 AND target > 0 THEN round(least(1.0::DOUBLE, (before + size / 2) / target), 9) END AS position
+       -- weights rise, fall, or rise and fall over time: the inverse of t^2, 2t - t^2, and 2t^2 followed by 1 - 2(1 - t)^2
+       CASE WHEN times > 0 AND target > 0 THEN round(CASE WHEN w = 1 THEN sqrt(u) WHEN w = 2 THEN 1 - sqrt(1 - u)
+            WHEN u <= 0.5 THEN sqrt(u / 2) ELSE 1 - sqrt((1 - u) / 2) END, 9) END AS position
 FROM x
 """
 
@@ -169,4 +202,4 @@ SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, c.com
 FROM v JOIN c ON c.a = v.vec_id
 """
 
-ORACLES: dict[str, str] = {"op3_warc": _OP3, "op6_vector_dedup": _OP6, "op7_line_dedup": _OP7, "op8_source_mix": _OP8}
+ORACLES: dict[str, str] = {"op3_warc": _OP3, "op4_jaccard_join": _OP4, "op6_vector_dedup": _OP6, "op7_line_dedup": _OP7, "op8_source_mix": _OP8}

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,44 @@ def test_schedule_follows_the_curriculum(spark):
     assert quarter[0] > 0.8 and quarter[3] < 0.2 and quarter == sorted(quarter, reverse=True)
 
 
+def test_positions_invert_the_integral(spark):
+    """Each document's position by a fine numeric integration of its source's schedule."""
+    knots = {"a": [(0.2, 1.0), (0.6, 0.0), (0.8, 3.0)], "b": [(0.0, 2.0)], "c": [(0.0, 0.0), (0.5, 0.0), (1.0, 1.0)], None: [(0.5, 1.0)]}
+    rows = [(k, "w " * (k % 5 + 1), [*"abc", None][k % 4]) for k in range(200)]
+    got = mixing.summary(spark.createDataFrame(rows, "doc_id long, text string, source string"), schedules=knots).collect()
+    fine = np.linspace(0, 1, 400_001)
+    size = {d: (len(t.split()), s) for d, t, s in rows}
+    for source, held in knots.items():
+        own = sorted((r for r in got if size[r.doc_id][1] == source), key=lambda r: hashlib.md5(str(r.doc_id).encode()).hexdigest())
+        w = np.interp(fine, [t for t, _ in held], [x for _, x in held])
+        area = np.concatenate([[0], np.cumsum((w[1:] + w[:-1]) / 2)])
+        before = 0
+        for r in own:
+            u = min(1.0, (before + r["size"] / 2) / r.target)
+            if r.taken:
+                assert r.position == pytest.approx(float(np.interp(u, area / area[-1], fine)), abs=2e-5)
+            before += r["size"]
+    assert all(r.position >= 0.5 for r in got if size[r.doc_id][1] == "c" and r.position is not None)
+
+
+def test_a_schedule_takes_every_row_as_often_as_the_summary_says(spark):
+    rows = [*ROWS, (5, "word " * 6, "d"), (5, "other word", "d"), (None, "no id here", "b"), (None, "no id either", "b"), (2000, "only blanks follow", "zero")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("part", F.lit("clash")).withColumn("x", F.monotonically_increasing_id())
+    plans = {"zero": [(0.0, 0.0)]}
+    got = mixing.schedule(df, schedules=plans)
+    assert got.columns == df.columns
+    counts: dict = {}
+    for r in got.collect():
+        key = (r.doc_id, len(re.findall(mixing.WORD, r.text or "")))
+        counts[key] = counts.get(key, 0) + 1
+    taken: dict = {}
+    for r in mixing.summary(df, schedules=plans).collect():
+        if r["size"]:
+            taken[(r.doc_id, r["size"])] = taken.get((r.doc_id, r["size"]), 0) + r.taken // r["size"]
+    assert {k: v for k, v in counts.items() if k[1]} == {k: v for k, v in taken.items() if v}
+    assert (2000, 3) not in counts and mixing.schedule(df.limit(0)).count() == 0
+
+
 def test_order_is_by_hash_of_the_id(spark):
     rows = [(k, "w", "a") for k in range(50)]
     got = [r.doc_id for r in mixing.summary(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
