@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from placelink.llm.common import prepare
 
 #: Kinds in their order for equal starts; the first four are the base.
-KINDS = ("email", "ip", "card", "phone", "url", "iban", "ssn", "account")
+KINDS = ("email", "ip", "card", "phone", "url", "iban", "ssn", "account", "secret")
 BASE = KINDS[:4]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -34,7 +34,12 @@ _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1
 _SSN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9])")
 _ACCOUNT = re.compile(r"[0-9](?:[\x20-]?[0-9]){5,16}(?![0-9])")
 _SCHEMES = ("http", "https", "ftp")
+#: After the cue of a secret: perhaps a quote, then an assignment, then perhaps a quote.
+_ASSIGNED = re.compile(r"[\"'\x60]?(?:\x20{0,3}(?:=>|:=|[:=])\x20{0,3}|\x20)(?:bearer\x20)?[\"'\x60]?", re.IGNORECASE)
+_SECRET = re.compile(r"[A-Za-z0-9_+/.~$!%^&*=-]{12,512}")
 _CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account"}
+_CUES |= dict.fromkeys(("api key", "api-key", "api_key", "apikey", "access key", "access_key", "secret", "token", "password", "passwd", "bearer"), "secret")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 @lru_cache(maxsize=1)
@@ -52,8 +57,7 @@ def _anchors():
             for gap in " -":
                 found.add_word(a + gap + b, ("card", 3))
     for cue, kind in _CUES.items():
-        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            found.add_word(form, (kind, len(form)))
+        found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
@@ -74,6 +78,16 @@ def iban_valid(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def secret_like(value: str) -> bool:
+    """Letters and digits mixed, as words and numbers are not."""
+    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+
+
+def _folded(text: str) -> str:
+    """``text`` with A-Z lower-cased, place by place."""
+    return text.lower() if text.isascii() else text.translate(_LOWER)
+
+
 def _byte(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) <= 3 and int(part or "0") <= 255
@@ -83,7 +97,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` of all spans, by start, then kind; code points, end exclusive."""
     out: list[tuple[str, int, int]] = []
     done = dict.fromkeys(KINDS, 0)  # where the kind's next match may start
-    for last, (kind, width) in _anchors().iter(text):
+    for last, (kind, width) in _anchors().iter(_folded(text)):
         at = last + 1 - width
         if kind == "email":
             start = at
@@ -130,8 +144,9 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 out.append((kind, start, end))
         else:
             before = text[at - 1] if at else " "
-            gap = _AFTER_CUE.match(text, last + 1) if not (before.isalnum() or before == "_") else None
-            form, ok = {"iban": (_IBAN, iban_valid), "ssn": (_SSN, lambda _: True), "account": (_ACCOUNT, lambda _: True)}[kind]
+            after, form, ok = _FORMS[kind]
+            # a secret's cue may end a longer name, such as client_secret
+            gap = after.match(text, last + 1) if not (before.isalnum() or before == "_" and kind != "secret") else None
             m = form.match(text, gap.end()) if gap else None
             if m and m.start() >= done[kind] and ok(m.group()):
                 done[kind] = m.end()
@@ -140,6 +155,9 @@ def find(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+_FORMS = {"iban": (_AFTER_CUE, _IBAN, iban_valid), "ssn": (_AFTER_CUE, _SSN, bool), "account": (_AFTER_CUE, _ACCOUNT, bool), "secret": (_ASSIGNED, _SECRET, secret_like)}
+
+
 def redact(text: str) -> str:
     """``text`` with its spans replaced by their kinds; of spans that overlap the first counts."""
     parts, at = [], 0

@@ -36,6 +36,22 @@ def test_more_kinds():
     assert pii.redact("mail a@b.cd now") == "mail <email> now"
 
 
+def test_cues_in_any_case_and_secrets():
+    text = "IbAN GB82WEST12345698765432; Token = \"f3ef4d6b2755a36d\" client_secret: 'Abc-123456789' API-Key=0123456789abcdef Authorization: Bearer abcdef0123456789.x"
+    got = [(k, text[a:b]) for k, a, b in pii.find(text)]
+    assert got == [("iban", "GB82WEST12345698765432"), ("secret", "f3ef4d6b2755a36d"), ("secret", "Abc-123456789"), ("secret", "0123456789abcdef"), ("secret", "abcdef0123456789.x")]
+    assert pii.find("the secret of understanding tokens 123456789012 and a password: correcthorsebattery") == []
+    assert pii.find("İİİ token=abcdefgh1234") == [("secret", 10, 22)]
+
+
+def test_spans_of_two_kinds_at_one_start_stand_in_order():
+    text = "account 12345678901234567 token: 4242424242424242a ssn 123-45-6789"
+    found = pii.find(text)
+    assert found == sorted(found, key=lambda s: (s[1], pii.KINDS.index(s[0]))) and {"account", "secret", "ssn"} <= {k for k, _, _ in found}
+    tied = pii.find("account 4242424242424242")
+    assert [(k, a) for k, a, _ in tied] == [("card", 8), ("account", 8)]
+
+
 def test_report(spark):
     rows = [(1, "é a@b.cd 10.0.0.1", "x"), (2, None, "y"), (3, "", None), (None, "+1 (706) 555-3138", "z"), (1, "é a@b.cd 10.0.0.1", "x"), (4, "9" * 200_000, "long")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
