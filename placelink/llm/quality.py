@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placelink.llm.common import prepare
+from placelink.llm.common import prepare, table
 
 #: Bytes of a filter, bytes between its places, bytes of a chunk's half, filters, bytes' dimensions.
 WIDTH, STRIDE, HALF, FILTERS, EMBED = 8, 1, 128, 16, 8
 #: The sample learnt from: so many labelled rows at most, none of more bytes than this.
 MAX_ROWS, MAX_BYTES = 3_000, 32_768
 EPOCHS, BATCH, RATE = 10, 64, 0.01
+#: Halves of a segment of a long text, and bytes of texts that are scored together.
+SEGMENT, TOGETHER = 2_048, 1 << 18
 THRESHOLD = 0.7
 _PER = HALF // STRIDE
 
@@ -93,6 +95,21 @@ def probabilities(texts: list[bytes], model: Model, tables: list[np.ndarray]) ->
     return _sigmoid(_features(pages, top)[1].astype(np.float64) @ model.head + model.offset)
 
 
+def probability(text: bytes, model: Model, tables: list[np.ndarray]) -> float:
+    """The same of one text, walked in segments; only the maxima of its halves are held whole."""
+    parts, at = [], 0
+    while at + SEGMENT * HALF < len(text):
+        # places up to the segment's end look WIDTH - 1 bytes beyond it
+        pages = Pages([text[at : at + SEGMENT * HALF + WIDTH]])
+        parts.append(_pooled(pages, tables, model.bias)[1][:SEGMENT])
+        at += SEGMENT * HALF
+    parts.append(_pooled(Pages([text[at:]]), tables, model.bias)[1])
+    top = np.concatenate(parts)
+    chunk = np.maximum(np.maximum(top[:-1], top[1:]) if len(top) > 1 else top, 0)
+    feats = np.concatenate([np.add.reduceat(chunk, [0], axis=0)[0] / np.int64(len(chunk)), chunk.max(axis=0)])
+    return float(_sigmoid(feats.astype(np.float64) @ model.head + model.offset))
+
+
 def fit(texts: list[bytes], labels: list[int], seed: int = 0, epochs: int = EPOCHS) -> Model:
     """Fit on texts and 0/1 labels; one class alone gives its rate, no rows keep everything."""
     y = np.array(labels, np.float64)
@@ -169,17 +186,20 @@ def held_out(ident: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
     """Fit on labelled rows that are not held out.
 
-    Of them the ``max_rows`` whose ids hash least and whose texts have at most
-    ``max_bytes`` bytes are taken, which bounds what reaches the driver.  Null
-    labels and ids, and ids with labels that contradict each other, are left out.
+    Of those with texts of at most ``max_bytes`` bytes the ``max_rows`` whose
+    ids hash least are taken, which bounds what reaches the driver.  Null
+    labels and ids, and ids with labels that contradict each other, are left
+    out; of an id with several texts all that are short enough count.
     """
     told = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
     told = told.groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z")).where("y = z")
-    told = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select(F.col("doc_id").alias("label_id"), "y")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= max_bytes)
-    found = rows.join(F.broadcast(told), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y")
-    sample = sorted({(r["doc_id"], r["text"], r["y"]) for r in found.toLocalIterator()})
-    return fit([t.encode("utf-8", "surrogatepass") for _, t, _ in sample], [int(y > 0) for _, _, y in sample])
+    told = told.join(rows.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    told = table(told.select(F.col("doc_id").alias("label_id"), "y"), "labelled")
+    # max_rows rows of two numbers
+    found = rows.join(F.broadcast(told), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y").distinct().orderBy("doc_id", "text").limit(max_rows)
+    sample = [(r["text"], r["y"]) for r in found.toLocalIterator()]
+    return fit([t.encode("utf-8", "surrogatepass") for t, _ in sample], [int(y > 0) for _, y in sample])
 
 
 _tables: dict[bytes, list[np.ndarray]] = {}
@@ -204,12 +224,15 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             texts = [t.as_py().encode("utf-8", "surrogatepass") for t in batch.column(1)]
             out, at = np.empty(len(texts)), 0
-            while at < len(texts):  # a quarter of a megabyte at a time, one text at least
+            while at < len(texts):
                 end, size = at + 1, len(texts[at])
-                while end < len(texts) and size + len(texts[end]) <= 1 << 18:
-                    size += len(texts[end])
-                    end += 1
-                out[at:end] = probabilities(texts[at:end], model, _tables[mark])
+                if size > TOGETHER:
+                    out[at] = probability(texts[at], model, _tables[mark])
+                else:
+                    while end < len(texts) and size + len(texts[end]) <= TOGETHER:
+                        size += len(texts[end])
+                        end += 1
+                    out[at:end] = probabilities(texts[at:end], model, _tables[mark])
                 at = end
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], [name, "_score"])
 

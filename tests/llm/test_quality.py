@@ -46,6 +46,58 @@ def test_a_score_depends_on_its_text_alone():
     assert np.allclose(together, alone) and ((0 <= together) & (together <= 1)).all()
 
 
+def plain_score(text, model):
+    """Filters at every byte in plain loops, chunks of two halves of 128 bytes, mean and maximum, one logistic unit."""
+    halves = (len(text) + quality.WIDTH - 1) // quality.HALF + 1
+    padded = text + bytes(halves * quality.HALF + quality.WIDTH)
+    top = []
+    for h in range(halves):
+        places = [p for p in range(h * quality.HALF, (h + 1) * quality.HALF) if p < max(len(text), 1)]
+        sums = [[sum(float(model.table[k, padded[p + k], f]) for k in range(quality.WIDTH)) for f in range(quality.FILTERS)] for p in places]
+        top.append([max((s[f] for s in sums), default=float("-inf")) + float(model.bias[f]) for f in range(quality.FILTERS)])
+    pairs = list(zip(top, top[1:])) if halves > 1 else [(top[0], top[0])]
+    chunks = [[max(a[f], b[f], 0.0) for f in range(quality.FILTERS)] for a, b in pairs]
+    feats = [sum(c[f] for c in chunks) / len(chunks) for f in range(quality.FILTERS)] + [max(c[f] for c in chunks) for f in range(quality.FILTERS)]
+    return 1 / (1 + np.exp(-(sum(x * w for x, w in zip(feats, model.head)) + model.offset)))
+
+
+def test_scores_equal_a_plain_forward_pass(monkeypatch):
+    rows = sample(60, 5)
+    model = quality.fit([t.encode() for _, t, _ in rows], [y for _, _, y in rows], epochs=1)
+    tables = quality.pair_tables(model)
+    texts = [t.encode() for _, t, _ in sample(4, 6)] + [b"", b"a", b"abcdefgh", "é!".encode() * 43, b"q" * 121, b"q" * 122, b"xyz " * 300]
+    want = [plain_score(t, model) for t in texts]
+    assert np.allclose(quality.probabilities(texts, model, tables), want, atol=1e-4)
+    assert np.allclose([quality.probability(t, model, tables) for t in texts], want, atol=1e-4)
+    for halves in (1, 2, 3):
+        monkeypatch.setattr(quality, "SEGMENT", halves)
+        whole = quality.probabilities(texts, model, tables)
+        assert np.allclose([quality.probability(t, model, tables) for t in texts], whole, rtol=0, atol=1e-7)
+
+
+def test_held_out_labels_do_not_change_scores(spark, monkeypatch):
+    monkeypatch.setattr(quality, "EPOCHS", 2)
+    rows = sample(200, 8)
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    held = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    labels = [spark.createDataFrame([(k, 1 - y if flip and held(k) else y) for k, _, y in rows], "doc_id long, quality int") for flip in (False, True)]
+    a, b = (sorted(map(tuple, quality.report(docs, told).collect())) for told in labels)
+    assert a == b
+
+
+def test_long_labelled_texts_leave_their_places_to_others(spark):
+    docs = spark.createDataFrame([(k, "x" * (50_000 if k % 2 else 10)) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 3 % 2) for k in range(40)], "doc_id long, quality int")
+    seen = []
+    real = quality.fit
+    quality.fit, old = (lambda texts, y: seen.append(len(texts)) or real(texts, y, epochs=1)), real
+    try:
+        quality.train(docs, labels, max_rows=8)
+    finally:
+        quality.fit = old
+    assert seen == [8]
+
+
 def test_filters_see_every_alignment():
     cue = b"abcdefgh"
     table = np.zeros((quality.WIDTH, 256, quality.FILTERS), np.float32)
