@@ -38,8 +38,8 @@ SMALL = 8
 SLACK = 1.2
 #: Sets of a side of a block of comparisons.
 CELL = 1_024
-#: Pairs verified in one task against one hub's set.
-SALT = 512
+#: Pairs for which a hub's set is sent once; they are verified together.
+SALT = 64
 #: Ids up to which a table of ids is broadcast: some 2 MB.
 BROADCAST_ROWS = 100_000
 #: Words whose hashes a worker keeps while a task runs.
