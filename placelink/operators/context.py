@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,5 @@ def view(documents: DataFrame, references: DataFrame, referents: DataFrame, tags
     docs = documents.select("project_id", "document_id").join(own, "project_id", "left")
     refs = references.select("reference_id", "document_id", "recognizer_id", "start", "end", "text")
     rows = docs.join(refs, ["document_id", "recognizer_id"], "left")
-    first = Window.partitionBy("reference_id", "resolver_id").orderBy("referent_id")
-    ranked = referents.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("reference_id", "resolver_id", "location_id")
+    ranked = referents.groupBy("reference_id", "resolver_id").agg(F.min_by("location_id", "referent_id").alias("location_id"))
     return rows.join(ranked, ["reference_id", "resolver_id"], "left").select("project_id", "document_id", "start", "end", "text", "location_id")

@@ -2,18 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placelink.functions import text as T
+from placelink.session import ship
+
+
+#: Names up to which a lexicon is matched where the texts are read; larger ones are joined.
+LEXICON_ROWS = 100_000
+#: Code points of a cell in which spans meet.
+CELL = 128
+
+
+def grams(documents: DataFrame, longest: int = 1, names: list[str] | None = None) -> DataFrame:
+    """``(document_id, pos, start, end, name, n)``: runs of up to ``longest`` words of texts split at single spaces.
+
+    Empty words are left out; ``pos`` numbers all.  With ``names`` only runs
+    that are among them come back.  Offsets are local to a text, so they are
+    computed where it is read, batch by batch, without a shuffle.
+    """
+    ship(documents.sparkSession)
+    kind = dict(documents.dtypes)["document_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None if names is None else pa.array(names, pa.string())
+        for batch in batches:
+            split = pc.split_pattern(pc.fill_null(batch.column(1), ""), " ")
+            words, sizes = split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            first = np.cumsum(sizes) - sizes
+            width = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+            before = np.concatenate([[0], np.cumsum(width + 1)])
+            start = before[:-1] - before[first][doc]
+            pos = np.arange(len(doc)) - first[doc]
+            full = np.flatnonzero(width)
+            words, doc, pos, start, end = words.take(pa.array(full)), doc[full], pos[full], start[full], (start + width)[full]
+            for n in range(1, longest + 1):
+                if len(doc) < n:
+                    break
+                last = len(doc) - n + 1
+                same = doc[:last] == doc[n - 1 :]
+                runs = words if n == 1 else pc.binary_join_element_wise(*(words.slice(k, last) for k in range(n)), " ")
+                if held is not None:
+                    same &= pc.is_in(runs, value_set=held).to_numpy(zero_copy_only=False)
+                at = np.flatnonzero(same)
+                columns = [batch.column(0).take(pa.array(doc[at])), pos[at].astype(np.int32), start[at].astype(np.int32), end[at + n - 1].astype(np.int32), runs.take(pa.array(at)), np.full(len(at), n, np.int32)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["document_id", "pos", "start", "end", "name", "n"])
+
+    return documents.select("document_id", "text").mapInArrow(run, f"document_id {kind}, pos int, start int, `end` int, name string, n int")
 
 
 def words(documents: DataFrame) -> DataFrame:
     """``(document_id, pos, start, end, word)`` of texts split at single spaces; empty words left out."""
-    each = documents.select("document_id", F.posexplode(F.split("text", " ", -1)).alias("pos", "word"))
-    before = Window.partitionBy("document_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)).cast("int")
-    return each.withColumn("start", start).withColumn("end", F.col("start") + F.length("word")).where("word <> ''").select("document_id", "pos", "start", "end", "word")
+    return grams(documents).select("document_id", "pos", "start", "end", F.col("name").alias("word"))
 
 
 def dictionary(documents: DataFrame, lexicon: DataFrame, longest: int = 1) -> DataFrame:
@@ -22,17 +69,11 @@ def dictionary(documents: DataFrame, lexicon: DataFrame, longest: int = 1) -> Da
     Names are compared word by word; up to ``longest`` words are tried.  Of
     mentions that overlap the one that starts first, then the longer one, wins.
     """
-    each = words(documents)
-    order = Window.partitionBy("document_id").orderBy("pos")
-    grams = []
-    for n in range(1, longest + 1):
-        ahead = order.rowsBetween(0, n - 1)
-        held = each.withColumn("name", F.array_join(F.collect_list("word").over(ahead), " ")).withColumn("n", F.count("*").over(ahead)).withColumn("last", F.max("end").over(ahead))
-        grams.append(held.where(F.col("n") == n).select("document_id", "pos", "start", F.col("last").alias("end"), "name", F.lit(n).alias("n")))
-    found = grams[0]
-    for more in grams[1:]:
-        found = found.union(more)
-    hits = found.join(lexicon.select("name").distinct(), "name")
+    held = [r["name"] for r in lexicon.select("name").where("name is not null").limit(LEXICON_ROWS + 1).collect()]
+    if len(held) <= LEXICON_ROWS:
+        hits = grams(documents, longest, sorted(set(held)))
+    else:
+        hits = grams(documents, longest).join(lexicon.select("name").distinct(), "name")
     if longest == 1:
         return hits.select("document_id", "start", "end", F.col("name").alias("text"))
     best = Window.partitionBy("document_id", "pos").orderBy(F.desc("n"))
@@ -43,18 +84,51 @@ def dictionary(documents: DataFrame, lexicon: DataFrame, longest: int = 1) -> Da
     return hits.groupBy("document_id").agg(chosen.alias("s")).select("document_id", F.explode("s").alias("s")).select("document_id", "s.start", "s.end", F.col("s.name").alias("text"))
 
 
+def _laid(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """``rows`` once for each cell of its document that the span touches."""
+    last = F.greatest(F.col(f"`{end}`") - 1, F.col(f"`{start}`"))
+    return rows.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(f"`{start}`") / CELL), F.floor(last / CELL))))
+
+
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs ``(document_id, a_start, a_end, b_start, b_end)`` of different spans that overlap."""
-    left = a.select("document_id", F.col("start").alias("a_start"), F.col("end").alias("a_end"))
-    right = b.select("document_id", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    """Pairs ``(document_id, a_start, a_end, b_start, b_end)`` of different spans that overlap.
+
+    Spans meet in the cells that they touch, so a long document's spans are not
+    all compared; a pair counts in the cell in which the later one starts.
+    """
+    left = _laid(a.select("document_id", F.col("start").alias("a_start"), F.col("end").alias("a_end")), "a_start", "a_end")
+    right = _laid(b.select("document_id", F.col("start").alias("b_start"), F.col("end").alias("b_end")), "b_start", "b_end")
     different = (F.col("a_start") != F.col("b_start")) | (F.col("a_end") != F.col("b_end"))
-    return left.join(right, "document_id").where((F.col("a_start") < F.col("b_end")) & (F.col("a_end") > F.col("b_start")) & different)
+    here = F.col("_cell") == F.floor(F.greatest("a_start", "b_start") / CELL)
+    found = left.join(right, ["document_id", "_cell"]).where((F.col("a_start") < F.col("b_end")) & (F.col("a_end") > F.col("b_start")) & different & here)
+    return found.select("document_id", "a_start", "a_end", "b_start", "b_end")
 
 
 def free(new: DataFrame, held: DataFrame) -> DataFrame:
-    """New spans that overlap none that is held."""
-    b = held.select(F.col("document_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("e"))
-    return new.join(b, (F.col("document_id") == F.col("d")) & (F.col("start") < F.col("e")) & (F.col("end") > F.col("s")), "left_anti")
+    """New spans that overlap none that is held, be it equal."""
+    b = _laid(held.select("document_id", F.col("start").alias("_s"), F.col("end").alias("_e")), "_s", "_e")
+    met = _laid(new.select("document_id", "start", "end"), "start", "end").join(b, ["document_id", "_cell"])
+    return unseen(new, met.where((F.col("start") < F.col("_e")) & (F.col("end") > F.col("_s"))).select("document_id", "start", "end"))
+
+
+def movable(changes: DataFrame, held: DataFrame) -> DataFrame:
+    """Of ``changes(document_id, old_start, old_end, start, end)`` those whose new span overlaps no other held span.
+
+    The span that is changed does not stand in its own way.
+    """
+    b = _laid(held.select("document_id", F.col("start").alias("_s"), F.col("end").alias("_e")), "_s", "_e")
+    met = _laid(changes, "start", "end").join(b, ["document_id", "_cell"])
+    other = (F.col("_s") != F.col("old_start")) | (F.col("_e") != F.col("old_end"))
+    keys = ["document_id", "old_start", "old_end", "start", "end"]
+    return changes.join(met.where((F.col("start") < F.col("_e")) & (F.col("end") > F.col("_s")) & other).select(*keys).distinct(), keys, "left_anti")
+
+
+def moved(toponyms: DataFrame, changes: DataFrame) -> DataFrame:
+    """``toponyms(document_id, start, end, ...)`` with the spans that :func:`movable` changes allow."""
+    ok = movable(changes, toponyms).select("document_id", F.col("old_start").alias("_a"), F.col("old_end").alias("_b"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    rows = toponyms.join(ok, (toponyms.document_id == ok.document_id) & (toponyms.start == ok._a) & (toponyms.end == ok._b), "left").drop(ok.document_id)
+    new = {"start": F.coalesce("_s", "start"), "end": F.coalesce("_e", "end")}
+    return rows.select(*((new[c].alias(c) if c in new else F.col(f"`{c}`")) for c in toponyms.columns))
 
 
 def unseen(new: DataFrame, held: DataFrame) -> DataFrame:

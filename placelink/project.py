@@ -150,7 +150,7 @@ class Project:
         self.tables.replace("tag", context.retag(self.tables.read("tag"), change))
 
 
-class Geoparser:
+class Linker:
     """Recognize and resolve in one go; either step may be left out."""
 
     def __init__(self, spark: SparkSession, root: str, recognizer: Recognizer | None = None, resolver: Resolver | None = None):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from placelink.functions import geo
 from placelink.functions import text as T
+from placelink.modules import ManualRecognizer
 from placelink.operators import annotate, context, registration, resolve, search, spans, spatial, views
 from placelink.plans import dialect, install
 from placelink.sources import config
@@ -51,7 +52,7 @@ def view_left_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT p_partkey,
-  CASE WHEN instr(p_name, ' ') > 0 THEN trim(substr(p_name, 1, instr(p_name, ' ') - 1)) ELSE p_name END AS first_word,
+  upper(substr(p_name, 1, 1)) || lower(replace(substr(p_name, 2), ' ', '_')) AS slug,
   p_brand || '.' || p_type AS code,
   CASE WHEN regexp_matches(substr(p_name, 1, 1), '^[a-m]$') THEN 'low' ELSE 'high' END AS half,
   lower(p_brand) AS brand, length(p_name) AS n, 'POINT(' || p_size || ' ' || p_partkey || ')' AS geometry,
@@ -61,7 +62,7 @@ FROM part
 def derive_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "part")
     given = {
-        "first_word": "CASE WHEN instr(p_name, ' ') > 0 THEN trim(substr(p_name, 1, instr(p_name, ' ') - 1)) ELSE p_name END",
+        "slug": "upper(substr(p_name, 1, 1)) || lower(replace(substr(p_name, 2), ' ', '_'))",
         "code": "p_brand || '.' || p_type",
         "half": "CASE WHEN substr(p_name, 1, 1) GLOB '[a-m]' THEN 'low' ELSE 'high' END",
         "brand": "lower(\"p_brand\")",
@@ -314,9 +315,11 @@ _WIDE = "SELECT doc_id, start, \"end\" + 12 AS \"end\" FROM m"
 
 
 @query(f"""
-WITH {_MENTIONS}, b AS ({_WIDE})
-SELECT m.doc_id AS document_id, m.start AS a_start, m."end" AS a_end, b.start AS b_start, b."end" AS b_end
-FROM m JOIN b ON m.doc_id = b.doc_id AND m.start < b."end" AND m."end" > b.start AND (m.start <> b.start OR m."end" <> b."end")
+WITH {_MENTIONS}, w12 AS ({_WIDE}),
+a AS (SELECT doc_id, start, "end", unnest(range(start // 128, ("end" - 1) // 128 + 1)) AS cell FROM m),
+b AS (SELECT doc_id, start, "end", unnest(range(start // 128, ("end" - 1) // 128 + 1)) AS cell FROM w12)
+SELECT DISTINCT a.doc_id AS document_id, a.start AS a_start, a."end" AS a_end, b.start AS b_start, b."end" AS b_end
+FROM a JOIN b ON a.doc_id = b.doc_id AND a.cell = b.cell AND a.start < b."end" AND a."end" > b.start AND (a.start <> b.start OR a."end" <> b."end")
 """)
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mentioned(spark, sf_dir)
@@ -393,11 +396,13 @@ FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id AND m.start % 2 = 0
 def tag_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(F.col("source").alias("project_id"), "document_id")
     refs = mentioned(spark, sf_dir).withColumn("reference_id", F.concat_ws("-", "document_id", "start")).withColumn("recognizer_id", F.when(F.col("start") % 2 == 0, "r0").otherwise("r1"))
-    first = refs.where("start % 3 = 0").select(F.concat_ws("/", "reference_id", F.lit("a")).alias("referent_id"), "reference_id", F.lit("s0").alias("resolver_id"), F.concat(F.lit("loc"), F.col("start")).alias("location_id"))
-    later = refs.where("start % 3 = 0").select(F.concat_ws("/", "reference_id", F.lit("b")).alias("referent_id"), "reference_id", F.lit("s0").alias("resolver_id"), F.lit("other").alias("location_id"))
-    other = refs.select(F.concat_ws("/", "reference_id", F.lit("c")).alias("referent_id"), "reference_id", F.lit("s1").alias("resolver_id"), F.lit("wrong").alias("location_id"))
+    third = F.col("start") % 3 == 0
+    one = lambda suffix, resolver, place: F.struct(F.concat_ws("/", "reference_id", F.lit(suffix)).alias("referent_id"), F.lit(resolver).alias("resolver_id"), place.alias("location_id"))
+    wrong = one("c", "s1", F.lit("wrong"))
+    each = F.explode(F.when(third, F.array(one("a", "s0", F.concat(F.lit("loc"), F.col("start"))), one("b", "s0", F.lit("other")), wrong)).otherwise(F.array(wrong)))
+    referents = refs.select("reference_id", each.alias("r")).select("r.referent_id", "reference_id", "r.resolver_id", "r.location_id")
     tags = docs.select("project_id", F.lit("latest").alias("tag"), F.lit("r0").alias("recognizer_id"), F.lit("s0").alias("resolver_id")).distinct()
-    return context.view(docs, refs, first.union(later).union(other), tags)
+    return context.view(docs, refs, referents, tags)
 
 
 @query("""
@@ -428,8 +433,8 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT n_nationkey, substr(sha256('ManualRecognizer(label=''' || n_name || ''')'), 1, 8) AS module_id FROM nation")
 def module_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("ManualRecognizer(label='"), F.col("n_name"), F.lit("')"))
-    return read(spark, sf_dir, "nation").select("n_nationkey", F.substring(F.sha2(text.cast("binary"), 256), 1, 8).alias("module_id"))
+    nations = read(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()  # 25 rows at every scale
+    return spark.createDataFrame([(r["n_nationkey"], ManualRecognizer(r["n_name"], [], []).id) for r in nations], "n_nationkey int, module_id string")
 
 
 # --- resolution
@@ -623,10 +628,10 @@ def propagate_one_sense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.annotate(rows, changes)
 
 
-@query("SELECT source AS session_id, doc_id AS document_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS doc_index FROM documents WHERE doc_id % 7 <> 0")
+@query("SELECT source AS session_id, doc_id AS document_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS doc_index FROM documents")
 def reindex_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select(F.col("source").alias("session_id"), "document_id", F.col("document_id").cast("int").alias("doc_index"))
-    return annotate.reindex(rows.where("document_id % 7 <> 0"))
+    return annotate.reindex(rows)
 
 
 @query("SELECT s.n_name AS session_id, coalesce(max(c_custkey), -1) AS last FROM nation s LEFT JOIN customer ON c_nationkey = n_nationkey AND c_mktsegment = 'BUILDING' GROUP BY s.n_name")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from placelink.modules import DictionaryRecognizer, FunctionRecognizer, ManualRecognizer, ManualResolver, SimilarityResolver
 from placelink.modules.resolvers import window
 from placelink.operators import annotate
-from placelink.project import Geoparser, Project
+from placelink.project import Linker, Project
 from placelink.streaming.incremental import follow
 
 TEXT = "Test text with toponym"
@@ -46,7 +46,7 @@ def test_parse_and_stream(spark, tmp_path):
     described = spark.createDataFrame([(1, "a1", "Bern (capital) in Switzerland"), (2, "a2", "New York (city) in USA"), (3, "a3", "York (city) in England"), (4, "a4", "Bern (village) in Idaho, USA")], "feature_id long, location_id string, description string")
     recognizer = DictionaryRecognizer(names, "names")
     resolver = SimilarityResolver("g", names, described, min_similarity=0.05)
-    found = Geoparser(spark, str(tmp_path / "p"), recognizer, resolver).parse(["the capital of Switzerland is Bern", "New York is a city in USA"])
+    found = Linker(spark, str(tmp_path / "p"), recognizer, resolver).parse(["the capital of Switzerland is Bern", "New York is a city in USA"])
     assert [(r.get("text"), r.get("location_id")) for r in found] == [("Bern", "a1"), ("New York", "a2")]
     gold = spark.createDataFrame([("r", "a1")], "reference_id string, location_id string")
     refs = spark.createDataFrame([("r", "so Bern it is", 3, 7, "Bern")], "reference_id string, document string, start int, end int, text string")
