@@ -1,16 +1,17 @@
 """Byte-level BPE: overlapping chunk encoding, decoding by raw bytes.
 
 A long text is cut into chunks that overlap.  Tasks pre-tokenise the chunks
-independently; where two neighbours agree on a pre-token boundary inside their
-overlap they agree on everything after it, so the stitch keeps the left
-chunk's boundaries up to that point and the right chunk's from there.  The
-pieces between chosen boundaries are then encoded on their own: a piece that
-starts and ends at true boundaries gets the ids it has in the whole text.
+independently and hand on only the pre-token boundaries inside the overlaps.
+Where two neighbours agree on one they agree on everything after it, so the
+stitch cuts the text there: each chunk gets a piece that starts and ends at
+true boundaries and has the ids that it has in the whole text.  Tasks encode the
+pieces, and the ids are put together in order.
 """
 
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelink.llm.common import prepare
+from placelink.llm.common import prepare, table
 
 #: Code points of a chunk, and how far a chunk reaches into the next one.
-CHUNK, OVERLAP = 32_768, 1_024
+CHUNK, OVERLAP = 32_768, 4_096
+#: Rows up to which a table of pieces is broadcast: some 6 MB.
+BROADCAST_ROWS = 100_000
 #: A match that ends this close to a chunk's end may end elsewhere in the text.
 EDGE = 4
 
@@ -66,43 +69,31 @@ def boundaries(text: str, pattern: str, whole: bool) -> list[int]:
     return out
 
 
-def _firm(text: str, local: list[int], start: int) -> list[int]:
-    return [start + b for b in local if b and not text[b - 1].isspace()]
+def firm(text: str, pattern: str, whole: bool, first: int, last: int) -> tuple[list[int], list[int]]:
+    """The boundaries of ``text`` up to ``first``, and those from ``last`` on, that tell two chunks to agree.
+
+    Only boundaries after a character that is no white space do, since how a
+    run of white space splits depends on what follows it.
+    """
+    sure = [b for b in boundaries(text, pattern, whole) if b and not text[b - 1].isspace()]
+    return sure[: bisect_right(sure, first)], sure[bisect_left(sure, last) :]
 
 
-def stitch(chunks: list[tuple[int, str, list[int]]], pattern: str, total: int) -> list[str]:
-    """Pieces of a text from its chunks ``(start, text, local boundaries)``.
+def stitch(marks: list[tuple[list[int], list[int]]], chunk: int) -> list[int] | None:
+    """Where the pieces of a text start: 0, and for each further chunk the first boundary it shares with what comes before.
 
-    ``chunks`` are in order and each covers a part of its follower.  Returns
-    the parts of the text between resynchronised boundaries.  Only boundaries
-    after a character that is no white space are used, since how a run of white
-    space splits depends on what follows it.  Where a chunk
-    shares no boundary with what comes before (one pre-token longer than the
-    overlap), the text from the last sure boundary on is pre-tokenised again
-    together with that chunk.
+    ``marks`` are the boundaries in each chunk's first and last overlap,
+    relative to its start.  None if two neighbours share none, as when a single
+    pre-token is longer than the overlap.
     """
-    pieces: list[str] = []
-    start, text, local = chunks[0]
-    begin = start  # where the text still to be emitted begins: a true boundary
-    marks = _firm(text, local, start)
-    for at, more, own in chunks[1:]:
-        known = {m for m in marks if m >= at}
-        sync = next((at + b for b in own if at + b in known), None)
+    starts = [0]
+    for k in range(1, len(marks)):
+        known = {m - chunk for m in marks[k - 1][1] if m + (k - 1) * chunk >= starts[-1]}
+        sync = next((b for b in marks[k][0] if b in known), None)
         if sync is None:
-            last = max(begin, marks[-1] if marks else begin)
-            if last > begin:
-                pieces.append(text[begin - start : last - start])
-            joined = text[last - start :] + more[len(text) + start - at :]
-            start, text, begin = last, joined, last
-            marks = _firm(joined, boundaries(joined, pattern, at + len(more) == total), last)
-            continue
-        if sync > begin:
-            pieces.append(text[begin - start : sync - start])
-        start, text, begin = at, more, sync
-        marks = [m for m in _firm(more, own, at) if m >= sync]
-    if start + len(text) > begin:
-        pieces.append(text[begin - start :])
-    return pieces
+            return None
+        starts.append(k * chunk + sync)
+    return starts
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -130,8 +121,9 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     A null text counts as empty (no ids), a null id stays null, rows that
     repeat are returned as often, an empty table gives none, other columns are
     ignored whatever their names.  Texts up to ``chunk`` code points are
-    encoded where they are read; only longer ones are cut and dealt out, so one
-    very long text does not hold a task.
+    encoded where they are read; longer ones are cut, dealt out in chunks and
+    encoded in pieces, each different text once.  A long text in which a
+    single pre-token is longer than the overlap is encoded whole in one task.
     """
     if not 0 < overlap < chunk:
         raise ValueError("overlap must be positive and smaller than chunk")
@@ -145,37 +137,53 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         for batch in batches:
             yield _ids_batch(_column(batch, "id").to_pylist(), [enc.encode_ordinary(t) for t in _column(batch, "text").to_pylist()], batch.schema.field("id").type, back)
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    short = docs.where(F.length("text") <= chunk).mapInArrow(near, told)
+    long = docs.where(F.length("text") > chunk).select("id", "text", F.sha2("text", 256).alias("sha"))
+    n = F.length("text")
+    cut = long.select("sha", "text", n.alias("total"), F.explode(F.sequence(F.lit(0), F.ceil((n - overlap) / chunk).cast("int") - 1)).alias("part_no"))
+    cut = cut.select("sha", "total", "part_no", F.expr(f"substring(text, part_no * {chunk} + 1, {chunk + overlap})").alias("part"))
+    # copies of a text are put together before they are dealt out
+    chunks = table(cut.groupBy("sha", "part_no").agg(F.first("part").alias("part"), F.first("total").alias("total")), "chunks")
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [boundaries(t, pattern, last) for t, last in zip(_column(batch, "part").to_pylist(), _column(batch, "last").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], [*batch.schema.names, "marks"])
+            numbers, totals = _column(batch, "part_no").to_pylist(), _column(batch, "total").to_pylist()
+            found = [firm(t.as_py(), pattern, k * chunk + chunk + overlap >= m, overlap, chunk) for t, k, m in zip(_column(batch, "part"), numbers, totals, strict=True)]
+            lists = [pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([_column(batch, "sha"), _column(batch, "part_no"), _column(batch, "total"), *lists], ["sha", "part_no", "total", "head", "tail"])
 
-    def joined(rows):
+    def stitched(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("part_no")
-        seen, chunks = set(), []
-        for r in rows.to_pylist():
-            if r["part_no"] not in seen:  # a repeated row brings equal chunks
-                seen.add(r["part_no"])
-                chunks.append((r["part_no"] * chunk, r["part"], r["marks"]))
-        enc, ids = codec(path, pattern), []
-        for piece in stitch(chunks, pattern, rows.column("total")[0].as_py()):
-            ids += enc.encode_ordinary(piece)
-        again = rows.num_rows // len(chunks)
-        ident = rows.column("id")[0].as_py()
-        return pa.Table.from_batches([_ids_batch([ident] * again, [ids] * again, rows.schema.field("id").type, back)])
+        starts = stitch(list(zip(rows.column("head").to_pylist(), rows.column("tail").to_pylist(), strict=True)), chunk)
+        count = rows.num_rows
+        ends = [None] * count if starts is None else [*starts[1:], rows.column("total")[0].as_py()]
+        at = [None] * count if starts is None else starts
+        return pa.table({"sha": rows.column("sha"), "part_no": rows.column("part_no"), "begin": pa.array(at, pa.int64()), "end": pa.array(ends, pa.int64())})
 
-    short = docs.where(F.length("text") <= chunk).mapInArrow(near, told)
-    n = F.length("text")
-    cut = (
-        docs.where(n > chunk)
-        .select("id", "text", n.alias("total"), F.sha2("text", 256).alias("sha"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.ceil((F.col("total") - overlap) / chunk).cast("int") - 1)).alias("part_no"))
-        .select("id", "sha", "total", "part_no", F.expr(f"substring(text, part_no * {chunk} + 1, {chunk + overlap})").alias("part"), (F.col("part_no") * chunk + chunk + overlap >= F.col("total")).alias("last"))
-        .repartition(F.col("sha"), F.col("part_no"))
-    )
-    marked = cut.mapInArrow(marks, f"id {kind}, sha string, total int, part_no int, part string, last boolean, marks array<int>")
-    long = marked.groupBy("id", "sha").applyInArrow(joined, told)
-    return short.union(long)
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = codec(path, pattern)
+        for batch in batches:
+            spots = zip(_column(batch, "part"), *(_column(batch, c).to_pylist() for c in ("part_no", "begin", "end")), strict=True)
+            ids = [enc.encode_ordinary(t.as_py()[a - k * chunk : b - k * chunk]) for t, k, a, b in spots]
+            made = _ids_batch(_column(batch, "sha").to_pylist(), ids, pa.string(), back)
+            yield pa.RecordBatch.from_arrays([_column(batch, "part_no"), *made.columns], ["part_no", "sha", *made.schema.names[1:]])
+
+    def gathered(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part_no")
+        ids = rows.column("ids").combine_chunks().flatten()
+        whole = {"sha": rows.column("sha")[:1], "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)}
+        return pa.table(whole | ({"decoded": pa.array([b"".join(rows.column("decoded").to_pylist())], pa.binary())} if back else {}))
+
+    wide = told.split(", ", 1)[1]
+    spots = chunks.mapInArrow(marked, "sha string, part_no int, total int, head array<int>, tail array<int>")
+    spots = table(spots.groupBy("sha").applyInArrow(stitched, "sha string, part_no int, begin long, end long"), "pieces")
+    held = F.broadcast(spots) if spots.count() <= BROADCAST_ROWS else spots
+    pieces = chunks.join(held.where("begin is not null"), ["sha", "part_no"]).select("sha", "part_no", "part", "begin", "end")
+    made = pieces.mapInArrow(encoded, f"part_no int, sha string, {wide}").groupBy("sha").applyInArrow(gathered, f"sha string, {wide}")
+    rest = spots.where("begin is null").select("sha").distinct()
+    unstitched = long.join(rest, "sha", "left_semi").groupBy("sha").agg(F.first("text").alias("text")).select(F.col("sha").alias("id"), "text")
+    made = made.union(unstitched.mapInArrow(near, told.replace(f"id {kind}", "id string", 1)).withColumnRenamed("id", "sha"))
+    return short.union(long.select("id", "sha").join(made, "sha").drop("sha"))
 
 
 def decode(df: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
