@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 
@@ -12,6 +13,7 @@ from placelink.catalog import Tables
 from placelink.functions import text as T
 from placelink.modules import ManualRecognizer, ManualResolver, Recognizer, Resolver
 from placelink.operators import annotate, context, registration
+from placelink.storage import Storage
 
 
 class Project:
@@ -19,23 +21,32 @@ class Project:
     a module sees a document or reference once, whatever is run how often."""
 
     def __init__(self, spark: SparkSession, name: str, root: str):
-        self.spark, self.name, self.tables = spark, name, Tables(spark, root)
-        held = self.tables.read("project").where(F.col("name") == name).orderBy("project_id").first()
-        self.id = held["project_id"] if held else str(uuid.uuid4())
-        if not held:
-            self.tables.append("project", spark.createDataFrame([(self.id, name)], "project_id string, name string"))
+        self.spark, self.name, self.root = spark, name, root
+        names = Storage(spark, root)
+        at = f"names/{hashlib.sha256(name.encode()).hexdigest()}.json"
+        if not names.exists(at):
+            names.write(at, json.dumps({"name": name, "project_id": str(uuid.uuid4())}))
+        self.id = json.loads(names.read(at))["project_id"]
+        self._forget = lambda: names.delete(at)
+        self.tables = Tables(spark, root, f"projects/{self.id}")
+        self.modules = Tables(spark, root, "modules")
 
     # documents
 
-    def create_documents(self, texts: str | list[str] | DataFrame) -> None:
-        """Add texts: one, a list, or a DataFrame with ``text``; line ends become LF."""
+    def create_documents(self, texts: str | list[str] | DataFrame, key: str | None = None) -> None:
+        """Add texts: one, a list, or a DataFrame with ``text``; line ends become LF.
+
+        What is added under a ``key`` is added once, however often it is asked for.
+        """
+        if key is not None and self.tables.committed(key):
+            return
         if isinstance(texts, DataFrame):
             rows = texts.select("text")
         else:
             rows = self.spark.createDataFrame([(t,) for t in ([texts] if isinstance(texts, str) else texts)], "text string").coalesce(1)
         first = (self.documents().agg(F.max("seq")).first()[0] or 0) + 1
         rows = rows.select(T.newlines(F.col("text")).alias("text"), (F.monotonically_increasing_id() + first).alias("seq"))
-        self.tables.append("document", rows.select(F.lit(self.id).alias("project_id"), F.expr("uuid()").alias("document_id"), "seq", "text"))
+        self.tables.append("document", rows.select(F.lit(self.id).alias("project_id"), F.expr("uuid()").alias("document_id"), "seq", "text"), key)
 
     def documents(self) -> DataFrame:
         return self.tables.read("document").where(F.col("project_id") == self.id)
@@ -51,13 +62,11 @@ class Project:
         seen = self.tables.read("recognition").where(F.col("recognizer_id") == module.id)
         new = self.documents().select("document_id", "text").join(seen.select("document_id"), "document_id", "left_anti")
         if not new.isEmpty():
-            found = module.predict(new).where("spans is not null").select("document_id", "spans")
-            found = found.cache()
+            found, made = self.tables.written(module.predict(new).where("spans is not null").select("document_id", "spans"))
             each = found.select("document_id", F.explode("spans").alias("s")).select("document_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
             each = each.join(new, "document_id").select(F.expr("uuid()").alias("reference_id"), "document_id", F.lit(module.id).alias("recognizer_id"), "start", "end", T.span_text(F.col("text"), F.col("start"), F.col("end")).alias("text"))
-            self.tables.append("reference", each)
-            self.tables.append("recognition", found.select("document_id", F.lit(module.id).alias("recognizer_id")))
-            found.unpersist()
+            self.tables.commit({"reference": each, "recognition": found.select("document_id", F.lit(module.id).alias("recognizer_id"))})
+            self.tables.forget(made)
         self._tag(tag, recognizer=module.id)
 
     def references(self) -> DataFrame:
@@ -71,10 +80,10 @@ class Project:
         seen = self.tables.read("resolution").where(F.col("resolver_id") == module.id)
         new = self.references().join(seen.select("reference_id"), "reference_id", "left_anti")
         if not new.isEmpty():
-            found = module.predict(new).select("reference_id", "gazetteer", "location_id").cache()
-            self.tables.append("referent", found.select(F.expr("uuid()").alias("referent_id"), "reference_id", F.lit(module.id).alias("resolver_id"), "gazetteer", "location_id"))
-            self.tables.append("resolution", found.select("reference_id", F.lit(module.id).alias("resolver_id")).distinct())
-            found.unpersist()
+            found, made = self.tables.written(module.predict(new).select("reference_id", "gazetteer", "location_id"))
+            located = found.select(F.expr("uuid()").alias("referent_id"), "reference_id", F.lit(module.id).alias("resolver_id"), "gazetteer", "location_id")
+            self.tables.commit({"referent": located, "resolution": found.select("reference_id", F.lit(module.id).alias("resolver_id")).distinct()})
+            self.tables.forget(made)
         self._tag(tag, resolver=module.id)
 
     def create_references(self, label: str, texts: list[str], references: list, tag: str = "latest") -> None:
@@ -124,26 +133,20 @@ class Project:
     def get_documents(self, tag: str = "latest") -> DataFrame:
         """Documents with the toponyms and locations of a tag; reading makes no tag."""
         refs = self.tables.read("reference")
-        return context.view(self.documents(), refs, self.tables.read("referent"), self.tables.read("tag"), tag).orderBy("document_id", "start")
+        rows = context.view(self.documents(), refs, self.tables.read("referent"), self.tables.read("tag"), tag)
+        created = self.documents().select("document_id", F.col("seq").alias("_seq"))
+        return rows.join(created, "document_id").orderBy("_seq", "start").select(*rows.columns)
 
     def delete(self) -> None:
-        """Delete the project and all that hangs on its documents."""
-        gone = self.spark.createDataFrame([(self.id,)], "project_id string")
-        docs = self.documents().select("document_id")
-        refs = self.tables.read("reference").join(docs, "document_id", "left_semi").select("reference_id").cache()
-        self.tables.delete("resolution", refs, ["reference_id"])
-        self.tables.delete("referent", refs, ["reference_id"])
-        self.tables.delete("reference", docs, ["document_id"])
-        self.tables.delete("recognition", docs, ["document_id"])
-        for name in ("document", "tag", "project"):
-            self.tables.delete(name, gone, ["project_id"])
-        refs.unpersist()
+        """Delete the project with all that hangs on it; other projects and the modules stay as they are."""
+        self._forget()
+        self.tables.remove()
 
     def _know(self, kind: str, module) -> None:
         rows = self.spark.createDataFrame([(module.id, module.NAME, module.config_json)], f"{kind}_id string, name string, config string")
-        new = registration.new_rows(rows, self.tables.read(kind), [f"{kind}_id"])
+        new = registration.new_rows(rows, self.modules.read(kind), [f"{kind}_id"])
         if not new.isEmpty():
-            self.tables.append(kind, new)
+            self.modules.append(kind, new)
 
     def _tag(self, tag: str, recognizer: str | None = None, resolver: str | None = None) -> None:
         change = self.spark.createDataFrame([(self.id, tag, recognizer, resolver)], "project_id string, tag string, recognizer_id string, resolver_id string")

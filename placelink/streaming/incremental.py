@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,11 +12,13 @@ from placelink.project import Project
 
 
 def follow(stream: DataFrame, project: Project, checkpoint: str, recognizer: Recognizer | None = None, resolver: Resolver | None = None, tag: str = "latest", once: bool = True) -> StreamingQuery:
-    """Process ``stream(text)``.  Modules skip what they have seen, so a batch that
-    runs again after a failure adds nothing twice to what was already processed."""
+    """Process ``stream(text)``.  Documents of a batch are added under the checkpoint's and the
+    batch's name and modules skip what they have seen, so a batch that runs again after a
+    failure adds nothing twice."""
+    own = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def batch(rows: DataFrame, number: int) -> None:
-        project.create_documents(rows)
+        project.create_documents(rows, key=f"stream-{own}-{number}")
         if recognizer:
             project.run_recognizer(recognizer, tag)
         if resolver:

@@ -1,11 +1,13 @@
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from placelink.modules import DictionaryRecognizer, FunctionRecognizer, ManualRecognizer, ManualResolver, SimilarityResolver
 from placelink.modules.resolvers import window
-from placelink.operators import annotate
+from placelink.catalog import Tables
+from placelink.operators import annotate, spans
 from placelink.project import Linker, Project
 from placelink.streaming.incremental import follow
 
@@ -29,8 +31,46 @@ def test_idempotent_and_tagged(spark, tmp_path):
     assert Project(spark, "p", str(tmp_path)).id == project.id
     with pytest.raises(ValueError):
         project.train_recognizer(manual)
+    other = Project(spark, "kept", str(tmp_path))
+    other.create_documents(["stays"])
     project.delete()
     assert project.tables.read("reference").count() == 0 and project.tables.read("referent").count() == 0
+    assert other.documents().count() == 1 and Project(spark, "kept", str(tmp_path)).id == other.id
+    assert Project(spark, "p", str(tmp_path)).id != project.id
+
+
+def test_changes_at_the_same_time_and_replays(spark, tmp_path):
+    a, b = (Tables(spark, str(tmp_path), "s") for _ in range(2))
+    row = lambda k: spark.createDataFrame([(str(k), "r")], "document_id string, recognizer_id string")
+    a.append("recognition", row(1))
+    seen = b.read("recognition")
+    a.append("recognition", row(2))
+    b.append("recognition", row(3))
+    a.append("recognition", row(4), key="batch-0")
+    b.append("recognition", row(5), key="batch-0")  # the same batch once more
+    assert seen.count() == 1 and sorted(r.document_id for r in a.read("recognition").collect()) == ["1", "2", "3", "4"]
+    b.replace("recognition", row(9))
+    assert [r.document_id for r in a.read("recognition").collect()] == ["9"]
+    a.vacuum()
+    assert len(a.storage.names("recognition")) == 1 and a.read("recognition").count() == 1
+    a.upsert("recognition", row(9).union(row(10)), ["document_id"])
+    assert a.read("recognition").count() == 2
+
+
+def test_spans_that_are_moved(spark):
+    tops = spark.createDataFrame([(1, 0, 4, "a"), (1, 10, 14, "b"), (1, 300, 310, "c")], "document_id long, start int, end int, loc_id string")
+    changes = spark.createDataFrame([(1, 0, 4, 2, 6), (1, 10, 14, 5, 301), (1, 300, 310, 299, 305)], "document_id long, old_start int, old_end int, start int, end int")
+    got = sorted((r.start, r.end, r.loc_id) for r in spans.moved(tops, changes).collect())
+    assert got == [(2, 6, "a"), (10, 14, "b"), (299, 305, "c")]
+
+
+def test_a_large_lexicon_is_joined(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "in New York  City or York"), (2, None), (3, "York New York"), (4, "")], "document_id long, text string")
+    names = spark.createDataFrame([("York",), ("New York",), ("New York City",), (None,)], "name string")
+    want = {(1, 3, 17, "New York City"), (1, 21, 25, "York"), (3, 0, 4, "York"), (3, 5, 13, "New York")}
+    assert {tuple(r) for r in spans.dictionary(docs, names, 3).collect()} == want
+    monkeypatch.setattr(spans, "LEXICON_ROWS", 1)
+    assert {tuple(r) for r in spans.dictionary(docs, names, 3).collect()} == want
 
 
 def test_annotations(spark, tmp_path):
@@ -58,6 +98,9 @@ def test_parse_and_stream(spark, tmp_path):
     for _ in range(2):
         follow(stream, project, str(tmp_path / "c"), upper).awaitTermination()
     assert sorted(r.text for r in project.get_documents().collect()) == ["Bern", "York"]
+    shutil.rmtree(tmp_path / "c" / "commits")  # the batch was made but not noted: it runs again
+    follow(stream, project, str(tmp_path / "c"), upper).awaitTermination()
+    assert sorted(r.text for r in project.get_documents().collect()) == ["Bern", "York"]
 
 
 def test_window():
