@@ -29,7 +29,7 @@ def main(given: list[str] | None = None) -> int:
     from placelink.plans.install import Store
 
     spark = SparkSession.builder.appName("placelink").getOrCreate()
-    print(Store(args.root).install(spark, builtin().get(args.config, args.config), keep_downloads=args.keep_downloads))
+    print(Store(spark, args.root).install(builtin().get(args.config, args.config), keep_downloads=args.keep_downloads))
     return 0
 
 

@@ -17,7 +17,7 @@ def rounds(max_tiers: int = 3) -> list[tuple[int, str, int]]:
     return [(k + 1, m, t) for k, (_, m, t) in enumerate(out)]
 
 
-def candidates(names: DataFrame, queries: DataFrame, max_tiers: int = 3, limit: int = S.LIMIT) -> DataFrame:
+def candidates(names: DataFrame, queries: DataFrame, max_tiers: int = 3, limit: int = S.LIMIT, indexed: DataFrame | None = None) -> DataFrame:
     """``(qid, feature_id, round)``: the first round that finds a feature for a query.
 
     A method is searched once with the most tiers; a feature of tier t comes up
@@ -27,7 +27,7 @@ def candidates(names: DataFrame, queries: DataFrame, max_tiers: int = 3, limit:
     found = None
     for method in S.METHODS:
         tiers = 1 if method == "exact" else max_tiers
-        rows = S.search(names, queries, method, limit, tiers)
+        rows = S.search(names, queries, method, limit, tiers, indexed)
         at = F.create_map(*(F.lit(x) for t in range(1, tiers + 1) for x in (t, number[method, t])))
         rows = rows.select("qid", "feature_id", at[F.col("tier")].alias("round"))
         found = rows if found is None else found.union(rows)

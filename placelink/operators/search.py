@@ -50,27 +50,27 @@ def _tiered(scored: DataFrame, names: DataFrame, limit: int, tiers: int, digits:
     return rows.groupBy("qid", "feature_id").agg(F.min("score").alias("score"), F.min("tier").cast("int").alias("tier"))
 
 
-def exact(names: DataFrame, queries: DataFrame, limit: int = LIMIT) -> DataFrame:
+def exact(names: DataFrame, queries: DataFrame, limit: int = LIMIT, indexed: DataFrame | None = None) -> DataFrame:
     """``(qid, feature_id)``: the query's tokens occur in a name of the same length."""
     asked = _asked(queries)
-    hits = _phrase_hits(index(names), asked.select("phrase").where(F.size("phrase") > 0).distinct())
+    hits = _phrase_hits(_held(names, indexed), asked.select("phrase").where(F.size("phrase") > 0).distinct())
     rows = asked.join(hits, "phrase").where("qlen = len").join(names.select("name", "feature_id"), "name")
     first = Window.partitionBy("qid").orderBy("feature_id", "name")
     rows = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= limit)
     return rows.select("qid", "feature_id").distinct()
 
 
-def phrase(names: DataFrame, queries: DataFrame, limit: int = LIMIT, tiers: int = 1) -> DataFrame:
+def phrase(names: DataFrame, queries: DataFrame, limit: int = LIMIT, tiers: int = 1, indexed: DataFrame | None = None) -> DataFrame:
     """``(qid, feature_id, score, tier)``: names that hold the query's tokens in a row."""
     asked = _asked(queries).select("qid", "phrase").where(F.size("phrase") > 0)
-    return _ranked(names, asked, limit, tiers)
+    return _ranked(names, asked, limit, tiers, _held(names, indexed))
 
 
-def partial(names: DataFrame, queries: DataFrame, limit: int = LIMIT, tiers: int = 1) -> DataFrame:
+def partial(names: DataFrame, queries: DataFrame, limit: int = LIMIT, tiers: int = 1, indexed: DataFrame | None = None) -> DataFrame:
     """As :func:`phrase`, for any of the query's terms; each term is a phrase, repeats count."""
     terms = queries.select("qid", F.posexplode(F.split(T.query_text(F.col("query")), "\\s+")).alias("pos", "term"))
     asked = terms.select("qid", "pos", T.tokens(F.col("term")).alias("phrase")).where(F.size("phrase") > 0)
-    return _ranked(names, asked, limit, tiers)
+    return _ranked(names, asked, limit, tiers, _held(names, indexed))
 
 
 def _asked(queries: DataFrame) -> DataFrame:
@@ -78,8 +78,11 @@ def _asked(queries: DataFrame) -> DataFrame:
     return queries.select("qid", T.tokens(q).alias("phrase"), F.length(q).alias("qlen"))
 
 
-def _ranked(names: DataFrame, asked: DataFrame, limit: int, tiers: int) -> DataFrame:
-    indexed = index(names)
+def _held(names: DataFrame, indexed: DataFrame | None) -> DataFrame:
+    return index(names) if indexed is None else indexed
+
+
+def _ranked(names: DataFrame, asked: DataFrame, limit: int, tiers: int, indexed: DataFrame) -> DataFrame:
     hits = _phrase_hits(indexed, asked.select("phrase").distinct())
     spread = hits.groupBy("phrase").agg(F.sum("n_rows").alias("n_with"))
     part = T.bm25(T.idf(F.col("rows"), F.col("n_with")), F.col("tf"), F.col("dl"), F.col("mean_dl"))
@@ -89,30 +92,42 @@ def _ranked(names: DataFrame, asked: DataFrame, limit: int, tiers: int) -> DataF
     return _tiered(scored, names, limit, tiers)
 
 
-def fuzzy(names: DataFrame, queries: DataFrame, limit: int = LIMIT, tiers: int = 1) -> DataFrame:
+def fuzzy(names: DataFrame, queries: DataFrame, limit: int = LIMIT, tiers: int = 1, indexed: DataFrame | None = None) -> DataFrame:
     """``(qid, feature_id, score, tier)``: names that sound alike, by least edit distance."""
     q = T.query_text(F.col("query"))
     asked = queries.select("qid", q.alias("q"), T.soundex(q).alias("code"))
-    near = asked.join(index(names).select("name", "code"), "code").select("qid", "name", T.levenshtein(F.col("q"), F.col("name")).alias("score"))
+    near = asked.join(_held(names, indexed).select("name", "code"), "code").select("qid", "name", T.levenshtein(F.col("q"), F.col("name")).alias("score"))
     rows = near.join(names.select("name", "feature_id"), "name").groupBy("qid", "feature_id").agg(F.min("score").alias("score"))
     first = Window.partitionBy("qid").orderBy("score", "feature_id")
     rows = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= limit)
     return rows.withColumn("tier", F.dense_rank().over(Window.partitionBy("qid").orderBy("score")).cast("int")).where(F.col("tier") <= tiers).drop("place")
 
 
-def search(names: DataFrame, queries: DataFrame, method: str = "exact", limit: int = LIMIT, tiers: int = 1) -> DataFrame:
+def search(names: DataFrame, queries: DataFrame, method: str = "exact", limit: int = LIMIT, tiers: int = 1, indexed: DataFrame | None = None) -> DataFrame:
     """``(qid, feature_id, score, tier)`` of ``queries(qid, query)`` over ``names(feature_id, name)``.
 
     An empty partial query finds nothing; exact matches have score 0, tier 1.
+    ``indexed`` is the :func:`index` of the names where it is stored.
     """
     if method not in METHODS:
         raise ValueError(f"unknown search method {method!r}")
     if method == "exact":
-        return exact(names, queries, limit).withColumn("score", F.lit(0.0)).withColumn("tier", F.lit(1))
-    return {"phrase": phrase, "partial": partial, "fuzzy": fuzzy}[method](names, queries, limit, tiers)
+        return exact(names, queries, limit, indexed).withColumn("score", F.lit(0.0)).withColumn("tier", F.lit(1))
+    return {"phrase": phrase, "partial": partial, "fuzzy": fuzzy}[method](names, queries, limit, tiers, indexed)
 
 
 def find(features: DataFrame, identifier: Column | str | int, id_col: str) -> DataFrame:
-    """The feature with an identifier, compared as text: one row or none."""
-    value = identifier if isinstance(identifier, Column) else F.lit(str(identifier))
-    return features.where(F.col(id_col).cast("string") == value).limit(1)
+    """The feature with an identifier, compared as text: one row or none.
+
+    A given value is also cast to the column's type and compared there, which
+    a Parquet scan can use to skip row groups.
+    """
+    if isinstance(identifier, Column):
+        return features.where(F.col(id_col).cast("string") == identifier).limit(1)
+    kind, text = dict(features.dtypes)[id_col], str(identifier)
+    if kind == "string":
+        return features.where(F.col(id_col) == F.lit(text)).limit(1)
+    value = features.sparkSession.range(1).select(F.lit(text).try_cast(kind)).first()[0]
+    if value is None:
+        return features.limit(0)
+    return features.where((F.col(id_col) == F.lit(value).cast(kind)) & (F.col(id_col).cast("string") == F.lit(text))).limit(1)

@@ -1,4 +1,4 @@
-"""Spatial joins: a grid equi-join, then an exact vectorised predicate."""
+"""Spatial joins: an equi-join on the cells of a grid of several levels, then an exact predicate."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,14 +16,14 @@ from placelink.session import ship
 PREDICATES = ("within", "intersects", "contains")
 
 
-def _boxes(rows: DataFrame, wkt: str) -> DataFrame:
-    """``rows`` with ``_box`` (min x, min y, max x, max y), null without geometry."""
+def _boxes(rows: DataFrame, wkt: str, srid: tuple[int, int] = (0, 0)) -> DataFrame:
+    """``rows`` with ``_box`` (min x, min y, max x, max y), null without geometry; in another system if the two differ."""
 
     ship(rows.sparkSession)
 
     def box(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda w: geo.Shape(w).box if isinstance(w, str) and w.strip() else None)
+            yield batch.map(lambda w: geo.Shape(w).moved(*srid).box if isinstance(w, str) and w.strip() else None)
 
     return rows.withColumn("_box", F.pandas_udf(box, "array<double>")(F.col(wkt)))
 
@@ -40,38 +41,120 @@ def centroids(rows: DataFrame, wkt: str, x: str = "x", y: str = "y") -> DataFram
     return rows.withColumn("_at", at).withColumn(x, F.col("_at")[0]).withColumn(y, F.col("_at")[1]).drop("_at")
 
 
-def points_in_shapes(points: DataFrame, shapes: DataFrame, cell: float, boundary: bool = False, srid: tuple[int, int] | None = None) -> DataFrame:
+#: Pairs of a shape that are tested in one task.
+SALT = 20_000
+
+
+def cell_for(boxes: DataFrame) -> float:
+    """A cell about as large as the middle one of ``boxes(_box)``; 1 without extent."""
+    size = F.greatest(F.col("_box")[2] - F.col("_box")[0], F.col("_box")[3] - F.col("_box")[1])
+    middle = boxes.where(size > 0).agg(F.percentile_approx(size, 0.5, 1_000)).first()[0]
+    return float(middle) if middle else 1.0
+
+
+def _level(cell: float):
+    """The least level at which a box is no larger than a cell; each level's cells are twice as large."""
+    size = F.greatest(F.col("_box")[2] - F.col("_box")[0], F.col("_box")[3] - F.col("_box")[1])
+    return F.when(size > cell, F.ceil(F.log2(size / cell))).otherwise(0).cast("int")
+
+
+def _spread(rows: DataFrame, levels: list[int], cell: float) -> DataFrame:
+    """``rows(_box, _own)`` at their own and all higher ``levels``, once for each cell there that the box touches."""
+    at = F.filter(F.array(*map(F.lit, levels)), lambda k: k >= F.col("_own"))
+    rows = rows.withColumn("_level", F.explode(at)).withColumn("_size", F.pow(F.lit(2.0), F.col("_level")) * cell)
+    span = lambda a, b: F.sequence(F.floor(F.col("_box")[a] / F.col("_size")), F.floor(F.col("_box")[b] / F.col("_size")))
+    return rows.withColumn("_cx", F.explode(span(0, 2))).withColumn("_cy", F.explode(span(1, 3)))
+
+
+def candidates(left: DataFrame, right: DataFrame, cell: float | None = None) -> DataFrame:
+    """``(left_id, right_id)``: pairs of ``left(left_id, _box)`` and ``right(right_id, _box)`` whose boxes meet, each once.
+
+    Every box stands on the level of a grid on which it touches four cells at
+    most, and on the higher levels, and two boxes meet on the higher of their
+    own levels.  So neither small nor huge shapes are laid over many cells,
+    whatever the unit of their coordinates.
+    """
+    cell = cell or cell_for(right)
+    left, right = (rows.withColumn("_own", _level(cell)) for rows in (left, right))
+    levels = sorted({r["_own"] for rows in (left, right) for r in rows.select("_own").distinct().collect()})  # some dozens at most
+    if not levels:
+        levels = [0]
+    a = _spread(left, levels, cell).select("left_id", F.col("_box").alias("_a"), F.col("_own").alias("_la"), "_level", "_size", "_cx", "_cy")
+    b = _spread(right, levels, cell).select("right_id", F.col("_box").alias("_b"), F.col("_own").alias("_lb"), "_level", "_cx", "_cy")
+    found = a.join(b, ["_level", "_cx", "_cy"]).where(F.col("_level") == F.greatest("_la", "_lb"))
+    A, B = F.col("_a"), F.col("_b")
+    found = found.where((A[0] <= B[2]) & (A[2] >= B[0]) & (A[1] <= B[3]) & (A[3] >= B[1]))
+    # a pair counts in the cell of the lower left corner that the boxes have in common
+    here = (F.col("_cx") == F.floor(F.greatest(A[0], B[0]) / F.col("_size"))) & (F.col("_cy") == F.floor(F.greatest(A[1], B[1]) / F.col("_size")))
+    return found.where(here).select("left_id", "right_id")
+
+
+def _tested(pairs: DataFrame, left: DataFrame, right: DataFrame, test, key: list[str]) -> DataFrame:
+    """Pairs for which ``test`` holds; a right shape goes along once for ``SALT`` of its pairs.
+
+    ``left(left_id, ...)`` brings the columns in ``key`` to each pair,
+    ``right(right_id, wkt)`` the shape.  ``test(shape, columns)`` is given a
+    parsed shape and the columns of some of its pairs.
+    """
+    counts = pairs.groupBy("right_id").agg(F.ceil(F.count("*") / SALT).cast("int").alias("_salts"))
+    own = pairs.join(counts, "right_id").withColumn("_salt", F.pmod(F.xxhash64("left_id"), F.col("_salts")).cast("int")).join(left.select("left_id", *key), "left_id")
+    shapes = right.join(counts, "right_id").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    kinds = dict(left.dtypes) | dict(right.dtypes)
+    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    rows = shapes.select("right_id", "_salt", F.col("wkt").alias("_shape"), none("left_id"), *(none(c) for c in key))
+    rows = rows.union(own.select("right_id", "_salt", F.lit(None).cast("string"), "left_id", *key))
+    dealt = rows.repartition("right_id", "_salt").sortWithinPartitions("right_id", "_salt", F.col("_shape").desc_nulls_last())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, shape = None, None
+        for batch in batches:
+            kept = np.zeros(batch.num_rows, bool)
+            group = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            starts = [k for k in range(len(group)) if not k or group[k] != group[k - 1]]
+            for i, j in zip(starts, [*starts[1:], len(group)], strict=True):
+                if group[i] != at:
+                    at, shape = group[i], geo.Shape(batch.column(2)[i].as_py())
+                    i += 1
+                if j > i:
+                    kept[i:j] = test(shape, [batch.column(k).slice(i, j - i).to_numpy(zero_copy_only=False) for k in range(4, 4 + len(key))])
+            both = batch.select([3, 0]).filter(pa.array(kept))
+            yield pa.RecordBatch.from_arrays(both.columns, ["left_id", "right_id"])
+
+    return dealt.mapInArrow(run, f"left_id {kinds['left_id']}, right_id {kinds['right_id']}")
+
+
+def points_in_shapes(points: DataFrame, shapes: DataFrame, cell: float | None = None, boundary: bool = False, srid: tuple[int, int] | None = None) -> DataFrame:
     """``(point_id, shape_id)``: all pairs of ``points(point_id, x, y)`` within ``shapes(shape_id, wkt)``.
 
-    Shapes are laid over the cells of a grid that their boxes touch and meet
-    points in their cell, so no pair outside a common cell is looked at.
-    ``srid`` is (shapes, points): shapes are turned into the points' system
-    first if the two differ, corner by corner.  Null points match nothing.
+    ``srid`` is (shapes, points): points are turned into the shapes' system
+    first if the two differ.  Null points match nothing.  ``cell`` is the size
+    of the finest grid cells; without it the shapes' boxes tell.
     """
-    held = _boxes(shapes.select("shape_id", "wkt"), "wkt").where("_box is not null")
     px, py = F.col("x"), F.col("y")
     if srid and srid[0] != srid[1]:
         px, py = geo.transform(px, py, srid[1], srid[0])
-    span = lambda a, b: F.sequence(F.floor(F.col("_box")[a] / cell), F.floor(F.col("_box")[b] / cell))
-    laid = held.withColumn("cx", F.explode(span(0, 2))).withColumn("cy", F.explode(span(1, 3)))
-    spots = points.select("point_id", px.alias("x"), py.alias("y")).where("x is not null and y is not null")
-    spots = spots.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-    near = spots.join(laid, ["cx", "cy"]).where((F.col("x") >= F.col("_box")[0]) & (F.col("x") <= F.col("_box")[2]) & (F.col("y") >= F.col("_box")[1]) & (F.col("y") <= F.col("_box")[3]))
-
-    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, geo.Shape] = {}
-        for rows in batches:
-            kept = np.zeros(len(rows), bool)
-            for wkt, at in rows.groupby("wkt").indices.items():
-                if wkt not in known:
-                    if len(known) > 256:
-                        known.clear()
-                    known[wkt] = geo.Shape(wkt)
-                kept[at] = known[wkt].holds(rows["x"].to_numpy()[at], rows["y"].to_numpy()[at], boundary)
-            yield rows.loc[kept, ["point_id", "shape_id"]]
-
-    kinds = dict(points.dtypes)["point_id"], dict(shapes.dtypes)["shape_id"]
-    return near.select("point_id", "x", "y", "shape_id", "wkt").mapInPandas(inside, f"point_id {kinds[0]}, shape_id {kinds[1]}")
+    held = _boxes(shapes.select(F.col("shape_id").alias("right_id"), "wkt"), "wkt").where("_box is not null")
+    spots = points.select(F.col("point_id").alias("left_id"), px.alias("x"), py.alias("y")).where("x is not null and y is not null")
+    pairs = candidates(spots.withColumn("_box", F.array("x", "y", "x", "y")), held, cell)
+    found = _tested(pairs, spots, held.select("right_id", "wkt"), lambda shape, c: shape.holds(c[0].astype(float), c[1].astype(float), boundary), ["x", "y"])
+    return found.select(F.col("left_id").alias("point_id"), F.col("right_id").alias("shape_id"))
+
+
+def shapes_in_shapes(left: DataFrame, right: DataFrame, predicate: str = "within", cell: float | None = None, srid: tuple[int, int] | None = None) -> DataFrame:
+    """``(left_id, right_id)``: all pairs of ``left(left_id, wkt)`` and ``right(right_id, wkt)`` of any kinds.
+
+    The left one is within, intersects or contains the right one.  ``srid`` is
+    (right, left): left shapes are turned into the right ones' system first if
+    the two differ, corner by corner.  Null and empty geometries match nothing.
+    """
+    if predicate not in PREDICATES:
+        raise ValueError(f"unknown spatial predicate {predicate!r}")
+    there, here = srid or (0, 0)
+    a = _boxes(left.select("left_id", "wkt"), "wkt", (here, there)).where("_box is not null")
+    b = _boxes(right.select("right_id", "wkt"), "wkt").where("_box is not null")
+    relation = {"within": lambda one, two: one.lies_in(two), "contains": lambda one, two: two.lies_in(one), "intersects": lambda one, two: one.meets(two)}[predicate]
+    test = lambda shape, c: [relation(geo.Shape(w).moved(here, there), shape) for w in c[0]]
+    return _tested(candidates(a, b, cell), a.select("left_id", F.col("wkt").alias("_own")), b.select("right_id", "wkt"), test, ["_own"])
 
 
 def first_match(pairs: DataFrame) -> DataFrame:
@@ -79,7 +162,7 @@ def first_match(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("point_id").agg(F.min("shape_id").alias("shape_id"))
 
 
-def join_first(points: DataFrame, shapes: DataFrame, predicate: str = "within", cell: float = 1.0, srid: tuple[int, int] | None = None) -> DataFrame:
+def join_first(points: DataFrame, shapes: DataFrame, predicate: str = "within", cell: float | None = None, srid: tuple[int, int] | None = None) -> DataFrame:
     """Each point with its first shape, or null: a left join on the spatial key."""
     if predicate not in PREDICATES:
         raise ValueError(f"unknown spatial predicate {predicate!r}")

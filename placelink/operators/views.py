@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placelink.functions import text as T
+
 #: Join words of a configuration, as Spark's join types.
 METHODS = {"join": "inner", "inner join": "inner", "left join": "left", "left outer join": "left", "right join": "right", "right outer join": "right", "full join": "full", "full outer join": "full", "cross join": "cross"}
 
@@ -70,3 +72,27 @@ def with_names(features: DataFrame, names: DataFrame) -> DataFrame:
     """Features with their sorted names; an empty list without any."""
     listed = names.groupBy("feature_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
     return features.join(listed, "feature_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+
+
+def geometries(features: DataFrame, view: DataFrame, identifier: str) -> DataFrame:
+    """``features`` with the ``geometry`` of their rows of the view, as WKT; null without one.
+
+    Parse it with ``geo.Shape`` where it is needed.
+    """
+    held = view.select(F.col(f"`{identifier}`").cast("string").alias("_id"), "geometry") if "geometry" in view.columns else view.select(F.col(f"`{identifier}`").cast("string").alias("_id"), F.lit(None).cast("string").alias("geometry"))
+    return features.join(held, features.location_id == held._id, "left").drop("_id")
+
+
+#: Which columns of a view describe a feature: name, kind, and what it lies in, widest first.
+DESCRIBED = {
+    "geonames": ("name", "feature_name", ("country_name", "admin1_name", "admin2_name")),
+    "geonames-cities": ("name", "feature_name", ("country_name", "admin1_name", "admin2_name")),
+    "swissnames3d": ("NAME", "OBJEKTART", ("KANTON_NAME", "BEZIRK_NAME", "GEMEINDE_NAME")),
+}
+
+
+def described(features: DataFrame, view: DataFrame, identifier: str, columns: tuple[str, str, tuple[str, ...]]) -> DataFrame:
+    """``(feature_id, location_id, description)`` of features by the columns that describe them."""
+    name, kind, levels = columns
+    held = view.select(F.col(f"`{identifier}`").cast("string").alias("_id"), T.description(F.col(f"`{name}`"), F.col(f"`{kind}`"), [F.col(f"`{c}`") for c in levels]).alias("description"))
+    return features.select("feature_id", "location_id").join(held, features.location_id == held._id).select("feature_id", "location_id", "description")

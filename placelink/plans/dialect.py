@@ -9,7 +9,7 @@ _PART = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|[A-Za-z_][A-Za-z
 #: Types of casts.
 _TYPES = {"text": "string", "integer": "bigint", "int": "bigint", "real": "double", "numeric": "double", "blob": "binary"}
 #: Functions that go by another name here.
-_NAMES = {"printf": "format_string", "group_concat": "array_join", "char_length": "length"}
+_NAMES = {"printf": "format_string", "group_concat": "array_join", "char_length": "length", "iif": "if", "unicode": "ascii"}
 #: Functions that expressions may use; others are refused with their name.
 FUNCTIONS = frozenset("abs ascii cast ceil ceiling char coalesce concat floor format_string hex ifnull iif if instr length lower ltrim max min nullif printf quote replace round rtrim sign substr substring trim unicode upper".split())
 

@@ -52,5 +52,9 @@ class Storage:
         options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at(name).toUri(), self._conf).rename(self._at(part), self._at(name), options)
 
+    def put(self, local: str, name: str) -> None:
+        """Copy a file of this machine into the folder."""
+        self._fs.copyFromLocalFile(False, True, self._jvm.org.apache.hadoop.fs.Path(f"file:{local}"), self._at(name))
+
     def delete(self, name: str = "") -> None:
         self._fs.delete(self._at(name), True)

@@ -5,6 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from placelink.operators import views
 from placelink.plans import dependency, dialect
 from placelink.plans.install import Store
 from placelink.sources import acquire, config, scan
@@ -89,16 +90,22 @@ def folder(tmp_path):
 
 
 def test_install(spark, folder):
-    store = Store(str(folder / "store"))
+    store = Store(spark, str(folder / "store"))
     with pytest.raises(ValueError, match="not installed"):
-        store.read(spark, "small", "names")
-    first = store.install(spark, folder / "g.yaml")
-    view = {r.id: (r.short, r.canton, r.area) for r in store.read(spark, "small", "view/towns").collect()}
+        store.read("small", "names")
+    first = store.install(folder / "g.yaml")
+    view = {r.id: (r.short, r.canton, r.area) for r in store.read("small", "view/towns").collect()}
     assert view == {1: ("Bern", "Bern canton", "west"), 2: ("Zug", None, "east"), 3: ("Nirgends", None, None)}
-    names = {r.name for r in store.read(spark, "small", "names").collect()}
+    names = {r.name for r in store.read("small", "names").collect()}
     assert names == {"Bern (Bundesstadt)", "Bern", "A", "Berne", "B", "Zug", "Nirgends", "X"}
     assert first["counts"] == {"towns_view": [3, 8]}
-    assert store.install(spark, folder / "g.yaml")["counts"] == first["counts"]
+    asked = spark.createDataFrame([("q", "Berne")], "qid string, query string")
+    assert store.search("small", asked, "exact").count() == 1
+    told = {r.description for r in store.describe("small", "towns", ("short", "canton", ("area",))).collect()}
+    assert told == {"Bern (Bern canton) in west", "Zug in east", "Nirgends"}
+    held = views.geometries(store.read("small", "features"), store.read("small", "view/towns"), "id")
+    assert {r.geometry for r in held.collect()} == {"POINT(7.4 46.9)", "POINT(8.5 47.1)", "POINT(0.0 0.0)"}
+    assert store.install(folder / "g.yaml")["counts"] == first["counts"]
 
 
 def test_geojson_and_files(spark, tmp_path):
