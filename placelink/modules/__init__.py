@@ -2,6 +2,6 @@
 
 from placelink.modules.base import Module, Recognizer, Resolver
 from placelink.modules.recognizers import DictionaryRecognizer, FunctionRecognizer, ManualRecognizer
-from placelink.modules.resolvers import HashEncoder, ManualResolver, SimilarityResolver
+from placelink.modules.resolvers import HashEncoder, ManualResolver, SimilarityResolver, WeightedEncoder
 
-__all__ = ["DictionaryRecognizer", "FunctionRecognizer", "HashEncoder", "ManualRecognizer", "ManualResolver", "Module", "Recognizer", "Resolver", "SimilarityResolver"]
+__all__ = ["DictionaryRecognizer", "FunctionRecognizer", "HashEncoder", "ManualRecognizer", "ManualResolver", "Module", "Recognizer", "Resolver", "SimilarityResolver", "WeightedEncoder"]

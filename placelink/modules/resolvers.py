@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from placelink.modules.base import Resolver
 from placelink.operators import resolve
 from placelink.session import ship
+from placelink.storage import Storage
 
 
 class ManualResolver(Resolver):
@@ -95,6 +97,56 @@ class HashEncoder:
         return out
 
 
+class WeightedEncoder(HashEncoder):
+    """A hash encoder whose dimensions have learnt weights."""
+
+    def __init__(self, weights: list[float]):
+        super().__init__(len(weights))
+        self.weights = np.asarray(weights, np.float64)
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        found = np.asarray(super().__call__(texts), np.float64) * np.sqrt(self.weights)
+        size = np.sqrt((found * found).sum(axis=1, keepdims=True))
+        return (found / np.where(size > 0, size, 1)).astype(np.float32).tolist()
+
+    def save(self, spark, path: str) -> None:
+        Storage(spark, path).write("weights.json", json.dumps(self.weights.tolist()))
+
+    @classmethod
+    def load(cls, spark, path: str) -> WeightedEncoder:
+        return cls(json.loads(Storage(spark, path).read("weights.json")))
+
+
+def learned(pairs: DataFrame, dimensions: int = 256, epochs: int = 20, rate: float = 2.0) -> WeightedEncoder:
+    """Weights of a hash encoder's dimensions by which right descriptions are more like their contexts than wrong ones.
+
+    Logistic regression of ``pairs(context, description, label)`` on the
+    products of the two vectors' components.  Each step sums the gradient over
+    the partitions; only ``dimensions`` numbers a partition reach the driver.
+    """
+    ship(pairs.sparkSession)
+    weights, offset = np.ones(dimensions), 0.0
+
+    def slopes(weights: np.ndarray, offset: float):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            encode, total = HashEncoder(dimensions), np.zeros(dimensions + 2)
+            for batch in batches:
+                x = np.asarray(encode(batch["context"].fillna("").tolist())) * np.asarray(encode(batch["description"].fillna("").tolist()))
+                miss = 1 / (1 + np.exp(-np.clip(4 * (x @ weights) + offset, -30, 30))) - batch["label"].to_numpy()
+                total += np.concatenate([4 * miss @ x, [miss.sum(), len(batch)]])
+            yield pd.DataFrame({"sums": [total.tolist()]})
+
+        return pairs.select("context", "description", "label").mapInPandas(run, "sums array<double>")
+
+    for _ in range(epochs):
+        total = np.sum([r["sums"] for r in slopes(weights, offset).collect()], axis=0)  # a row a partition
+        if not total[-1]:
+            break
+        weights = np.maximum(weights - rate * (total[:dimensions] / total[-1] + 1e-3 * (weights - 1)), 0.0)
+        offset -= rate * total[-2] / total[-1]
+    return WeightedEncoder(weights.tolist())
+
+
 class SimilarityResolver(Resolver):
     """The candidate whose description is most like the context, by rounds of search.
 
@@ -106,9 +158,21 @@ class SimilarityResolver(Resolver):
 
     NAME = "SimilarityResolver"
 
-    def __init__(self, gazetteer: str, names: DataFrame, described: DataFrame, min_similarity: float = 0.6, max_tiers: int = 3, max_tokens: int = 126, encoder: Callable[[list[str]], list[list[float]]] | None = None):
+    def __init__(self, gazetteer: str, names: DataFrame, described: DataFrame, min_similarity: float = 0.6, max_tiers: int = 3, max_tokens: int = 126, encoder: Callable[[list[str]], list[list[float]]] | None = None, indexed: DataFrame | None = None):
         super().__init__(gazetteer=gazetteer, min_similarity=min_similarity, max_tiers=max_tiers, max_tokens=max_tokens)
-        self.names, self.described, self.encoder = names, described, encoder or HashEncoder()
+        self.names, self.described, self.encoder, self.indexed = names, described, encoder or HashEncoder(), indexed
+
+    @classmethod
+    def installed(cls, store, gazetteer: str, source: str, columns: tuple | None = None, **options) -> SimilarityResolver:
+        """A resolver over an installed gazetteer: its names, stored index, and descriptions by the columns known for it or given."""
+        return cls(gazetteer, store.read(gazetteer, "names"), store.describe(gazetteer, source, columns), indexed=store.read(gazetteer, "texts"), **options)
+
+    def fit(self, pairs: DataFrame, output_path: str, **options) -> SimilarityResolver:
+        """This resolver with an encoder fitted on training pairs and saved."""
+        encoder = learned(pairs, **options)
+        encoder.save(pairs.sparkSession, output_path)
+        c = self.config
+        return SimilarityResolver(c["gazetteer"], self.names, self.described, c["min_similarity"], c["max_tiers"], c["max_tokens"], encoder, self.indexed)
 
     def contexts(self, references: DataFrame) -> DataFrame:
         """``references`` with ``context``."""
@@ -134,14 +198,14 @@ class SimilarityResolver(Resolver):
 
     def predict(self, references: DataFrame) -> DataFrame:
         asked = references.select(F.col("text").alias("qid"), F.col("text").alias("query")).distinct()
-        found = resolve.candidates(self.names, asked, self.config["max_tiers"])
+        found = resolve.candidates(self.names, asked, self.config["max_tiers"], indexed=self.indexed)
         rows = self.contexts(references).select("reference_id", "text", "context")
-        pairs = rows.join(found, rows.text == found.qid).select(F.col("reference_id").alias("ref_id"), "context", "feature_id", "round")
+        pairs = rows.join(found, rows.text == found.qid).select(F.col("reference_id").alias("ref_id"), "context", "feature_id", "round", "score")
         pairs = pairs.join(self.described, "feature_id")
         sims = pairs.join(self.encoded(rows, "context").withColumnRenamed("vector", "_c"), "context").join(self.encoded(pairs, "description").withColumnRenamed("vector", "_d"), "description")
         from placelink.functions.text import cosine
 
-        scored = sims.select("ref_id", "feature_id", "location_id", "round", F.col("feature_id").alias("pos"), cosine(F.col("_c"), F.col("_d")).alias("sim"))
+        scored = sims.select("ref_id", "feature_id", "location_id", "round", F.col("score").alias("pos"), cosine(F.col("_c"), F.col("_d")).alias("sim"))
         best = resolve.first_good_round(scored.drop("location_id"), self.config["min_similarity"])
         told = best.join(self.described.select("feature_id", "location_id"), "feature_id")
         return told.select(F.col("ref_id").alias("reference_id"), F.lit(self.config["gazetteer"]).alias("gazetteer"), "location_id")

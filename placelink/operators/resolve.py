@@ -18,7 +18,7 @@ def rounds(max_tiers: int = 3) -> list[tuple[int, str, int]]:
 
 
 def candidates(names: DataFrame, queries: DataFrame, max_tiers: int = 3, limit: int = S.LIMIT, indexed: DataFrame | None = None) -> DataFrame:
-    """``(qid, feature_id, round)``: the first round that finds a feature for a query.
+    """``(qid, feature_id, round, score)``: the first round that finds a feature for a query, and its score there.
 
     A method is searched once with the most tiers; a feature of tier t comes up
     in that method's round t.
@@ -29,9 +29,9 @@ def candidates(names: DataFrame, queries: DataFrame, max_tiers: int = 3, limit:
         tiers = 1 if method == "exact" else max_tiers
         rows = S.search(names, queries, method, limit, tiers, indexed)
         at = F.create_map(*(F.lit(x) for t in range(1, tiers + 1) for x in (t, number[method, t])))
-        rows = rows.select("qid", "feature_id", at[F.col("tier")].alias("round"))
+        rows = rows.select("qid", "feature_id", at[F.col("tier")].alias("round"), F.col("score").cast("double").alias("score"))
         found = rows if found is None else found.union(rows)
-    return found.groupBy("qid", "feature_id").agg(F.min("round").alias("round"))
+    return found.groupBy("qid", "feature_id").agg(F.min(F.struct("round", "score")).alias("f")).select("qid", "feature_id", "f.round", "f.score")
 
 
 def union_distinct(found: DataFrame) -> DataFrame:

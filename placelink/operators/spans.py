@@ -189,3 +189,24 @@ def scores(gold: DataFrame, found: DataFrame) -> DataFrame:
 def of_types(entities: DataFrame, kinds: list[str]) -> DataFrame:
     """Entities whose label is among ``kinds``."""
     return entities.where(F.col("label").isin(*kinds))
+
+
+def distilled(spans: DataFrame, entities: DataFrame, kinds: list[str], fallback: str = "LOC") -> DataFrame:
+    """``spans(document_id, start, end)`` with the ``label`` that a base model's ``entities`` give them.
+
+    Of the entities of these kinds that overlap a span the first that lies
+    inside it counts, else the first of all; without any, ``fallback``.
+    """
+    keys = ["document_id", "start", "end"]
+    b = _laid(of_types(entities, kinds).select("document_id", F.col("start").alias("_s"), F.col("end").alias("_e"), "label"), "_s", "_e")
+    met = _laid(spans.select(*keys).distinct(), "start", "end").join(b, ["document_id", "_cell"]).where((F.col("start") < F.col("_e")) & (F.col("end") > F.col("_s")))
+    inside = (F.col("_s") >= F.col("start")) & (F.col("_e") <= F.col("end"))
+    best = met.groupBy(*keys).agg(F.min_by("label", F.struct(~inside, F.col("_s"), F.col("_e"), F.col("label"))).alias("label"))
+    return spans.select(*keys).distinct().join(best, keys, "left").withColumn("label", F.coalesce("label", F.lit(fallback)))
+
+
+def training_set(documents: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``(document_id, text, entities)`` for a trainer: every document with its labelled spans in order, an empty list without any."""
+    listed = labelled.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("entities"))
+    none = F.array().cast("array<struct<start:int,end:int,label:string>>")
+    return documents.select("document_id", "text").join(listed, "document_id", "left").withColumn("entities", F.coalesce("entities", none))

@@ -1,12 +1,14 @@
 import json
+import sqlite3
 import struct
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from placelink.__main__ import builtin
 from placelink.operators import views
-from placelink.plans import dependency, dialect
+from placelink.plans import dependency, dialect, install
 from placelink.plans.install import Store
 from placelink.sources import acquire, config, scan
 
@@ -114,3 +116,79 @@ def test_geojson_and_files(spark, tmp_path):
     assert row.geometry == "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))" and {row.n, row.k} == {"x", "3"}
     with pytest.raises(FileNotFoundError):
         acquire.locate(tmp_path, "b.txt")
+
+
+def _index(folder):
+    """A ``.shx`` file for the shapefile of the fixture."""
+    data, at, spots = (folder / "areas.shp").read_bytes(), 100, []
+    while at < len(data):
+        words = struct.unpack_from(">i", data, at + 4)[0]
+        spots.append(struct.pack(">2i", at // 2, words))
+        at += 8 + 2 * words
+    (folder / "areas.shx").write_bytes(b"\0" * 100 + b"".join(spots))
+
+
+def test_shapefile_by_ranges(spark, tmp_path, monkeypatch):
+    rings = [[(k, 0), (k, 1), (k + 1, 1), (k + 1, 0), (k, 0)][: 5 if k % 2 else 5] for k in range(7)]
+    _shapefile(tmp_path, rings, [f"n{k}" for k in range(7)])
+    want = [tuple(r) for r in scan.shapefile(spark, str(tmp_path / "areas.shp")).collect()]
+    assert [r[1] for r in want] == [f"n{k}" for k in range(7)] and want[3][0] == "POLYGON ((3.0 0.0, 3.0 1.0, 4.0 1.0, 4.0 0.0, 3.0 0.0))"
+    _index(tmp_path)
+    monkeypatch.setattr(scan, "RECORDS", 3)
+    assert sorted(tuple(r) for r in scan.shapefile(spark, str(tmp_path / "areas.shp")).collect()) == sorted(want)
+
+
+def test_first_lines_are_left_out_of_every_file(spark, tmp_path):
+    source = config.parse(base(skiprows=2, separator=";"))
+    (tmp_path / "t.txt").write_text("# a;b\n\n" + "".join(f"{k};n{k}\n" for k in range(5_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = scan.tabular(spark, str(tmp_path / "t.txt"), source.sources[0]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.id, r.name) for r in rows) == [(k, f"n{k}") for k in range(5_000)]
+
+
+@pytest.mark.parametrize("store", ["disk", "content"])
+def test_geopackage(spark, tmp_path, monkeypatch, store):
+    path = tmp_path / "a b.gpkg"
+    line = struct.pack("<BII6d", 1, 1002, 2, 0, 0, 9, 1, 2, 9)  # with heights
+    shapes = [struct.pack("<BI2d", 1, 1, 7.5, 46.5), line, struct.pack(">BIII8d", 0, 3, 1, 4, 0, 0, 0, 2, 2, 2, 0, 0), struct.pack("<BII", 1, 6, 1) + struct.pack("<BIII8d", 1, 3, 1, 4, 0, 0, 0, 2, 2, 2, 0, 0), None]
+    head = b"GP\0\1" + struct.pack("<i", 4326)
+    boxed = b"GP\0\3" + struct.pack("<i4d", 4326, 0, 1, 0, 1)
+    with sqlite3.connect(path) as db:
+        db.execute("create table gpkg_geometry_columns (table_name text, column_name text)")
+        db.execute("insert into gpkg_geometry_columns values ('places', 'geom')")
+        db.execute("create table places (fid integer primary key, geom blob, name text, n integer)")
+        db.executemany("insert into places values (?, ?, ?, ?)", [(3 * k, s and (boxed if k % 2 else head) + s, f"p{k}", k or None) for k, s in enumerate(shapes)])
+    db.close()
+    monkeypatch.setattr(scan, "RECORDS", 4)
+    at = str(path) if store == "disk" else "dbfs://" + str(path)
+    if store == "content":
+        real = type(spark.read).load
+        monkeypatch.setattr(type(spark.read), "load", lambda self, p: real(self, p.removeprefix("dbfs://")))
+    rows = sorted(scan.geopackage(spark, at).collect(), key=lambda r: r.name)
+    assert [tuple(r)[1:] for r in rows] == [(f"p{k}", str(k) if k else None) for k in range(5)]
+    assert [r.geometry for r in rows] == ["POINT (7.5 46.5)", "LINESTRING (0.0 0.0, 1.0 2.0)", "POLYGON ((0.0 0.0, 0.0 2.0, 2.0 2.0, 0.0 0.0))", "MULTIPOLYGON (((0.0 0.0, 0.0 2.0, 2.0 2.0, 0.0 0.0)))", None]
+    with pytest.raises(ValueError, match="no layer"):
+        scan.geopackage(spark, str(path), "other")
+
+
+@pytest.mark.parametrize("name", ["geonames", "geonames-cities", "swissnames3d"])
+def test_bundled_configurations(spark, name):
+    """Their expressions translate, and their sources join, over a made row of each source."""
+    gazetteer = config.load(builtin()[name])
+    kinds = {"text": "string", "integer": "bigint", "real": "double", "geometry": "string"}
+    value = {"text": "'Wald (Au) ZH'", "integer": "7", "real": "8.0D", "geometry": "'POLYGON ((0 0, 9 0, 9 9, 0 9, 0 0))'"}
+    scanned = {s.name: spark.range(1).selectExpr(*(f"cast({value[a.type]} as {kinds[a.type]}) as `{a.name}`" for a in s.original if not a.drop)) for s in gazetteer.sources}
+    made = install.build(gazetteer, scanned)
+    view = next(iter(made.views.values())).first().asDict()
+    assert made.features.count() == (1 if name != "swissnames3d" else 6)
+    texts = {r.name for r in made.names.collect()}
+    assert "Wald (Au) ZH" in texts and "Wald" in texts and (name != "swissnames3d" or "Wald (Au)" in texts)
+    if name == "swissnames3d":
+        point = made.views["swissNAMES3D_PLY"].first().asDict()
+        assert point["KANTON_NAME"] == point["GEMEINDE_NAME"] == "Wald (Au) ZH"
+    else:
+        assert set(views.DESCRIBED[name][2]) <= set(view)

@@ -1,14 +1,16 @@
 import json
 import shutil
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from placelink.modules import DictionaryRecognizer, FunctionRecognizer, ManualRecognizer, ManualResolver, SimilarityResolver
-from placelink.modules.resolvers import window
+from placelink.modules import DictionaryRecognizer, FunctionRecognizer, HashEncoder, ManualRecognizer, ManualResolver, SimilarityResolver, WeightedEncoder
+from placelink.modules.resolvers import learned, window
 from placelink.catalog import Tables
 from placelink.operators import annotate, spans
 from placelink.project import Linker, Project
+from placelink.sources import scan
 from placelink.streaming.incremental import follow
 
 TEXT = "Test text with toponym"
@@ -120,3 +122,63 @@ def test_annotation_values(spark):
     change = tops.where("start = 0").withColumn("loc_id", F.lit(None).cast("string"))
     assert [r.loc_id for r in annotate.annotate(tops, change).orderBy("start").collect()] == [None, None, "x", None]
     assert [r.loc_id for r in annotate.annotate(tops, change, one_sense=False).orderBy("start").collect()] == [None, None, "x", ""]
+
+
+def test_recognizers_that_learn(spark, tmp_path):
+    names = spark.createDataFrame([("Bath",), ("Reading",)], "name string")
+    project = Project(spark, "train", str(tmp_path))
+    texts = ["Reading a book in Ulm", "Reading on the train", "Ulm is near New Ulm"]
+    project.create_documents(texts)
+    project.create_references("gold", texts, [[(18, 21)], [], [(0, 3), (12, 19)]], tag="gold")
+    fitted = project.train_recognizer(DictionaryRecognizer(names, "d"), "gold", output_path=str(tmp_path / "lexicon"))
+    loaded = DictionaryRecognizer.load(spark, str(tmp_path / "lexicon"), "d-fitted")
+    assert {r.name for r in fitted.names.collect()} == {r.name for r in loaded.names.collect()} == {"Bath", "Ulm", "New Ulm"}
+    with pytest.raises(ValueError, match="no spans"):
+        project.train_recognizer(DictionaryRecognizer(names, "d"), "none", output_path=str(tmp_path / "x"))
+
+
+def test_labels_are_distilled(spark):
+    base = lambda: lambda texts: [[(0, 4, "GPE"), (5, 9, "ORG"), (10, 20, "FAC")] if t else None for t in texts]
+    seen = []
+    model = FunctionRecognizer(base, ("GPE", "FAC", "LOC"), lambda rows, path, **o: seen.append((path, o)) or rows, label="m")
+    docs = spark.createDataFrame([(1, "Bern News Old Bridge and more"), (2, "")], "document_id int, text string")
+    assert {r.document_id: r.spans and [tuple(s) for s in r.spans] for r in model.predict(docs).collect()} == {1: [(0, 4), (10, 20)], 2: None}
+    gold = spark.createDataFrame([(1, "Bern News Old Bridge and more", a, b, "x") for a, b in ((0, 4), (2, 12), (5, 9), (14, 17))] + [(2, "", None, None, None)], "document_id int, document string, start int, end int, text string")
+    made = {r.document_id: [tuple(e) for e in r.entities] for r in model.fit(gold, "out", epochs=3).collect()}
+    assert made == {1: [(0, 4, "GPE"), (2, 12, "GPE"), (5, 9, "LOC"), (14, 17, "FAC")], 2: []} and seen == [("out", {"epochs": 3})]
+    with pytest.raises(ValueError, match="no trainer"):
+        FunctionRecognizer(base, label="n").fit(gold, "out")
+
+
+def test_a_resolver_that_learns(spark, tmp_path):
+    rows = [("the town hall of Bern", "Bern (town)", 1), ("the town hall of Bern", "Bern (hill)", 0), ("climbing the hill Napf", "Napf (hill)", 1), ("climbing the hill Napf", "Napf (town)", 0)] * 5
+    pairs = spark.createDataFrame(rows, "context string, description string, label int")
+    encoder = learned(pairs)
+    encoder.save(spark, str(tmp_path / "model"))
+    again = WeightedEncoder.load(spark, str(tmp_path / "model"))
+
+    def margin(encode):
+        a, b, c = (np.array(v) for v in encode(["see the town of Zug", "Zug (town)", "Zug (hill)"]))
+        return a @ b - a @ c
+
+    assert margin(again) == margin(encoder) > margin(HashEncoder()) > 0
+
+
+def test_settings(spark):
+    sessions = spark.createDataFrame([(1,), (2,), (2,)], "session_id int")
+    held = annotate.settings(sessions)
+    assert sorted(map(tuple, held.collect())) == [(1, False, False), (2, False, False)]
+    held = annotate.put_settings(held, spark.createDataFrame([(2, None, True)], "session_id int, auto_close_annotation_modal boolean, one_sense_per_discourse boolean"))
+    assert sorted(map(tuple, annotate.settings(sessions, held).collect())) == [(1, False, False), (2, False, True)]
+
+
+def test_legacy_sessions(spark, tmp_path):
+    body = {"created_at": "a", "last_updated": "b", "gazetteer": "g", "documents": [{"filename": "f", "text": "In Bern", "toponyms": [{"text": "Bern", "start": 3, "end": 7, "loc_id": ""}]}]}
+    folder = tmp_path / "old"
+    folder.mkdir()
+    (folder / "one.json").write_text(json.dumps(body))
+    (folder / "two.json").write_text("{broken")
+    assert scan.import_sessions(spark, str(folder), str(tmp_path / "t")) == {"found": 2, "loaded": 1, "failed": ["two.json"]}
+    assert [p.name for p in folder.glob("*.json")] == ["two.json"]
+    assert [(r.text, r.start) for r in spark.read.parquet(str(tmp_path / "t" / "toponyms")).collect()] == [("Bern", 3)]
+    assert scan.import_sessions(spark, str(tmp_path), str(tmp_path / "t")) == {"found": 0, "loaded": 0, "failed": []}
