@@ -84,8 +84,8 @@ def secret_like(value: str) -> bool:
 
 
 def _folded(text: str) -> str:
-    """``text`` with A-Z lower-cased, place by place."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+    """``text`` in lower case, place by place; U+0130 alone would take two places."""
+    return text.translate(_LOWER) if "\u0130" in text else text.lower()
 
 
 def _byte(part: str) -> bool:
