@@ -125,8 +125,8 @@ def movable(changes: DataFrame, held: DataFrame) -> DataFrame:
 
 def moved(toponyms: DataFrame, changes: DataFrame) -> DataFrame:
     """``toponyms(document_id, start, end, ...)`` with the spans that :func:`movable` changes allow."""
-    ok = movable(changes, toponyms).select("document_id", F.col("old_start").alias("_a"), F.col("old_end").alias("_b"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    rows = toponyms.join(ok, (toponyms.document_id == ok.document_id) & (toponyms.start == ok._a) & (toponyms.end == ok._b), "left").drop(ok.document_id)
+    ok = movable(changes, toponyms).select(F.col("document_id").alias("_d"), F.col("old_start").alias("_a"), F.col("old_end").alias("_b"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    rows = toponyms.join(ok, (F.col("document_id") == F.col("_d")) & (F.col("start") == F.col("_a")) & (F.col("end") == F.col("_b")), "left")
     new = {"start": F.coalesce("_s", "start"), "end": F.coalesce("_e", "end")}
     return rows.select(*((new[c].alias(c) if c in new else F.col(f"`{c}`")) for c in toponyms.columns))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import shutil
 import tempfile
 from dataclasses import dataclass
@@ -19,6 +20,8 @@ from placelink.sources import acquire, config, scan
 from placelink.storage import Storage
 
 SCHEMA_VERSION = 2
+#: Paths that name their file system are left to Spark as they are.
+_URI = re.compile("[a-z][a-z0-9+.-]+:")
 
 
 @dataclass
@@ -153,18 +156,18 @@ class Store:
                 writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer.mode("overwrite").parquet(self.storage.path(at))
 
-    def install(self, path: str | Path, cell: float | None = None, keep_downloads: bool = False) -> dict:
-        """Scan, build and write the gazetteer of a YAML file; installs over an older one.
+    def install(self, path: str | Path | config.Gazetteer, cell: float | None = None, keep_downloads: bool = False) -> dict:
+        """Scan, build and write the gazetteer of a YAML file or a configuration; installs over an older one.
 
         Downloads and archives are unpacked on the driver, in a folder of its
         own, and copied into the store unless that is local.
         """
-        gazetteer = config.load(path)
+        gazetteer, base = (path, Path.cwd()) if isinstance(path, config.Gazetteer) else (config.load(path), Path(path).parent)
         name = gazetteer.name
         self.storage.delete(f"{name}/manifest.json")
         local = self.storage.root.startswith("file:")
         cache = Path(self.storage.root.removeprefix("file:")) / name / "downloads" if local else Path(tempfile.mkdtemp(prefix="placelink-downloads-"))
-        scanned = {s.name: scan.scan(self.spark, self._staged(s, acquire.resolve(s, Path(path).parent, cache), name), s) for s in gazetteer.sources}
+        scanned = {s.name: scan.scan(self.spark, s.path if s.path and _URI.match(s.path) else self._staged(s, acquire.resolve(s, base, cache), name), s) for s in gazetteer.sources}
         made = build(gazetteer, scanned, cell)
         by = {s.name: s for s in gazetteer.sources}
         for kind, held in (("table", made.tables), ("view", made.views)):

@@ -443,18 +443,26 @@ _COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding A
 _HEADS = "h AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label), p AS (SELECT e.vec_id, e.label, e.embedding FROM embeddings e JOIN h ON e.vec_id = h.vec_id)"
 
 
+#: Rows up to which a table of prototypes is broadcast.
+_FEW = 10_000
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= _FEW else rows
+
+
 def _prototypes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = read(spark, sf_dir, "embeddings")
     heads = rows.groupBy("label").agg(F.min("vec_id").alias("vec_id"))  # one row a label: ten
-    return rows, rows.join(F.broadcast(heads.select("vec_id")), "vec_id", "left_semi")
+    return rows, rows.join(_few(heads.select("vec_id")), "vec_id", "left_semi")
 
 
 def _candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, heads = _prototypes(spark, sf_dir)
-    pairs = rows.select(F.col("vec_id").alias("ref_id")).crossJoin(F.broadcast(heads.select(F.col("vec_id").alias("feature_id"), F.col("label").alias("pos"))))
+    pairs = rows.select(F.col("vec_id").alias("ref_id")).crossJoin(_few(heads.select(F.col("vec_id").alias("feature_id"), F.col("label").alias("pos"))))
     contexts = rows.select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("vector"))
     told = heads.select(F.col("vec_id").alias("feature_id"), F.col("embedding").alias("vector"))
-    return resolve.similarities(pairs, contexts, F.broadcast(told)).withColumn("sim", F.round("sim", 9)).withColumn("round", F.col("pos") % 3 + 1)
+    return resolve.similarities(pairs, contexts, _few(told)).withColumn("sim", F.round("sim", 9)).withColumn("round", F.col("pos") % 3 + 1)
 
 
 @query(f"""
@@ -467,7 +475,7 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows, heads = _prototypes(spark, sf_dir)
     asked = heads.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    sims = rows.crossJoin(F.broadcast(asked)).where("vec_id <> query_id").select("query_id", "vec_id", F.round(T.cosine(F.col("q"), F.col("embedding")), 6).alias("sim"))
+    sims = rows.crossJoin(_few(asked)).where("vec_id <> query_id").select("query_id", "vec_id", F.round(T.cosine(F.col("q"), F.col("embedding")), 6).alias("sim"))
     near = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
     return sims.withColumn("rank", F.row_number().over(near)).where("rank <= 5")
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -18,3 +20,16 @@ def ship(spark: SparkSession) -> None:
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in parts:
         env["PYTHONPATH"] = os.pathsep.join([root, *parts])
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder for files that all executors must see: below ``spark.checkpoint.dir``.
+
+    Only a local master may do without that setting.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="placelink-")
+    return f"{found.rstrip('/')}/placelink/{name}-{uuid.uuid4().hex}"

@@ -39,13 +39,13 @@ class Storage:
         finally:
             stream.close()
 
-    def write(self, name: str, text: str) -> None:
+    def write(self, name: str, content: str | bytes) -> None:
         """Write a file so that readers see the old one or the new one, whole."""
         folder, _, own = name.rpartition("/")
         part = f"{folder}/.{own}-{uuid.uuid4().hex}" if folder else f".{own}-{uuid.uuid4().hex}"
         out = self._fs.create(self._at(part), True)
         try:
-            out.write(bytearray(text.encode()))
+            out.write(bytearray(content.encode() if isinstance(content, str) else content))
         finally:
             out.close()
         options = self._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)

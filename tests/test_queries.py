@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from placelink import queries as Q
+from placelink import flows as Q
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
