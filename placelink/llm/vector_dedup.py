@@ -12,15 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placelink.llm.common import components, prepare, table
-from placelink.llm.vectors import hashed, matrix, ordered, runs, usable
+from placelink.llm.vectors import hashed, matrix, runs, sorted_passes, stretches, usable
 
 PASSES, WINDOW = 12, 96
 #: Vectors of a block of a pass, and of a side of a block of a component.
-BLOCK, CELL = 1_024, 512
+BLOCK, CELL = 256, 512
+#: Rows up to which a table of classes is broadcast: some 4 MB.
+BROADCAST_ROWS = 100_000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -47,27 +49,89 @@ def _forest(n: int, first: np.ndarray, second: np.ndarray) -> list[int]:
     return kept
 
 
+def _band(x: np.ndarray, least: float, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of unit vectors whose cosine is at least ``least``, where ``apart`` allows it."""
+    return np.nonzero((x @ x.T >= least) & apart)
+
+
+_FOUND = "a long, b long, part int, row long, total long, turn int, grp string, dim int, id long, v "
+
+
 def passes(rows: DataFrame, least: float, turns: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """``(a, b)``: pairs of ``rows(grp, id, v)`` found by sorted passes, enough to connect all found."""
-    placed = ordered(rows, turns)
+    """``(a, b)``: pairs of ``rows(grp, id, v)`` found by sorted passes, enough to connect all found.
+
+    One shuffle sorts all passes.  Each partition compares its rows as they
+    come and hands on the ``window`` rows at both its ends, which are compared
+    across partitions afterwards.
+    """
+    dealt = sorted_passes(rows, turns)
+    kind = dict(rows.dtypes)["v"]
+
+    def pairs(a: np.ndarray, b: np.ndarray) -> dict:
+        return {"a": pa.array(a), "b": pa.array(b)}
+
+    def filled(columns: dict, n: int, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        names = [f.split()[0] for f in _FOUND.split(", ")]
+        kinds, seen, key, tail = None, 0, None, None
+        head: list[pa.Table] = []  # the first rows of the partition, then its last
+        last: pa.Table | None = None
+        for own in stretches(batches, 3, BLOCK):
+            if kinds is None:
+                held = {f.name: f.type for f in own.schema}
+                kinds = [held.get(c, {"part": pa.int32()}.get(c, pa.int64())) for c in names]
+            at = tuple(own.column(c)[0].as_py() for c in ("turn", "grp", "dim"))
+            if seen < window:
+                head.append(own.slice(0, window - seen))
+            last = own if last is None else pa.concat_tables([last, own])
+            last = last.slice(max(0, last.num_rows - window))
+            seen += own.num_rows
+            both = own if key != at else pa.concat_tables([tail, own])
+            key, tail = at, both.slice(max(0, both.num_rows - window))
+            if both.num_rows < 2:
+                continue
+            n, old = both.num_rows, both.num_rows - own.num_rows
+            ids, place = both.column("id").to_numpy(), np.arange(n)
+            gap = place[None, :] - place[:, None]
+            i, j = _band(_unit(matrix(both.column("v").combine_chunks())), least, (gap > 0) & (gap <= window) & (place[None, :] >= old))
+            kept = _forest(n, i, j)
+            if kept:
+                yield filled(pairs(ids[i[kept]], ids[j[kept]]), len(kept), names, kinds)
+        if seen:
+            first = pa.concat_tables(head)
+            edge = pa.concat_tables([first, last.slice(max(0, last.num_rows - (seen - first.num_rows)))]) if seen > first.num_rows else first
+            n = edge.num_rows
+            row = np.concatenate([np.arange(first.num_rows), np.arange(seen - (n - first.num_rows), seen)])
+            columns = {c: edge.column(c).combine_chunks() for c in ("turn", "grp", "dim", "id", "v")}
+            columns |= {"part": pa.array(np.full(n, TaskContext.get().partitionId(), np.int32)), "row": pa.array(row), "total": pa.array(np.full(n, seen))}
+            yield filled(columns, n, names, kinds)
+
+    found = table(dealt.mapInArrow(compare, _FOUND + kind), "passes")
+    edges = found.where("part is not null")
+    counts = edges.groupBy("part").agg(F.max("total").alias("total"))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("part", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("base"))  # a row a partition
+    placed = edges.join(F.broadcast(bases), "part").withColumn("place", F.col("base") + F.col("row"))
     block = F.floor(F.col("place") / BLOCK)
     halo = F.when((F.col("place") % BLOCK < window) & (F.col("place") >= BLOCK), F.array(block, block - 1)).otherwise(F.array(block))
-    each = placed.select(F.explode(halo).alias("block"), "place", "turn", "grp", "dim", "id", "v")
-    dealt = each.repartition("block").sortWithinPartitions("block", "place")
+    each = placed.select(F.explode(halo).alias("block"), "place", "part", "turn", "grp", "dim", "id", "v")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in runs(batches, 1):
-            for rows in runs(own.drop_columns(["block", "place"]).combine_chunks().to_batches(), 3):
-                if rows.num_rows < 2:
-                    continue
-                ids = rows.column("id").to_numpy()
-                x = _unit(matrix(rows.column("v").combine_chunks()))
-                near = np.triu(x @ x.T >= least, 1) & ~np.triu(np.ones((len(x), len(x)), bool), window + 1)
-                i, j = np.nonzero(near)
-                kept = _forest(len(x), i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i[kept]]), pa.array(ids[j[kept]])], ["a", "b"])
+            for same in runs(iter(own.drop_columns(["block"]).select(["turn", "grp", "dim", "place", "part", "id", "v"]).combine_chunks().to_batches()), 3):
+                part, place, ids = (same.column(c).to_numpy() for c in ("part", "place", "id"))
+                gap = place[None, :] - place[:, None]
+                apart = (gap > 0) & (gap <= window) & (part[None, :] != part[:, None])
+                if apart.any():
+                    i, j = _band(_unit(matrix(same.column("v").combine_chunks())), least, apart)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
 
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    more = each.repartition("block").sortWithinPartitions("block", "place").mapInArrow(across, "a long, b long")
+    return found.where("a is not null").select("a", "b").union(more).distinct()
 
 
 def counted(members: DataFrame, least: float) -> DataFrame:
@@ -113,11 +177,14 @@ def near_duplicates(df: DataFrame, least: float = 0.98, id_col: str = "vec_id",
     h1, h2 = hashed(F.col("v"))
     able = table(able.select("id", "grp", "v", h1.alias("h1"), h2.alias("h2")), "vectors")
     same = ["grp", "h1", "h2"]
-    classes = table(able.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("c")), "classes")
-    reps = able.select(F.col("id").alias("rep"), *same, "v").join(classes, [*same, "rep"]).dropDuplicates([*same])
-    reps = table(reps.select("grp", F.col("rep").alias("id"), "c", "v"), "reps")
+    classes = able.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("c"), F.first("v").alias("v"))
+    classes = table(classes, "classes")
+    reps = classes.select("grp", F.col("rep").alias("id"), "c", "v")
+    classes = classes.drop("v")
     found = passes(reps.select("grp", "id", "v"), least, turns, window)
-    tied = able.select("id", *same).join(classes, same).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    several = table(classes.where("c > 1").select(*same, "rep"), "several")
+    several = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
+    tied = able.select("id", *same).join(several, same).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     shared = tied.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y")).where("x <> y")
     more = shared.select(F.col("x").alias("a"), F.col("y").alias("b"))
     merged = table(components(found.union(more)), "merged")

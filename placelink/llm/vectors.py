@@ -7,11 +7,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placelink.llm.common import table
-
 #: Concatenated hashes of an order's key, and random hyperplanes of each.
 HASHES, BITS = 3, 20
 
@@ -50,55 +49,71 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], keys: int, most: int) -> Iterator[pa.Table]:
+    """Tables of at most ``most`` rows that are equal in their first ``keys`` columns; a run's last two are of one size."""
+    for own in stretches(batches, keys, 2 * most):
+        half = -(-own.num_rows // 2) if own.num_rows > most else own.num_rows
+        for at in range(0, own.num_rows, half):
+            yield own.slice(at, half)
+
+
+def stretches(batches: Iterator[pa.RecordBatch], keys: int, most: int) -> Iterator[pa.Table]:
+    """Tables of at most ``most`` rows that are equal in their first ``keys`` columns, in order."""
+    held: list[pa.RecordBatch] = []
+    at, n = None, 0
+    for batch in batches:
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        change = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows] if batch.num_rows else [0]
+        for a, b in zip(starts, starts[1:], strict=False):
+            key = tuple(c[a] for c in cols)
+            if held and key != at:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+            at = key
+            while a < b:
+                end = min(b, a + most - n)
+                held.append(batch.slice(a, end - a))
+                n, a = n + end - a, end
+                if n == most:
+                    yield pa.Table.from_batches(held)
+                    held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 @lru_cache(maxsize=64)
 def planes(turn: int, dim: int) -> np.ndarray:
     return np.random.default_rng((turn, dim)).standard_normal((dim, HASHES * BITS))
 
 
-def ordered(rows: DataFrame, passes: int) -> DataFrame:
-    """``rows(grp, id, v)`` once a pass, numbered in the order of a hash.
+def sorted_passes(rows: DataFrame, passes: int, carry: str = "v") -> DataFrame:
+    """``rows(grp, id, v)`` once a pass, range-partitioned and sorted by hash.
 
-    Returns ``(turn, grp, dim, id, v, place)``.  In each pass vectors stand in
+    Returns ``(turn, grp, dim, id, carry)``.  In each pass vectors stand in
     lexicographic order of their concatenated random hashes within their group
-    and dimension; ``place`` counts on over all passes.  The numbering needs
-    only the partitions' row counts.
+    and dimension; ties stand by id, so equal hashes are no hot task.
     """
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = dict(rows.dtypes)["v"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = dict(rows.dtypes)[carry]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(HASHES * BITS - 1, -1, -1, dtype=np.int64)
         for batch in batches:
-            dims = pa.compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            dims = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
             for dim in np.unique(dims).tolist():
                 part = batch.take(pa.array(np.flatnonzero(dims == dim)))
                 x = matrix(part.column(2))
                 for turn in range(passes):
                     key = ((x @ planes(turn, dim)) > 0) @ weights
                     m = part.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, turn, np.int32)), part.column(0), pa.array(np.full(m, dim, np.int32)), pa.array(key), part.column(1), part.column(2)], ["turn", "grp", "dim", "key", "id", "v"])
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            m = batch.num_rows
-            cols = [batch.column(k) for k in (0, 1, 2, 4, 5)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(m, part, np.int32)), pa.array(np.arange(at, at + m, dtype=np.int64))], ["turn", "grp", "dim", "id", "v", "part", "row"])
-            at += m
-
-    import pyarrow.compute  # noqa: F401
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, turn, np.int32)), part.column(0), pa.array(np.full(m, dim, np.int32)), pa.array(key), part.column(1), part.column(3)], ["turn", "grp", "dim", "key", "id", carry])
 
     order = ["turn", "grp", "dim", "key", "id"]
-    each = rows.select("grp", "id", "v").mapInArrow(keyed, f"turn int, grp string, dim int, key long, id long, v {kind}")
-    dealt = each.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    fixed = table(dealt.mapInArrow(numbered, f"turn int, grp string, dim int, id long, v {kind}, part int, row long"), "ordered")
-    counts = fixed.groupBy("part").agg(F.count("*").alias("c"))
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("part", F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("base"))
-    return fixed.join(F.broadcast(bases), "part").select("turn", "grp", "dim", "id", "v", (F.col("base") + F.col("row")).alias("place"))
+    each = rows.select("grp", "id", "v", F.col(carry).alias("_carry")).mapInArrow(keyed, f"turn int, grp string, dim int, key long, id long, {carry} {kind}")
+    return each.repartitionByRange(n, *order).sortWithinPartitions(*order).select("turn", "grp", "dim", "id", carry)
 
 
 def hashed(v: Column) -> list[Column]:
