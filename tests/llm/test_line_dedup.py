@@ -42,3 +42,10 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a", "x\ny")], "doc_id long, source string, text string")
     plan = line_dedup.report(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_many_rows_without_an_id(spark):
+    rows = [(None, f"s{k % 12}", f"own line {k}\nsaid everywhere\n\nlast {k}") for k in range(400)] + [(7, "s1", "said everywhere"), (8, "s2", "said everywhere")]
+    got = line_dedup.report(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert sorted(r.text for r in got if r.doc_id is None) == sorted(f"own line {k}\n\nlast {k}" for k in range(400))
+    assert {(r.doc_id, r.text) for r in got if r.doc_id} == {(7, "said everywhere"), (8, "")}

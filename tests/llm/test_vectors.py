@@ -35,6 +35,25 @@ def test_dedup_equals_brute_force(spark):
     assert near.sum() > 1_500
 
 
+def test_links_are_whole_where_the_window_binds(spark):
+    """700 vectors that nearly all link: far more than the window, several blocks of one component."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal(24) + rng.normal(0, 0.09, (700, 24))
+    x = np.concatenate([x, rng.standard_normal((300, 24))])
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x.astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(df, turns=4, window=6).collect()}
+    x = x.astype(np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    links = near.sum(axis=1)
+    assert links[:700].mean() > 100 and links[700:].sum() == 0
+    hub = {k for k in range(700) if got[k][1] == 0}
+    assert len(hub) >= 650 and all(got[k][0] == near[k, sorted(hub)].sum() for k in hub)
+    assert all(got[k] == (0, k) for k in range(700, 1000))
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], None), (4, None, 1), (5, [0.0, 0.0], 1), (6, [nan, 1.0], 1), (7, [inf, 1.0], 1), (8, [None, 1.0], 1), (9, [], 1), (None, [1.0, 0.0], 1), (10, [1.0, 0.0, 0.0], 1), (11, [1e30, 0.0], 1)]
