@@ -76,7 +76,7 @@ def candidates(left: DataFrame, right: DataFrame, cell: float | None = None) ->
     """
     cell = cell or cell_for(right)
     left, right = (rows.withColumn("_own", _level(cell)) for rows in (left, right))
-    levels = sorted({r["_own"] for rows in (left, right) for r in rows.select("_own").distinct().collect()})  # some dozens at most
+    levels = sorted(r["_own"] for r in left.select("_own").union(right.select("_own")).distinct().collect())  # some dozens at most
     if not levels:
         levels = [0]
     a = _spread(left, levels, cell).select("left_id", F.col("_box").alias("_a"), F.col("_own").alias("_la"), "_level", "_size", "_cx", "_cy")
