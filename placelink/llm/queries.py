@@ -73,6 +73,12 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placelink.llm import hard_negatives
+
+    return hard_negatives.report(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality": op2_quality,
@@ -84,6 +90,7 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_bit_packing": op9_bit_packing,
     "op10_nn_descent": op10_nn_descent,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 _OP3 = """
@@ -202,4 +209,25 @@ SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, c.com
 FROM v JOIN c ON c.a = v.vec_id
 """
 
-ORACLES: dict[str, str] = {"op3_warc": _OP3, "op4_jaccard_join": _OP4, "op6_vector_dedup": _OP6, "op7_line_dedup": _OP7, "op8_source_mix": _OP8}
+_OP12 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, CAST(list_inner_product(a.e, v.e) AS BIGINT) AS score
+  FROM v a JOIN v ON a.vec_id <> v.vec_id AND len(a.e) = len(v.e)
+  WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same QUALIFY place <= 5
+), n AS (
+  SELECT anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score, place,
+         row_number() OVER (PARTITION BY anchor_id, place ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s USING (anchor_id)
+  WHERE NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score QUALIFY rank <= 3
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score, CAST(place AS INTEGER) AS positive_rank FROM n
+"""
+
+ORACLES: dict[str, str] = {"op3_warc": _OP3, "op4_jaccard_join": _OP4, "op6_vector_dedup": _OP6, "op7_line_dedup": _OP7, "op8_source_mix": _OP8, "op12_hard_negatives": _OP12}
