@@ -73,6 +73,14 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    from placelink.llm import best_fit
+
+    return best_fit.pack(_read(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from placelink.llm import hard_negatives
 
@@ -90,6 +98,7 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_bit_packing": op9_bit_packing,
     "op10_nn_descent": op10_nn_descent,
+    "op11_best_fit": op11_best_fit,
     "op12_hard_negatives": op12_hard_negatives,
 }
 
