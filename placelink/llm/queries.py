@@ -87,6 +87,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.report(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placelink.llm import phrases
+
+    return phrases.mine(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality": op2_quality,
@@ -100,6 +106,7 @@ QUERIES = {
     "op10_nn_descent": op10_nn_descent,
     "op11_best_fit": op11_best_fit,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_phrases": op13_phrases,
 }
 
 _OP3 = """
@@ -239,4 +246,37 @@ WITH v AS (
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score, CAST(place AS INTEGER) AS positive_rank FROM n
 """
 
-ORACLES: dict[str, str] = {"op3_warc": _OP3, "op4_jaccard_join": _OP4, "op6_vector_dedup": _OP6, "op7_line_dedup": _OP7, "op8_source_mix": _OP8, "op12_hard_negatives": _OP12}
+_OP13 = """
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS t
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(t, '[^\\x20\\x09]+') AS w FROM piece
+), g AS (
+  SELECT lang, k, list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')) AS phrases
+  FROM w, (VALUES (1), (2), (3)) AS sizes(k) WHERE len(w) >= k
+), f AS MATERIALIZED (
+  SELECT lang, k, p, CAST(count(*) AS HUGEINT) AS c, string_split(p, ' ') AS w FROM (SELECT lang, k, unnest(phrases) AS p FROM g) GROUP BY lang, k, p
+), n AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), cut AS (
+  SELECT x.lang, x.k, x.p, x.w, x.c AS a, j, l.c AS l, r.c AS r, 1000000 * x.c * x.c // (l.c * r.c) AS score
+  FROM (SELECT f.*, unnest([1, 2]) AS j FROM f WHERE k >= 2 AND c >= 10) x
+  JOIN f l ON l.lang = x.lang AND l.k = j AND l.p = array_to_string(x.w[1:j], ' ')
+  JOIN f r ON r.lang = x.lang AND r.k = x.k - j AND r.p = array_to_string(x.w[j + 1:], ' ')
+  WHERE j < x.k
+), best AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1
+), covered AS (
+  SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS p, a FROM best WHERE k = 3
+), cover AS (SELECT lang, p, max(a) AS a FROM covered GROUP BY lang, p
+), ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.p) AS rank
+  FROM best b LEFT JOIN cover c ON c.lang = b.lang AND c.p = b.p
+  WHERE NOT coalesce(100 * c.a >= 50 * b.a, false) QUALIFY rank <= 2000
+)
+SELECT lang, rank, p AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang)
+"""
+
+ORACLES: dict[str, str] = {"op3_warc": _OP3, "op4_jaccard_join": _OP4, "op6_vector_dedup": _OP6, "op7_line_dedup": _OP7, "op8_source_mix": _OP8, "op12_hard_negatives": _OP12, "op13_phrases": _OP13}
