@@ -280,7 +280,7 @@ def tallies(rows: DataFrame, common: DataFrame, slots: str, deep: int, first: in
     Words ``common(h, f)`` come counted, and their counts go to their slots.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    step, behind = 1 << BLOCK_BITS, parts
+    step = 1 << BLOCK_BITS
 
     def cut(total: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(total), step):
@@ -312,7 +312,7 @@ def tallies(rows: DataFrame, common: DataFrame, slots: str, deep: int, first: in
         for batch in batches:
             at = held.find((batch.column(0).to_numpy().view(np.uint64),))
             total[at[at >= 0]] = batch.column(1).to_numpy()[at >= 0]
-        yield from cut(total, behind + TaskContext.get().partitionId())
+        yield from cut(total, TaskContext.get().partitionId())
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, part, total in _sums(batches):
@@ -323,7 +323,8 @@ def tallies(rows: DataFrame, common: DataFrame, slots: str, deep: int, first: in
     parts *= 2
     while True:
         parts = -(-parts // BRANCH)
-        left = left.withColumn("part", F.floor(F.col("part") / BRANCH).cast("long")).repartition(n, "block", "part").sortWithinPartitions("block", "part").mapInArrow(summed, shape)
+        part = F.lit(0).cast("long") if parts == 1 else F.floor(F.col("part") / BRANCH).cast("long")
+        left = left.withColumn("part", part).repartition(n, "block", "part").sortWithinPartitions("block", "part").mapInArrow(summed, shape)
         if parts == 1:
             return left.select("block", "n")
 
