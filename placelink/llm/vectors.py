@@ -89,10 +89,10 @@ def planes(turn: int, dim: int) -> np.ndarray:
     return np.random.default_rng((turn, dim)).standard_normal((dim, HASHES * BITS))
 
 
-def sorted_passes(rows: DataFrame, passes: int, carry: str = "v") -> DataFrame:
+def sorted_passes(rows: DataFrame, passes: int, carry: str = "v", first: int = 0) -> DataFrame:
     """``rows(grp, id, v)`` once a pass, range-partitioned and sorted by hash.
 
-    Returns ``(turn, grp, dim, id, carry)``.  In each pass vectors stand in
+    Returns ``(turn, grp, dim, id, carry)``; turns count from ``first``.  In each pass vectors stand in
     lexicographic order of their concatenated random hashes within their group
     and dimension; ties stand by id, so equal hashes are no hot task.
     """
@@ -106,7 +106,7 @@ def sorted_passes(rows: DataFrame, passes: int, carry: str = "v") -> DataFrame:
             for dim in np.unique(dims).tolist():
                 part = batch.take(pa.array(np.flatnonzero(dims == dim)))
                 x = matrix(part.column(2))
-                for turn in range(passes):
+                for turn in range(first, first + passes):
                     key = ((x @ planes(turn, dim)) > 0) @ weights
                     m = part.num_rows
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(m, turn, np.int32)), part.column(0), pa.array(np.full(m, dim, np.int32)), pa.array(key), part.column(1), part.column(3)], ["turn", "grp", "dim", "key", "id", carry])

@@ -207,3 +207,50 @@ def test_pairs_across_partitions_are_found(spark):
             assert {(k, k + 1) for k in range(0, 300, 2)} <= got
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def sharing_a_direction(count, background, least, seed):
+    """Vectors of 64 dimensions with a background cosine, each second one a partner of the one before just above ``least``."""
+    rng = np.random.default_rng(seed)
+    noise = rng.standard_normal((count, 64))
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    common = np.zeros(64)
+    common[0] = 1
+    x = np.sqrt(background) * common + np.sqrt(1 - background) * noise
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    turn = rng.standard_normal((count // 2, 64))
+    base = x[::2]
+    turn -= (turn * base).sum(axis=1)[:, None] * base
+    turn /= np.linalg.norm(turn, axis=1)[:, None]
+    cos = least + 0.0005
+    x[1::2] = cos * base + np.sqrt(1 - cos * cos) * turn
+    return x
+
+
+def found_links(spark, x, **more):
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(df, **more).collect()}
+    links = np.zeros(len(x), int)
+    for at in range(0, len(x), 2_000):
+        near = x[at : at + 2_000] @ x.T >= 0.98
+        links[at : at + 2_000] = near.sum(axis=1) - 1
+    assert all(got[k] <= links[k] for k in range(len(x)))
+    return sum(got.values()), int(links.sum())
+
+
+def test_links_of_vectors_that_share_a_direction(spark):
+    found, links = found_links(spark, sharing_a_direction(12_000, 0.94, 0.98, 5))
+    assert links >= 12_000 and found >= 0.95 * links
+
+
+def test_all_pairs_are_the_last_resort(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "MOST_PASSES", 2)
+    monkeypatch.setattr(vector_dedup, "CELL", 200)
+    found, links = found_links(spark, sharing_a_direction(1_500, 0.94, 0.98, 6), turns=1, window=2)
+    assert found == links >= 1_500
+
+
+def test_recall_tells_what_components_miss(spark):
+    rows = spark.createDataFrame([("g", 1, [1.0, 0.0]), ("g", 2, [1.0, 0.01]), ("g", 3, [1.0, 0.02]), ("h", 4, [1.0, 0.0]), ("g", 5, [0.0, 1.0])], "grp string, id long, v array<double>")
+    merged = spark.createDataFrame([(1, 1), (2, 1)], "id long, component long")
+    assert vector_dedup.recall(rows, merged, 0.98, 10) == (6, 2)
