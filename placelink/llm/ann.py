@@ -9,12 +9,15 @@ round before, and whoever finds a nearer neighbour takes it.  A query walks the
 graph: it scores the neighbours of the best nodes it has seen until its best
 nodes are all expanded.  How many best nodes that are is measured: for a few
 queries all vectors are compared, and the walks of all queries go on with
-twice as many until those few find what they should.
+twice as many until those few find what they should.  Where that would take as
+many as there are vectors, all queries are compared with all vectors, by blocks.
 
 Nodes are numbered in a hash order, so near nodes have near numbers.  Descent
 and walk work cell by cell of these numbers: a cell gets each vector that it
-needs once, however many of its nodes need it, as one byte a component.  The
-best nodes of a walk are scored again exactly.
+needs once, however many of its nodes need it, as one byte a component beside
+its length.  A node ranks others by their length and direction alone, so very
+long vectors do not blot out what is between the others.  The best nodes of a
+walk are scored again exactly.
 """
 
 from __future__ import annotations
@@ -31,44 +34,56 @@ from placelink.llm.common import drop, prepare, table
 from placelink.llm.vectors import hashed, matrix, pieces, runs, sorted_passes, usable
 
 #: Neighbours of a node, least orders, block size and neighbours taken of each order.
-DEGREE, ORDERS, BLOCK, FIRST = 64, 12, 2_048, 16
+DEGREE, ORDERS, BLOCK, FIRST = 64, 12, 256, 16
 #: Descent ends when a round replaces a smaller share of all neighbours; the rounds only bound it for safety.
 DELTA, ROUNDS = 0.01, 30
 #: Reverse neighbours that are compared together (a node with more has several such groups a
 #: round), and the nearest of a group that a node may take a round.
 GROUP, TAKEN = 128, 16
-#: Least number of cells, and most nodes of a cell of descent and queries of a cell of the walk.
-CELLS, CELL, ASKED = 8, 1 << 14, 256
+#: Least number of cells, most nodes of a cell of descent and of one where found edges are merged, queries of a cell of the walk.
+CELLS, CELL, MERGED, ASKED = 8, 1 << 12, 1 << 10, 256
+#: Edges that a cell of descent holds before it hands them on.
+EDGES = 500_000
 #: Best nodes that a query expands at first, best nodes scored exactly for each answer.  Walks end when
 #: nothing is left to expand; the steps only bound them for safety.
 BEAM, RESCORED, STEPS = 32, 2, 1_000
-#: Queries by which the beam is measured, and the share of their answers that must be found.
-CHECKED, TARGET = 64, 0.95
-#: Vectors of a rarer dimension up to which all pairs are compared instead of a graph.
-FEW = 2_048
+#: Queries by which the beam is measured, the share of their answers that must be found, and bytes of queries that are
+#: compared with all vectors at a time where no beam finds it.
+CHECKED, TARGET, SCANNED = 64, 0.95, 8 << 20
+#: Vectors of a rarer dimension up to which all pairs are compared instead of a graph: what is one block of a graph.
+FEW = 256
 #: Longest vectors, from which every query starts besides its own place.
 ENTRIES = 16
 #: Rows up to which a table of ids is broadcast: some 2 MB.
 BROADCAST_ROWS = 100_000
 
-_NEAR = "a long, ids array<long>, s array<float>, new array<boolean>"
+_NEAR = "a long, ids array<long>, s array<double>, new array<boolean>"
 
 
-def _codes(x: np.ndarray) -> list[bytes]:
-    """Each row as a scale and one byte a component."""
-    scale = np.maximum(np.abs(x).max(axis=1, keepdims=True) / 127, 1e-30).astype("<f4")
-    return [s.tobytes() + c.tobytes() for s, c in zip(scale, np.rint(x / scale).astype(np.int8), strict=True)]
+def _codes(x: np.ndarray, largest: float = 1.0) -> list[bytes]:
+    """Each row as a double, its scale as a share of ``largest``, and one byte a component."""
+    scale = np.abs(x).max(axis=1, keepdims=True)
+    code = np.rint(x / scale * 127).astype(np.int8)
+    return [s.tobytes() + c.tobytes() for s, c in zip((scale / largest).astype("<f8"), code, strict=True)]
 
 
-def _decoded(column: pa.Array) -> np.ndarray:
+def _decoded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Components as single floats, and the scales that they lack."""
     rows = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-    return np.ascontiguousarray(rows[:, :4]).view("<f4") * np.ascontiguousarray(rows[:, 4:]).view(np.int8).astype(np.float32)
+    return np.ascontiguousarray(rows[:, 8:]).view(np.int8).astype(np.float32), np.ascontiguousarray(rows[:, :8]).view("<f8")[:, 0]
+
+
+def _ranked(x: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Scores by which each row of ``x`` ranks the others: inner products, but for a factor of its own."""
+    s = (x @ x.T) * scale[None, :]
+    np.fill_diagonal(s, -np.inf)
+    return s
 
 
 def _lists(a: np.ndarray, n: np.ndarray, *flat: np.ndarray) -> pa.RecordBatch:
     """A batch of ``a`` and, for each, its ``n`` next entries of the flat columns: ids, scores and whether they are new."""
     ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-    kinds = (pa.int64(), pa.float32(), pa.bool_())
+    kinds = (pa.int64(), pa.float64(), pa.bool_())
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), *(pa.ListArray.from_arrays(ends, pa.array(c, k)) for c, k in zip(flat, kinds, strict=True))], ["a", "ids", "s", "new"])
 
 
@@ -92,13 +107,12 @@ def cell_size(count: int, asked: int, most: int) -> int:
 def coded(points: DataFrame, largest: float) -> DataFrame:
     """``(id, rep, v, code)`` of ``points(id, v)``: nodes numbered in a hash order, with vectors in bytes.
 
-    ``largest`` is the largest component of all vectors; codes are of the
-    vectors divided by it.
+    ``largest`` is the largest component of all vectors; scales are divided by it.
     """
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_codes(matrix(batch.column(1)) / largest), pa.binary())], ["rep", "v", "code"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_codes(matrix(batch.column(1)), largest), pa.binary())], ["rep", "v", "code"])
 
     kind = dict(points.dtypes)["v"]
     placed = sorted_passes(points.select(F.lit("").alias("grp"), "id", "v"), 1).select("id", "v")
@@ -122,14 +136,14 @@ def _packed(a: np.ndarray, b: np.ndarray, s: np.ndarray, size: int) -> pa.Record
     a, b, s, cell = a[order], b[order], s[order], cell[order]
     cells, starts = np.unique(cell, return_index=True)
     cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(a)], strict=True))
-    columns = [pa.array([c[i:j].astype(k).tobytes() for i, j in cuts], pa.binary()) for c, k in ((a, "<i8"), (b, "<i8"), (s, "<f4"))]
+    columns = [pa.array([c[i:j].astype(k).tobytes() for i, j in cuts], pa.binary()) for c, k in ((a, "<i8"), (b, "<i8"), (s, "<f8"))]
     return pa.RecordBatch.from_arrays([pa.array(cells), *columns], ["cell", "a", "b", "s"])
 
 
 def _merged(found: DataFrame, near: DataFrame | None, degree: int, size: int) -> DataFrame:
     """The ``degree`` nearest of each node, in order, of its list in ``near`` and of packed ``found`` edges; those not in ``near`` are new."""
     none = lambda kind: F.lit(None).cast(kind)
-    rows = found.select("cell", "a", "b", "s", none("long").alias("node"), none("array<long>").alias("ids"), none("array<float>").alias("held"))
+    rows = found.select("cell", "a", "b", "s", none("long").alias("node"), none("array<long>").alias("ids"), none("array<double>").alias("held"))
     if near is not None:
         rows = rows.union(near.select(F.floor(F.col("a") / size), none("binary"), none("binary"), none("binary"), "a", "ids", "s"))
 
@@ -138,7 +152,7 @@ def _merged(found: DataFrame, near: DataFrame | None, degree: int, size: int) ->
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in runs(batches, 1):
-            a, b, s = unpacked(own, "a", "<i8"), unpacked(own, "b", "<i8"), unpacked(own, "s", "<f4")
+            a, b, s = unpacked(own, "a", "<i8"), unpacked(own, "b", "<i8"), unpacked(own, "s", "<f8")
             old = own.filter(own.column("node").is_valid())
             if old.num_rows:
                 ids, held = old.column("ids").combine_chunks(), old.column("held").combine_chunks()
@@ -166,7 +180,8 @@ def _joined(members: pa.Table, codes: pa.Table, size: int) -> Iterator[pa.Record
     """What the groups of a cell's hubs find: ``members(hub, id, new)``, ``codes(id, code, floor)``."""
     known = codes.column("id").to_numpy()
     order = np.argsort(known)
-    known, x = known[order], _decoded(codes.column("code").combine_chunks())[order]
+    x, scale = _decoded(codes.column("code").combine_chunks())
+    known, x, scale = known[order], x[order], scale[order]
     floor = codes.column("floor").to_numpy()[order]
     hub, ids, new = (members.column(c).to_numpy() for c in ("hub", "id", "new"))
     order = np.lexsort((~new, ids, hub))
@@ -188,8 +203,7 @@ def _joined(members: pa.Table, codes: pa.Table, size: int) -> Iterator[pa.Record
         own, fresh = at[i:j], new[i:j]
         if len(own) < 2 or not fresh.any():
             continue
-        s = x[own] @ x[own].T
-        np.fill_diagonal(s, -np.inf)
+        s = _ranked(x[own], scale[own])
         if not fresh.all():
             old = np.flatnonzero(~fresh)
             s[np.ix_(old, old)] = -np.inf
@@ -199,7 +213,7 @@ def _joined(members: pa.Table, codes: pa.Table, size: int) -> Iterator[pa.Record
             row, col = np.nonzero(better)
             found.append((own[row], own[top[row, col]], s[row, col]))
             held += len(row)
-            if held >= 2_000_000:
+            if held >= EDGES:
                 yield told()
                 found.clear()
                 held = 0
@@ -220,18 +234,16 @@ def graph(codes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, orders:
     else:
         placed = sorted_passes(codes.select(F.lit("").alias("grp"), "id", "v", "code"), orders, "code").select("turn", "id", "code")
     most = degree if count <= BLOCK else FIRST
-    size = cell_size(count, count, CELL)
+    size, merged = cell_size(count, count, CELL), cell_size(count, count, MERGED)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in pieces(batches, 1, BLOCK):
             if own.num_rows > 1:
-                ids, x = own.column("id").to_numpy(), _decoded(own.column("code").combine_chunks())
-                s = x @ x.T
-                np.fill_diagonal(s, -np.inf)
-                top, s = _top(s, min(most, len(ids) - 1))
-                yield _packed(np.repeat(ids, top.shape[1]), ids[top].ravel(), s.ravel(), size)
+                ids = own.column("id").to_numpy()
+                top, s = _top(_ranked(*_decoded(own.column("code").combine_chunks())), min(most, len(ids) - 1))
+                yield _packed(np.repeat(ids, top.shape[1]), ids[top].ravel(), s.ravel(), merged)
 
-    near = table(_merged(placed.mapInArrow(blocks, _PACKED), None, degree, size), "near")
+    near = table(_merged(placed.mapInArrow(blocks, _PACKED), None, degree, merged), "near")
     if count <= BLOCK:
         return near
 
@@ -240,7 +252,7 @@ def graph(codes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, orders:
             coded_rows = own.column("code").is_valid()
             members = own.filter(pc.invert(coded_rows))
             if members.num_rows:
-                yield from _joined(members, own.filter(coded_rows), size)
+                yield from _joined(members, own.filter(coded_rows), merged)
 
     for turn in range(rounds):
         edges = near.select("a", F.explode(F.arrays_zip("ids", "new")).alias("e")).select("a", F.col("e.ids").alias("b"), F.col("e.new").alias("new"))
@@ -252,13 +264,13 @@ def graph(codes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, orders:
         forth = forth.select("hub", F.explode(F.sequence(F.lit(0), F.coalesce("groups", F.lit(1)) - 1)).alias("part"), "id", "new")
         members = back.union(forth).withColumn("cell", F.floor(F.col("hub") / size))
         full = near.select(F.col("a").alias("id"), F.when(F.size("ids") >= degree, F.element_at("s", -1)).alias("floor"))
-        held = codes.select("id", "code").join(full, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")).cast("float")))
+        held = codes.select("id", "code").join(full, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
         wanted = members.select("cell", "part", "id").distinct().join(held, "id")
         none = lambda kind: F.lit(None).cast(kind)
-        rows = members.select("cell", "part", "hub", "id", "new", none("binary").alias("code"), none("float").alias("floor"))
+        rows = members.select("cell", "part", "hub", "id", "new", none("binary").alias("code"), none("double").alias("floor"))
         rows = rows.union(wanted.select("cell", "part", none("long"), "id", none("boolean"), "code", "floor"))
         found = rows.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(local, _PACKED)
-        last, near = near, table(_merged(found, near, degree, size), "near")
+        last, near = near, table(_merged(found, near, degree, merged), "near")
         drop(last)
         drop(busy)
         share = near.agg(F.sum(F.size(F.filter("new", lambda x: x))) / F.sum(F.size("ids"))).first()[0]
@@ -285,7 +297,8 @@ def walk_step(rows: pa.Table, beam: int) -> Iterator[pa.RecordBatch]:
     code = rows.filter(rows.column("code").is_valid())
     known = code.column("id").to_numpy()
     order = np.argsort(known)
-    known, x = known[order], _decoded(code.column("code").combine_chunks())[order] if len(known) else None
+    x, scale = _decoded(code.column("code").combine_chunks()) if len(known) else (None, None)
+    known, x, scale = known[order], x[order] if len(known) else x, scale[order] if len(known) else scale
     hops = rows.filter(rows.column("near").is_valid())
     lists = hops.column("near").combine_chunks()
     ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
@@ -293,17 +306,18 @@ def walk_step(rows: pa.Table, beam: int) -> Iterator[pa.RecordBatch]:
     empty = np.zeros(0, np.int64)
     out = []
     for state in rows.filter(rows.column("q").is_valid()).select([n for n in rows.column_names if n not in ("id", "code", "near")]).to_pylist():
-        ids, s, done = _ids(state["ids"]), np.frombuffer(state["s"], "<f4"), np.frombuffer(state["done"], np.uint8)
+        ids, s, done = _ids(state["ids"]), np.frombuffer(state["s"], "<f8"), np.frombuffer(state["done"], np.uint8)
         done = np.where(np.isin(ids, state["front"]), 1, done).astype(np.uint8)
         reached = np.unique(np.concatenate([np.array(state["fresh"], np.int64), *(near.get(a, empty) for a in state["front"])]))
         reached = np.setdiff1d(reached, ids, assume_unique=True)
         if len(reached):
             own = np.frombuffer(state["v"], "<f4")
-            ids, s = np.concatenate([ids, reached]), np.concatenate([s, x[np.searchsorted(known, reached)] @ own])
+            at = np.searchsorted(known, reached)
+            ids, s = np.concatenate([ids, reached]), np.concatenate([s, (x[at] @ own) * scale[at]])
             # a node of the front that was scored only now has been expanded too
             done = np.concatenate([done, np.isin(reached, state["front"]).astype(np.uint8)])
         front = ids[_front(s, ids, done, beam)].tolist()
-        out.append(state | {"front": front, "fresh": [], "ids": ids.astype("<i8").tobytes(), "s": s.astype("<f4").tobytes(), "done": done.tobytes()})
+        out.append(state | {"front": front, "fresh": [], "ids": ids.astype("<i8").tobytes(), "s": s.astype("<f8").tobytes(), "done": done.tobytes()})
     for at in range(0, len(out), 64):
         yield pa.RecordBatch.from_pylist(out[at : at + 64], _STATE_SCHEMA)
 
@@ -315,8 +329,8 @@ def search(near: DataFrame, codes: DataFrame, state: DataFrame, beam: int, steps
     """``state`` when no walk has a node left to expand among its ``beam`` best.
 
     ``near(a, ids)`` is the graph over ``codes(id, code)``.  ``state`` has a row
-    a query: its cell, the vector divided as those of the codes, nodes to expand
-    and to score, and the nodes it has scored, as packed arrays.
+    a query: its cell, the vector divided by its largest component, nodes to
+    expand and to score, and the nodes it has scored, as packed arrays.
     """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +362,7 @@ def widened(state: DataFrame, beam: int) -> DataFrame:
         for batch in batches:
             rows = batch.to_pylist()
             for row in rows:
-                ids, s, done = _ids(row["ids"]), np.frombuffer(row["s"], "<f4"), np.frombuffer(row["done"], np.uint8)
+                ids, s, done = _ids(row["ids"]), np.frombuffer(row["s"], "<f8"), np.frombuffer(row["done"], np.uint8)
                 row["front"] = ids[_front(s, ids, done, beam)].tolist()
             yield pa.RecordBatch.from_pylist(rows, _STATE_SCHEMA)
 
@@ -362,7 +376,7 @@ def best_seen(state: DataFrame, most: int) -> DataFrame:
         for batch in batches:
             q, found = [], []
             for ident, ids, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ids, s = _ids(ids), np.frombuffer(s, "<f4")
+                ids, s = _ids(ids), np.frombuffer(s, "<f8")
                 top = ids[np.lexsort((ids, -s))[:most]]
                 q.append(np.full(len(top), ident))
                 found.append(top)
@@ -384,21 +398,46 @@ def exactly(pairs: DataFrame, points: DataFrame, queries: DataFrame) -> DataFram
     return rows.select("q", "id", "x", "v").mapInArrow(score, "q long, id long, score double")
 
 
-def floors(points: DataFrame, asked: list, k: int) -> dict[int, tuple[float, int]]:
-    """For each of a few queries ``(q, v)`` its ``k``-th largest inner product with ``points(v)``, and how many there are up to ``k``."""
-    q, own = [r["q"] for r in asked], np.array([r["v"] for r in asked], np.float64)
+def scanned(points: DataFrame, asked: list, k: int) -> DataFrame:
+    """``(q, id, score)``: for each of a few queries ``(q, v)`` its ``k`` largest inner products with other ``points(id, v)``."""
+    q, own = np.array([r["q"] for r in asked], np.int64), np.array([r["v"] for r in asked], np.float64)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = np.full((len(q), 0), -np.inf)
+        best, ids = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64)
         for batch in batches:
-            s = np.concatenate([best, own @ matrix(batch.column(0)).T], axis=1)
-            best = _top(s, k)[1]
-        for at, row in zip(q, best, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), at)), pa.array(row)], ["q", "s"])
+            new = batch.column(0).to_numpy()
+            s = own @ matrix(batch.column(1)).T
+            s[q[:, None] == new] = -np.inf
+            both = np.concatenate([ids, np.broadcast_to(new, s.shape)], axis=1)
+            top, best = _top(np.concatenate([best, s], axis=1), k)
+            ids = np.take_along_axis(both, top, axis=1)
+        for at, row, s in zip(q, ids, best, strict=True):
+            held = s > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(held.sum(), at)), pa.array(row[held]), pa.array(s[held])], ["q", "id", "score"])
 
-    nearest_first = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))
-    top = points.select("v").mapInArrow(scan, "q long, s double").withColumn("rank", nearest_first).where(F.col("rank") <= k)
-    return {r["q"]: (r["least"], r["n"]) for r in top.groupBy("q").agg(F.min("s").alias("least"), F.count("*").alias("n")).collect()}
+    nearest_first = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    found = points.select("id", "v").mapInArrow(scan, "q long, id long, score double")
+    return found.withColumn("rank", nearest_first).where(F.col("rank") <= k).drop("rank")
+
+
+def floors(points: DataFrame, asked: list, k: int) -> dict[int, tuple[float, int]]:
+    """For each of a few queries ``(q, v)`` its ``k``-th largest inner product with other ``points(id, v)``, and how many there are up to ``k``."""
+    return {r["q"]: (r["least"], r["n"]) for r in scanned(points, asked, k).groupBy("q").agg(F.min("score").alias("least"), F.count("*").alias("n")).collect()}
+
+
+def in_blocks(points: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``(q, id)``: the ``k`` nearest other points of all queries ``asked(q, v)``, by blocks of ``SCANNED`` bytes of them."""
+    size = max(1, SCANNED // (8 * len(asked.first()["v"])))
+    out, block = None, []
+    for row in asked.orderBy("q").toLocalIterator():
+        block.append(row)
+        if len(block) == size:
+            found = table(scanned(points, block, k).select("q", "id"), "scanned")
+            out, block = found if out is None else out.union(found), []
+    if block:
+        found = table(scanned(points, block, k).select("q", "id"), "scanned")
+        out = found if out is None else out.union(found)
+    return out
 
 
 def walk(rows: DataFrame, largest: float, k: int, every: int) -> DataFrame:
@@ -420,28 +459,32 @@ def walk(rows: DataFrame, largest: float, k: int, every: int) -> DataFrame:
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = (matrix(batch.column(2)) / largest).astype("<f4")
+            v = matrix(batch.column(2))
+            v = (v / np.abs(v).max(axis=1, keepdims=True)).astype("<f4")
             rows_ = [{"cell": c, "q": q, "v": x.tobytes(), "front": [q], "fresh": sorted({q, *entries}), "ids": b"", "s": b"", "done": b""} for c, q, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), v, strict=True)]
             yield pa.RecordBatch.from_pylist(rows_, _STATE_SCHEMA)
 
     state = table(asked.select(F.floor(F.col("q") / size).alias("cell"), "q", "v").mapInArrow(begin, _STATE), "walk")
     sample = asked.orderBy(F.xxhash64("q"), "q").limit(CHECKED).collect()
-    least, beam = floors(codes, sample, k + 1) if sample else {}, BEAM
+    least, beam, whole = floors(codes, sample, k) if sample else {}, BEAM, None
     while True:
         state = table(search(near, codes, state, beam), "walks")
         most = RESCORED * (k + 1) * beam // BEAM
         own = best_seen(state.where(F.col("q").isin(list(least))), most)
         hits: dict[int, int] = dict.fromkeys(least, 0)
-        for r in exactly(own, codes, asked).collect():
+        for r in exactly(own.where("q <> id"), codes, asked).collect():
             low, _ = least[r["q"]]
             hits[r["q"]] += r["score"] >= low - 1e-9 * abs(low)
         wanted = sum(c for _, c in least.values())
-        if sum(min(hits[q], c) for q, (_, c) in least.items()) >= TARGET * wanted or beam >= count:
+        if sum(min(hits[q], c) for q, (_, c) in least.items()) >= TARGET * wanted:
+            break
+        if 8 * beam >= count:  # a wider beam would see most of what there is
+            whole = in_blocks(codes, asked, k + 1).union(asked.select("q", F.col("q").alias("id")))
             break
         beam *= 2
         state = widened(state, beam)
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
-    kept = exactly(best_seen(state, most), codes, asked).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
+    kept = exactly(best_seen(state, most) if whole is None else whole, codes, asked).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
     few = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
     few = few.join(nodes.select(F.col("id").alias("node"), "h1", "h2"), ["h1", "h2"]).select("node", "id")
     asks = ids.where(F.col("id") % every == 0).join(nodes.select(F.col("id").alias("at"), "h1", "h2"), ["h1", "h2"]).select("at", F.col("id").alias("asker"))

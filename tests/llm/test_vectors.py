@@ -254,3 +254,24 @@ def test_recall_tells_what_components_miss(spark):
     rows = spark.createDataFrame([("g", 1, [1.0, 0.0]), ("g", 2, [1.0, 0.01]), ("g", 3, [1.0, 0.02]), ("h", 4, [1.0, 0.0]), ("g", 5, [0.0, 1.0])], "grp string, id long, v array<double>")
     merged = spark.createDataFrame([(1, 1), (2, 1)], "id long, component long")
     assert vector_dedup.recall(rows, merged, 0.98, 10) == (6, 2)
+
+
+def test_one_outlier_does_not_blot_out_the_others(spark):
+    x = np.random.default_rng(12).standard_normal((3_000, 16))
+    x[7] *= 1e33
+    assert recall(spark, [(k, v.tolist()) for k, v in enumerate(x)]) >= 0.95
+
+
+def test_queries_are_scanned_where_no_beam_is_wide_enough(spark, monkeypatch):
+    monkeypatch.setattr(ann, "TARGET", 1.1)
+    monkeypatch.setattr(ann, "SCANNED", 8 * 8 * 10)
+    x = np.random.default_rng(13).standard_normal((600, 8))
+    x[100:130] = x[100]
+    assert recall(spark, [(k, v.tolist()) for k, v in enumerate(x)]) == 1.0
+
+
+def test_the_check_leaves_out_the_query_itself(spark):
+    points = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(1, 6)], "id long, v array<double>")
+    asked = points.selectExpr("id as q", "v").where("q in (2, 5)").collect()
+    assert ann.floors(points, asked, 2) == {2: (9.0, 2), 5: (16.0, 2)}
+    assert ann.floors(points, asked, 9) == {2: (3.0, 4), 5: (6.0, 4)}
