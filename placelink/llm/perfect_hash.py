@@ -97,25 +97,36 @@ def sharded(keys: DataFrame, bits: int) -> DataFrame:
     return each.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(made, SCHEMA)
 
 
+def joined(rows: pa.Table, column: str, kind: str) -> np.ndarray:
+    """The numbers of a binary column of a table in one chunk, one row after another, as they lie in memory."""
+    held = rows.column(column)
+    if not len(held):
+        return np.zeros(0, kind)
+    held = held.chunk(0)
+    ends = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1]
+    return np.frombuffer(held.buffers()[2][int(ends[0]) : int(ends[-1])], kind)
+
+
 class Slots:
     """Shards ``first`` to ``last`` (exclusive) in memory; slots count from the first of them."""
 
-    def __init__(self, rows: list[dict], bits: int, first: int, last: int):
-        rows = sorted(rows, key=lambda r: r["shard"])
+    def __init__(self, rows: pa.Table, bits: int, first: int, last: int):
+        rows = rows.sort_by("shard").combine_chunks()
         self.bits, self.first, self.last = bits, first, last
-        deep = max((len(r["sizes"]) for r in rows), default=0)
+        told = list(zip(*(rows.column(c).to_pylist() for c in ("shard", "n", "sizes")), strict=True))
+        deep = max((len(sizes) for _, _, sizes in told), default=0)
         self.sizes, self.at = np.zeros((last - first, deep), np.int64), np.zeros((last - first, deep), np.int64)
         self.starts = np.zeros(last - first + 1, np.int64)
         end = 0
-        for r in rows:
-            self.starts[r["shard"] - first + 1] = r["n"]
-            for level, m in enumerate(r["sizes"]):
-                self.sizes[r["shard"] - first, level], self.at[r["shard"] - first, level] = m, end
+        for shard, n, sizes in told:
+            self.starts[shard - first + 1] = n
+            for level, m in enumerate(sizes):
+                self.sizes[shard - first, level], self.at[shard - first, level] = m, end
                 end += m
         self.starts = np.cumsum(self.starts)
-        self.words = np.concatenate([np.frombuffer(r["bits"], "<u8") for r in rows]) if rows else np.zeros(0, "<u8")
+        self.words = joined(rows, "bits", "<u8")
         self.rank = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words).astype(np.int64))])
-        self.keys = tuple(np.concatenate([np.frombuffer(r[k], "<u8") for r in rows]) if rows else np.zeros(0, "<u8") for k in ("k1", "k2", "k3"))
+        self.keys = tuple(joined(rows, k, "<u8") for k in ("k1", "k2", "k3"))
         self.n = len(self.keys[0])
 
     def find(self, keys: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -143,13 +154,13 @@ class Slots:
         return out
 
 
-def read_rows(path: str, column: str, first: int, last: int) -> list[dict]:
+def read_rows(path: str, column: str, first: int, last: int) -> pa.Table:
     """Rows of a table in the shared folder with ``first <= column < last``."""
     import pyarrow.dataset as ds
 
     store, at = open_store(path)
     held = ds.dataset(at, filesystem=store, format="parquet")
-    return held.to_table(filter=(ds.field(column) >= first) & (ds.field(column) < last)).to_pylist()
+    return held.to_table(filter=(ds.field(column) >= first) & (ds.field(column) < last))
 
 
 @lru_cache(maxsize=1)

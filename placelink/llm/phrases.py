@@ -28,8 +28,11 @@ from placelink.llm import perfect_hash as H
 from placelink.llm.common import drop, prepare, table
 from placelink.llm.vectors import runs
 
-#: Bytes of texts that are split together, and words of a stream that a task counts.
-TOGETHER, WORDS_A_TASK = 8 << 20, 1 << 24
+#: Code points of texts that are split together when words are counted, and when a row of a stream is written (Parquet
+#: holds 100 rows before it looks at their size); words of a stream that a task counts, and keys it makes distinct at a time.
+TOGETHER, STREAM, WORDS_A_TASK, KEYS = 8 << 20, 1 << 18, 1 << 24, 1 << 20
+#: Places of buckets and slots that a task gathers before it counts them.
+GATHERED = 1 << 22
 #: Bits of a bit map's size at most (256 MB), and of a block of buckets and slots.
 MAP_BITS, BLOCK_BITS = 31, 16
 #: Candidates that are counted in one pass over the streams: some 40 bytes each in a worker.
@@ -55,26 +58,26 @@ def _split(texts: pa.Array, end: bool) -> tuple[list[str], np.ndarray]:
     return words, at[at > -2]
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, bool, bool]]:
+def _texts(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[tuple[str, pa.Array, bool, bool]]:
     """``(lang, texts, whole, first)``: texts of a language together, or a long one in slices cut at blanks."""
     held: dict[str, list] = {}
     size: dict[str, int] = {}
     for batch in batches:
         for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if len(text) > TOGETHER:
+            if len(text) > together:
                 at = 0
                 while at < len(text):
-                    cut = _BLANK.search(text, at + TOGETHER)
+                    cut = _BLANK.search(text, at + together)
                     end = cut.end() if cut else len(text)
                     yield lang, pa.array([text[at:end]], pa.string()), end == len(text), at == 0
                     at = end
                 continue
             held.setdefault(lang, []).append(text)
             size[lang] = size.get(lang, 0) + len(text)
-            if size[lang] > TOGETHER:
+            if size[lang] > together:
                 size.pop(lang)
                 yield lang, pa.array(held.pop(lang), pa.string()), True, True
-        if sum(size.values()) > 4 * TOGETHER:  # many languages
+        if sum(size.values()) > 4 * together:  # many languages
             yield from ((k, pa.array(v, pa.string()), True, True) for k, v in held.items())
             held, size = {}, {}
     yield from ((k, pa.array(v, pa.string()), True, True) for k, v in held.items())
@@ -93,7 +96,7 @@ def words(docs: DataFrame, seed: int) -> DataFrame:
     """``(lang, word, h, f)``: all distinct words, their hashes and counts."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, texts, whole, _ in _texts(batches):
+        for lang, texts, whole, _ in _texts(batches, TOGETHER):
             own, at = _split(texts, whole)
             n = np.bincount(at[at >= 0], minlength=len(own))
             some = np.flatnonzero(n)
@@ -120,7 +123,7 @@ def streams(docs: DataFrame, frequent: str, bits: int, seed: int) -> DataFrame:
 
 def _ids(batches: Iterator[pa.RecordBatch], known: _Bits, bits: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
     before = np.zeros(0, np.uint64)
-    for lang, texts, whole, first in _texts(batches):
+    for lang, texts, whole, first in _texts(batches, STREAM):
         own, at = _split(texts, whole)
         h = _hashes(lang, own, seed)
         h[~known[H.top(H.mix((h,), 0), bits)]] = 0
@@ -160,7 +163,7 @@ def bit_map(path: str, bits: int) -> np.ndarray:
     """A written bit map, as booleans that are looked up by place."""
     out = np.zeros(1 << max(0, bits - 3) if bits >= 3 else 1, np.uint8)
     width = max(1, (1 << min(bits, BLOCK_BITS)) >> 3)
-    for r in H.read_rows(path, "block", 0, 1 << 62):
+    for r in H.read_rows(path, "block", 0, 1 << 62).to_pylist():
         out[r["block"] * width : r["block"] * width + width] = np.frombuffer(r["map"], np.uint8)
     return _Bits(out)
 
@@ -234,7 +237,7 @@ def buckets(rows: DataFrame, bits: int, pairs: str | None) -> DataFrame:
             keys = _triple(ids, _hot_triples(ids, three, known, bits)) if pairs else _pair(ids, np.flatnonzero(two))
             held.append(H.top(H.mix(keys, 0), bits).astype(np.uint32))
             n += len(held[-1])
-            if n >= WORDS_A_TASK:
+            if n >= GATHERED:
                 yield from _blocks(*_counts(held), bits)
                 held, n = [], 0
         if n:
@@ -253,10 +256,16 @@ def candidates(rows: DataFrame, bits: int, pairs: str, triples: str) -> DataFram
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two_known, three_known = bit_map(pairs, bits), bit_map(triples, bits)
+        held, n = [], 0
         for ids, two, three in _rows(batches):
             near, far = _hot(ids, two, three, two_known, three_known, bits)
-            yield from _distinct((*near, np.zeros(len(near[0]), np.uint64)))
-            yield from _distinct(far)
+            held += [(*near, np.zeros(len(near[0]), np.uint64)), far]
+            n += len(near[0]) + len(far[0])
+            if n >= KEYS:
+                yield from _distinct(tuple(map(np.concatenate, zip(*held, strict=True))))
+                held, n = [], 0
+        if held:
+            yield from _distinct(tuple(map(np.concatenate, zip(*held, strict=True))))
 
     return rows.mapInArrow(found, "k1 long, k2 long, k3 long").distinct()
 
@@ -297,7 +306,7 @@ def tallies(rows: DataFrame, common: DataFrame, slots: str, deep: int, first: in
                 at = held.find(keys)
                 found.append(at[at >= 0])
                 n_found += len(found[-1])
-            if n_found >= 1 << 22:
+            if n_found >= GATHERED:
                 total += np.bincount(np.concatenate(found), minlength=held.n)
                 found, n_found = [], 0
         if found:
@@ -346,8 +355,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndar
 
 @lru_cache(maxsize=1)
 def _tally(path: str) -> np.ndarray:
-    rows = sorted(H.read_rows(path, "block", 0, 1 << 62), key=lambda r: r["block"])
-    return np.concatenate([np.frombuffer(r["n"], np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
+    return H.joined(H.read_rows(path, "block", 0, 1 << 62).sort_by("block").combine_chunks(), "n", "<i8")
 
 
 #: A phrase's count, and those of its parts before and behind each cut: the words of their keys.
@@ -357,7 +365,7 @@ _CUT_SCHEMA = ", ".join(f"{c} long" for c in _CUTS)
 
 
 def _frequent(shards: DataFrame, slots: str, deep: int, tally: str, first: int, last: int, least: int) -> DataFrame:
-    """The phrases of some shards that occur often enough, with ``a``; counts of parts are 0 still."""
+    """The phrases of some shards that occur often enough, with ``a`` and the counts of those parts that are in these shards; others are 0."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = H.load(slots, deep, first, last), _tally(tally)
@@ -365,26 +373,32 @@ def _frequent(shards: DataFrame, slots: str, deep: int, tally: str, first: int,
             for shard in batch.column(0).to_pylist():
                 own = np.arange(held.starts[shard - first], held.starts[shard - first + 1])
                 own = own[(n[own] >= least) & (held.keys[1][own] != 0)]
-                none = pa.array(np.zeros(len(own), np.int64))
-                yield pa.RecordBatch.from_arrays([*(pa.array(k[own].view(np.int64)) for k in held.keys), pa.array(n[own]), none, none, none, none], _CUTS)
+                cols = {k: x[own].view(np.int64) for k, x in zip(("k1", "k2", "k3"), held.keys, strict=True)} | {"a": n[own]}
+                yield _with_parts(cols, held, n)
 
     return shards.where((F.col("shard") >= first) & (F.col("shard") < last)).select("shard").mapInArrow(read, _CUT_SCHEMA)
 
 
 def _read_parts(rows: DataFrame, slots: str, deep: int, tally: str, first: int, last: int) -> DataFrame:
-    """Fill in the counts of those parts that are in some shards, by slot."""
+    """Add the counts of those parts that are in some other shards, by slot."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = H.load(slots, deep, first, last), np.append(_tally(tally), 0)  # slot -1: not here
+        held, n = H.load(slots, deep, first, last), _tally(tally)
         for batch in batches:
-            cols = {c: batch.column(c).to_numpy() for c in _CUTS}
-            for part, words in _PARTS.items():
-                cols[part] = cols[part] + n[held.find(tuple(cols[w].view(np.uint64) for w in words))]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[c]) for c in _CUTS], _CUTS)
+            yield _with_parts({c: batch.column(c).to_numpy() for c in _CUTS}, held, n)
 
     return rows.mapInArrow(read, _CUT_SCHEMA)
 
 
+def _with_parts(cols: dict[str, np.ndarray], held: H.Slots, n: np.ndarray) -> pa.RecordBatch:
+    for part, words in _PARTS.items():
+        at = held.find(tuple(cols[w].view(np.uint64) for w in words))
+        found = np.zeros(len(at), np.int64)
+        found[at >= 0] = n[at[at >= 0]]
+        cols[part] = found + cols.get(part, 0)
+    return pa.RecordBatch.from_arrays([pa.array(cols[c]) for c in _CUTS], _CUTS)
+
+
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The cut of least score of each phrase, exact in Python's integers; of equal ones the first."""
     for batch in batches:
@@ -457,11 +471,10 @@ def _counted(rows: DataFrame, common: DataFrame, shards: DataFrame, deep: int, m
     found = None
     for span, tally in zip(spans, sums, strict=True):
         own = _frequent(shards, path, deep, tally._placelink_path, *span, least)
+        for other, counts in zip(spans, sums, strict=True):
+            if other != span:
+                own = _read_parts(table(own, "cuts"), path, deep, counts._placelink_path, *other)
         found = own if found is None else found.union(own)
-    for span, tally in zip(spans, sums, strict=True):
-        found = _read_parts(found, path, deep, tally._placelink_path, *span)
-        if len(spans) > 1:
-            found = table(found, "cuts")
     out = table(found.mapInArrow(_scored, "k1 long, k2 long, k3 long, a long, l long, r long, score long, front long, back long"), "scored")
     for tally in sums:
         drop(tally)

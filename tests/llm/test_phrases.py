@@ -108,7 +108,7 @@ def test_long_texts_in_slices_have_the_same_phrases(monkeypatch):
 
     whole = counts()
     for size in (1, 7, 40):
-        monkeypatch.setattr(phrases, "TOGETHER", size)
+        monkeypatch.setattr(phrases, "STREAM", size)
         assert counts() == whole
 
 
@@ -124,12 +124,12 @@ def test_every_key_has_a_slot_of_its_own():
         own = tuple(k[shard == s] for k in keys)
         sizes, words, order = H.build(own)
         rows.append({"shard": s, "n": len(order), "sizes": sizes, "bits": words.tobytes()} | {f"k{j + 1}": k[order].tobytes() for j, k in enumerate(own)})
-    held = H.Slots(rows, bits, 0, 1 << bits)
+    held = H.Slots(pa.Table.from_pylist(rows), bits, 0, 1 << bits)
     at = held.find(keys)
     assert sorted(at.tolist()) == list(range(5_000)) and all((held.keys[j][at] == keys[j]).all() for j in range(3))
     assert (held.find((keys[0][:2_000],)) == at[:2_000]).all()
     assert (held.find((keys[0] + np.uint64(1), keys[1], keys[2])) == -1).all()
-    half = H.Slots(rows[4:], bits, 4, 8)
+    half = H.Slots(pa.Table.from_pylist(rows[4:]), bits, 4, 8)
     assert (half.find(keys)[shard < 4] == -1).all() and sorted(half.find(keys)[shard >= 4].tolist()) == list(range((shard >= 4).sum()))
     with pytest.raises(ValueError):
         H.build(tuple(np.zeros(2, np.uint64) for _ in range(3)))
