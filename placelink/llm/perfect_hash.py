@@ -163,7 +163,6 @@ def read_rows(path: str, column: str, first: int, last: int) -> pa.Table:
     return held.to_table(filter=(ds.field(column) >= first) & (ds.field(column) < last))
 
 
-@lru_cache(maxsize=1)
 def load(path: str, bits: int, first: int, last: int) -> Slots:
-    """The shards that tasks of this worker look up; the last ones asked for stay."""
+    """The shards that a task looks up; they go with it, as idle workers would hold on to them."""
     return Slots(read_rows(path, "shard", first, last), bits, first, last)

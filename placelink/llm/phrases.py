@@ -30,9 +30,9 @@ from placelink.llm.vectors import runs
 
 #: Code points of texts that are split together when words are counted, and when a row of a stream is written (Parquet
 #: holds 100 rows before it looks at their size); words of a stream that a task counts, and keys it makes distinct at a time.
-TOGETHER, STREAM, WORDS_A_TASK, KEYS = 8 << 20, 1 << 18, 1 << 24, 1 << 20
+TOGETHER, STREAM, WORDS_A_TASK, KEYS = 2 << 20, 1 << 18, 1 << 24, 1 << 20
 #: Places of buckets and slots that a task gathers before it counts them.
-GATHERED = 1 << 22
+GATHERED = 1 << 21
 #: Bits of a bit map's size at most (256 MB), and of a block of buckets and slots.
 MAP_BITS, BLOCK_BITS = 31, 16
 #: Candidates that are counted in one pass over the streams: some 40 bytes each in a worker.
@@ -158,7 +158,7 @@ def _row(names: list[str], *values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], kinds[type(v)]) for v in values], names)
 
 
-@lru_cache(maxsize=3)
+@lru_cache(maxsize=2)
 def bit_map(path: str, bits: int) -> np.ndarray:
     """A written bit map, as booleans that are looked up by place."""
     out = np.zeros(1 << max(0, bits - 3) if bits >= 3 else 1, np.uint8)
@@ -353,7 +353,6 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndar
         yield (*now, total)
 
 
-@lru_cache(maxsize=1)
 def _tally(path: str) -> np.ndarray:
     return H.joined(H.read_rows(path, "block", 0, 1 << 62).sort_by("block").combine_chunks(), "n", "<i8")
 
