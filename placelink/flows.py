@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placelink.modules import DictionaryRecognizer, ManualRecognizer, ManualResolver, SimilarityResolver
-from placelink.operators import annotate, spans, views
+from placelink.operators import annotate, postings, search, spans, views
 from placelink.plans.install import Store
 from placelink.project import Linker, Project
-from placelink.queries import _LEXICON, _MENTIONS, ORACLES, QUERIES, documents, mentioned, part_names, query, read
+from placelink.queries import _LEXICON, _MENTIONS, _TOK, ORACLES, QUERIES, _search_sql, documents, mentioned, part_names, query, read
 from placelink.session import scratch
 from placelink.sources import config, scan
 from placelink.storage import Storage
@@ -176,6 +176,45 @@ def installed_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s, *c) for s, c in counts.items()], "source string, n_features long, n_names long")
 
 
+# --- stored positional postings
+
+
+_INDEXES: dict[tuple[str, str], postings.Index] = {}
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> postings.Index:
+    """The index of all part names, written once for all queries of a session."""
+    own = (spark.sparkContext.applicationId, sf_dir)
+    if own not in _INDEXES:
+        folder = Storage(spark, scratch(spark, "postings")).path()
+
+        def stored(rows: DataFrame, name: str) -> DataFrame:
+            rows.write.parquet(f"{folder}/{name}")
+            return spark.read.parquet(f"{folder}/{name}")
+
+        texts = stored(search.index(part_names(spark, sf_dir)), "texts")
+        found, tokens = postings.build(texts)
+        blocks = stored(found.repartitionByRange("token", "shard").sortWithinPartitions("token", "shard", "block"), "postings")
+        _INDEXES[own] = postings.Index(texts, blocks, stored(tokens, "tokens"), stored(search.statistics(texts), "statistics"))
+    return _INDEXES[own]
+
+
+@query(_search_sql(f"SELECT DISTINCT w AS qid, 1 AS pos, {_TOK.format('w')} AS qt FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part)", 50, 3))
+def stored_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 rows for each word of all names, in three tiers at most, by blocks that may hold them."""
+    names = part_names(spark, sf_dir)
+    asked = names.select(F.explode(F.split("name", " ")).alias("qid")).distinct().withColumn("query", F.col("qid"))
+    return search.search(names, asked, "phrase", limit=50, tiers=3, stored=_indexed(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query(_search_sql(f"SELECT qid, pos, {_TOK.format('w')} AS qt FROM (SELECT qid, unnest(string_split(qid, ' ')) AS w, generate_subscripts(string_split(qid, ' '), 1) AS pos FROM (SELECT DISTINCT p_name AS qid FROM part))", 20, 1))
+def stored_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best names for each name's words, as many as 20 rows hold, by blocks that may hold them."""
+    names = part_names(spark, sf_dir)
+    asked = names.select(F.col("name").alias("qid"), F.col("name").alias("query")).distinct()
+    return search.search(names, asked, "partial", limit=20, tiers=1, stored=_indexed(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
 # --- projects and modules
 
 

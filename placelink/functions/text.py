@@ -76,6 +76,11 @@ def idf(n_rows: Column, n_with: Column) -> Column:
     return F.when(raw <= 0, F.lit(LEAST_IDF)).otherwise(raw)
 
 
+def impact(tf: Column, length: Column, mean_length: Column) -> Column:
+    """What a phrase adds to the score of a name, but for its weight."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
+
+
 def bm25(weight: Column, tf: Column, length: Column, mean_length: Column) -> Column:
     """One phrase's part of the score; the more negative the better."""
     return -(weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length)))

@@ -40,7 +40,7 @@ def _phrase_hits(indexed: DataFrame, phrases: DataFrame) -> DataFrame:
     return found.select("phrase", "name", "n_rows", "dl", "len", tf.alias("tf")).where("tf > 0")
 
 
-def _tiered(scored: DataFrame, names: DataFrame, limit: int, tiers: int, digits: int = 9) -> DataFrame:
+def tiered(scored: DataFrame, names: DataFrame, limit: int, tiers: int, digits: int = 9) -> DataFrame:
     """Limit on the name rows of a query, then dense ranks, then the best row of each feature."""
     rows = scored.join(names.select("name", "feature_id"), "name")
     rows = rows.withColumn("score", F.round("score", digits))
@@ -52,9 +52,13 @@ def _tiered(scored: DataFrame, names: DataFrame, limit: int, tiers: int, digits:
 
 def exact(names: DataFrame, queries: DataFrame, limit: int = LIMIT, indexed: DataFrame | None = None) -> DataFrame:
     """``(qid, feature_id)``: the query's tokens occur in a name of the same length."""
-    asked = _asked(queries)
-    hits = _phrase_hits(_held(names, indexed), asked.select("phrase").where(F.size("phrase") > 0).distinct())
-    rows = asked.join(hits, "phrase").where("qlen = len").join(names.select("name", "feature_id"), "name")
+    asked = _asked(queries).where(F.size("phrase") > 0)
+    return same_length(asked, _phrase_hits(_held(names, indexed), asked.select("phrase").distinct()), names, limit)
+
+
+def same_length(asked: DataFrame, hits: DataFrame, names: DataFrame, limit: int) -> DataFrame:
+    """The first rows of ``hits(phrase, name)`` that are as long as the query."""
+    rows = asked.join(hits.select("phrase", "name"), "phrase").where(F.col("qlen") == F.length("name")).join(names.select("name", "feature_id"), "name")
     first = Window.partitionBy("qid").orderBy("feature_id", "name")
     rows = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= limit)
     return rows.select("qid", "feature_id").distinct()
@@ -62,15 +66,23 @@ def exact(names: DataFrame, queries: DataFrame, limit: int = LIMIT, indexed: Dat
 
 def phrase(names: DataFrame, queries: DataFrame, limit: int = LIMIT, tiers: int = 1, indexed: DataFrame | None = None) -> DataFrame:
     """``(qid, feature_id, score, tier)``: names that hold the query's tokens in a row."""
-    asked = _asked(queries).select("qid", "phrase").where(F.size("phrase") > 0)
-    return _ranked(names, asked, limit, tiers, _held(names, indexed))
+    return _ranked(names, whole_phrases(queries), limit, tiers, _held(names, indexed))
 
 
 def partial(names: DataFrame, queries: DataFrame, limit: int = LIMIT, tiers: int = 1, indexed: DataFrame | None = None) -> DataFrame:
     """As :func:`phrase`, for any of the query's terms; each term is a phrase, repeats count."""
-    terms = queries.select("qid", F.posexplode(F.split(T.query_text(F.col("query")), "\\s+")).alias("pos", "term"))
-    asked = terms.select("qid", "pos", T.tokens(F.col("term")).alias("phrase")).where(F.size("phrase") > 0)
-    return _ranked(names, asked, limit, tiers, _held(names, indexed))
+    return _ranked(names, terms(queries), limit, tiers, _held(names, indexed))
+
+
+def whole_phrases(queries: DataFrame) -> DataFrame:
+    """``(qid, pos, phrase)``: the tokens of each query."""
+    return _asked(queries).where(F.size("phrase") > 0).select("qid", F.lit(0).alias("pos"), "phrase")
+
+
+def terms(queries: DataFrame) -> DataFrame:
+    """``(qid, pos, phrase)``: the tokens of each term of a query."""
+    each = queries.select("qid", F.posexplode(F.split(T.query_text(F.col("query")), "\\s+")).alias("pos", "term"))
+    return each.select("qid", "pos", T.tokens(F.col("term")).alias("phrase")).where(F.size("phrase") > 0)
 
 
 def _asked(queries: DataFrame) -> DataFrame:
@@ -89,7 +101,7 @@ def _ranked(names: DataFrame, asked: DataFrame, limit: int, tiers: int, indexed:
     rows = hits.join(spread, "phrase").join(F.broadcast(statistics(indexed)))
     rows = rows.select("phrase", "name", part.alias("part"))
     scored = asked.join(rows, "phrase").groupBy("qid", "name").agg(F.sum("part").alias("score"))
-    return _tiered(scored, names, limit, tiers)
+    return tiered(scored, names, limit, tiers)
 
 
 def fuzzy(names: DataFrame, queries: DataFrame, limit: int = LIMIT, tiers: int = 1, indexed: DataFrame | None = None) -> DataFrame:
@@ -103,14 +115,25 @@ def fuzzy(names: DataFrame, queries: DataFrame, limit: int = LIMIT, tiers: int =
     return rows.withColumn("tier", F.dense_rank().over(Window.partitionBy("qid").orderBy("score")).cast("int")).where(F.col("tier") <= tiers).drop("place")
 
 
-def search(names: DataFrame, queries: DataFrame, method: str = "exact", limit: int = LIMIT, tiers: int = 1, indexed: DataFrame | None = None) -> DataFrame:
+def search(names: DataFrame, queries: DataFrame, method: str = "exact", limit: int = LIMIT, tiers: int = 1, indexed: DataFrame | None = None, stored=None) -> DataFrame:
     """``(qid, feature_id, score, tier)`` of ``queries(qid, query)`` over ``names(feature_id, name)``.
 
     An empty partial query finds nothing; exact matches have score 0, tier 1.
-    ``indexed`` is the :func:`index` of the names where it is stored.
+    ``indexed`` is the :func:`index` of the names where it is stored, ``stored``
+    a :class:`postings.Index`, which also spares texts that cannot be found.
     """
     if method not in METHODS:
         raise ValueError(f"unknown search method {method!r}")
+    if stored is not None:
+        from placelink.operators import postings
+
+        if method == "exact":
+            asked = _asked(queries).where(F.size("phrase") > 0)
+            return postings.exact(stored, names, asked, limit).withColumn("score", F.lit(0.0)).withColumn("tier", F.lit(1))
+        if method != "fuzzy":
+            asked = whole_phrases(queries) if method == "phrase" else terms(queries)
+            return postings.ranked(stored, names, asked, limit, tiers)
+        indexed = stored.texts
     if method == "exact":
         return exact(names, queries, limit, indexed).withColumn("score", F.lit(0.0)).withColumn("tier", F.lit(1))
     return {"phrase": phrase, "partial": partial, "fuzzy": fuzzy}[method](names, queries, limit, tiers, indexed)

@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placelink.functions import geo
-from placelink.operators import registration, search, spatial, views
+from placelink.operators import postings, registration, search, spatial, views
 from placelink.plans import dialect
 from placelink.sources import acquire, config, scan
 from placelink.storage import Storage
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 #: Paths that name their file system are left to Spark as they are.
 _URI = re.compile("[a-z][a-z0-9+.-]+:")
 
@@ -131,7 +131,22 @@ class Store:
 
     def search(self, name: str, queries: DataFrame, method: str = "exact", limit: int = search.LIMIT, tiers: int = 1) -> DataFrame:
         """:func:`search.search` over an installed gazetteer, by its stored index."""
-        return search.search(self.read(name, "names"), queries, method, limit, tiers, self.read(name, "texts"))
+        return search.search(self.read(name, "names"), queries, method, limit, tiers, stored=self.index(name))
+
+    def index(self, name: str) -> postings.Index:
+        """The stored index of a gazetteer's names."""
+        return postings.Index(*(self.read(name, t) for t in ("texts", "postings", "tokens", "statistics")))
+
+    def _index(self, name: str, names: DataFrame) -> None:
+        """Write the index of ``names``: texts by sound, postings and their statistics by token."""
+        write = lambda rows, at: rows.write.mode("overwrite").parquet(self.storage.path(f"{name}/{at}"))
+        write(search.index(names).repartition("code").sortWithinPartitions("code", "name"), "texts")
+        texts = self.spark.read.parquet(self.storage.path(f"{name}/texts"))
+        write(search.statistics(texts), "statistics")
+        found, tokens = postings.build(texts)
+        blocks = found.repartitionByRange("token", "shard").sortWithinPartitions("token", "shard", "block")
+        blocks.write.option("parquet.bloom.filter.enabled#token", "true").mode("overwrite").parquet(self.storage.path(f"{name}/postings"))
+        self._write(tokens, f"{name}/tokens", ["token"])
 
     def describe(self, name: str, source: str, columns: tuple | None = None) -> DataFrame:
         """``(feature_id, location_id, description)`` of a source's features; ``columns`` as in ``views.DESCRIBED``."""
@@ -179,7 +194,7 @@ class Store:
             self._write(made.features, f"{name}/features", ["location_id"])
             self._write(made.names, f"{name}/names", ["name"])
             names = self.spark.read.parquet(self.storage.path(f"{name}/names"))
-            search.index(names).repartition("code").sortWithinPartitions("code", "name").write.mode("overwrite").parquet(self.storage.path(f"{name}/texts"))
+            self._index(name, names)
             told = registration.counts(self.spark.read.parquet(self.storage.path(f"{name}/features")), names)
             counts = {r["source"]: [r["n_features"], r["n_names"]] for r in told.collect()}
         if not keep_downloads:

@@ -255,7 +255,7 @@ def bm25_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEXICON = ("de", "der", "la", "le", "que", "the", "und", "with")
 _MENTIONS = f"""
 w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents),
-m AS (
+m AS MATERIALIZED (
   SELECT doc_id, s AS start, s + length(word) AS "end", word AS text FROM (
     SELECT *, CAST(coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS s FROM w
   ) WHERE word IN {_LEXICON}
