@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placelink.llm import perfect_hash as H
@@ -40,6 +41,8 @@ PASS_KEYS = 1 << 23
 #: Arrays that meet in one of the next level of the tree.
 BRANCH = 16
 
+_BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "32", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
 _BLANK = re.compile("[ \t]")
 
 
@@ -421,7 +424,25 @@ def mine(df: DataFrame, least: int = 10, share: int = 50, most: int = 2000, text
     """
     spark = df.sparkSession
     prepare(spark)
-    docs = _documents(df, text_col, lang_col)
+    with _small_batches(spark):
+        return _mined(_documents(df, text_col, lang_col), least, share, most)
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Let readers and Arrow hold few rows of a stream at a time, each of which is some 300 KB."""
+    held = {k: spark.conf.get(k, None) for k in _BATCHES}
+    for k, v in _BATCHES.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _mined(docs: DataFrame, least: int, share: int, most: int) -> DataFrame:
+    spark = docs.sparkSession
     for seed in range(100):
         known = table(words(docs, seed), "words")
         if known.groupBy("h").count().where("count > 1").isEmpty():
