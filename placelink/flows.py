@@ -12,7 +12,7 @@ import struct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placelink.modules import DictionaryRecognizer, ManualRecognizer, ManualResolver, SimilarityResolver
+from placelink.modules import DictionaryRecognizer, ManualRecognizer, ManualResolver, SimilarityResolver, TaggerRecognizer, tagger
 from placelink.operators import annotate, postings, search, spans, views
 from placelink.plans.install import Store
 from placelink.project import Linker, Project
@@ -308,6 +308,67 @@ def similarity_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("reference_id").alias("text"), F.round(sim, 12).alias("sim"))
 
 
+# --- training
+
+
+_AFTER = {"LOC": ["the", "with"], "GPE": ["de", "la", "le", "que"], "FAC": ["der", "und"]}
+
+
+def _held_out(column: str):
+    """A quarter of the rows, by checksum, that nothing is learnt from."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2
+
+
+@query()
+def trained_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tagger learns, from three quarters of the documents, the words that follow articles; all documents are tagged.
+
+    A row a document: its labelled words, what the tagger found, and how much of that is right.
+    """
+    docs = documents(spark, sf_dir).select("document_id", "text")
+    words = spans.words(docs)
+    label = F.create_map(*(F.lit(x) for k, ws in _AFTER.items() for w in ws for x in (w, k)))
+    before = words.where(F.col("word").isin([w for ws in _AFTER.values() for w in ws])).select("document_id", (F.col("pos") + 1).alias("pos"), label[F.col("word")].alias("label"))
+    gold = words.join(before, ["document_id", "pos"]).select("document_id", "start", "end", "label")
+    model = TaggerRecognizer(tagger.train(spans.training_set(docs.where(~_held_out("document_id")), gold), list(_AFTER), epochs=2), "after articles", tuple(_AFTER))
+    keys = ["document_id", "start", "end", "label"]
+    both = gold.select(*keys, F.lit(1).alias("g")).join(model.entities(docs).select(*keys, F.lit(1).alias("p")), keys, "full")
+    counts = both.groupBy("document_id").agg(F.count("g").alias("n_gold"), F.count("p").alias("n_found"), F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("n_right"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return docs.select("document_id").join(counts, "document_id", "left").select("document_id", _held_out("document_id").alias("held_out"), *(none(c) for c in ("n_gold", "n_found", "n_right")))
+
+
+_ABC = "abcdefghijklmnopqrstuvwxyz"
+
+
+@query()
+def trained_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two towers learn which part a context means that tells its type in other letters; every name and type is resolved.
+
+    A row a name and type: what is found with the towers, learnt from three
+    quarters of the rows, and with hashed trigrams.
+    """
+    from placelink.functions import text as T
+
+    rows = read(spark, sf_dir, "part").groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("feature_id"))
+    rows = rows.withColumn("reference_id", F.concat_ws("|", "p_name", "p_type")).withColumn("location_id", F.col("feature_id").cast("string"))
+    folder = Storage(spark, scratch(spark, "encoder")).path()
+    rows.write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    names = rows.select("feature_id", F.col("p_name").alias("name"))
+    described = rows.select("feature_id", "location_id", T.description(F.col("p_name"), F.col("p_type"), []).alias("description"))
+    told = F.translate(F.lower("p_type"), _ABC, _ABC[13:] + _ABC[:13])
+    refs = rows.select("reference_id", F.concat("p_name", F.lit(" "), told).alias("document"), F.lit(0).alias("start"), F.length("p_name").alias("end"), F.col("p_name").alias("text"))
+    gold = rows.select("reference_id", "location_id")
+    hashed = SimilarityResolver("parts", names, described, -1.0, 1)
+    fitted = hashed.fit(hashed.training_pairs(refs.where(~_held_out("reference_id")), gold), f"{folder}/towers", epochs=10)
+    found = fitted.predict(refs).select("reference_id", F.col("location_id").alias("found"))
+    plain = hashed.predict(refs).select("reference_id", F.col("location_id").alias("plain"))
+    out = gold.join(found, "reference_id", "left").join(plain, "reference_id", "left")
+    same = lambda c: F.coalesce(F.col(c) == F.col("location_id"), F.lit(False))
+    return out.select("reference_id", _held_out("reference_id").alias("held_out"), "location_id", "found", same("found").alias("is_right"), same("plain").alias("hashed_is_right"))
+
+
 # --- spans and sessions
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placelink.modules.base import Resolver
+from placelink.modules.encoder import trained
 from placelink.operators import resolve
 from placelink.session import ship
 from placelink.storage import Storage
@@ -167,9 +168,9 @@ class SimilarityResolver(Resolver):
         """A resolver over an installed gazetteer: its names, stored index, and descriptions by the columns known for it or given."""
         return cls(gazetteer, store.read(gazetteer, "names"), store.describe(gazetteer, source, columns), indexed=store.read(gazetteer, "texts"), **options)
 
-    def fit(self, pairs: DataFrame, output_path: str, **options) -> SimilarityResolver:
-        """This resolver with an encoder fitted on training pairs and saved."""
-        encoder = learned(pairs, **options)
+    def fit(self, pairs: DataFrame, output_path: str, towers: bool = True, **options) -> SimilarityResolver:
+        """This resolver with an encoder fitted on training pairs and saved: two towers, or weights of the hash encoder."""
+        encoder = trained(pairs, **options) if towers else learned(pairs, **options)
         encoder.save(pairs.sparkSession, output_path)
         c = self.config
         return SimilarityResolver(c["gazetteer"], self.names, self.described, c["min_similarity"], c["max_tiers"], c["max_tokens"], encoder, self.indexed)
@@ -186,9 +187,9 @@ class SimilarityResolver(Resolver):
         return references.withColumn("context", F.pandas_udf(run, "string")(F.col("document"), F.col("start")))
 
     def encoded(self, texts: DataFrame, column: str) -> DataFrame:
-        """Distinct texts of a column with their vectors."""
+        """Distinct texts of a column with their vectors; an encoder may have a method of the column's name for them."""
         ship(texts.sparkSession)
-        encoder = self.encoder
+        encoder = getattr(self.encoder, column, self.encoder)
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in batches:

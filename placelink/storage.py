@@ -39,6 +39,13 @@ class Storage:
         finally:
             stream.close()
 
+    def data(self, name: str) -> bytes:
+        stream = self._fs.open(self._at(name))
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
     def write(self, name: str, content: str | bytes) -> None:
         """Write a file so that readers see the old one or the new one, whole."""
         folder, _, own = name.rpartition("/")
