@@ -108,22 +108,22 @@ def joined(rows: pa.Table, column: str, kind: str) -> np.ndarray:
 
 
 class Slots:
-    """Shards ``first`` to ``last`` (exclusive) in memory; slots count from the first of them."""
+    """Shards ``first`` to ``last`` (exclusive) in memory; slots follow the order of ``rows``, that of the files they are read from."""
 
     def __init__(self, rows: pa.Table, bits: int, first: int, last: int):
-        rows = rows.sort_by("shard").combine_chunks()
+        rows = rows.combine_chunks()
         self.bits, self.first, self.last = bits, first, last
         told = list(zip(*(rows.column(c).to_pylist() for c in ("shard", "n", "sizes")), strict=True))
         deep = max((len(sizes) for _, _, sizes in told), default=0)
         self.sizes, self.at = np.zeros((last - first, deep), np.int64), np.zeros((last - first, deep), np.int64)
-        self.starts = np.zeros(last - first + 1, np.int64)
-        end = 0
+        self.spans: dict[int, tuple[int, int]] = {}
+        end = slot = 0
         for shard, n, sizes in told:
-            self.starts[shard - first + 1] = n
+            self.spans[shard] = (slot, slot + n)
+            slot += n
             for level, m in enumerate(sizes):
                 self.sizes[shard - first, level], self.at[shard - first, level] = m, end
                 end += m
-        self.starts = np.cumsum(self.starts)
         self.words = joined(rows, "bits", "<u8")
         self.rank = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words).astype(np.int64))])
         self.keys = tuple(joined(rows, k, "<u8") for k in ("k1", "k2", "k3"))

@@ -14,7 +14,7 @@ before a cut and of those behind it are read by slot.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
@@ -31,9 +31,9 @@ from placelink.llm.vectors import runs
 
 #: Code points of texts that are split together when words are counted, and when a row of a stream is written (Parquet
 #: holds 100 rows before it looks at their size); words of a stream that a task counts, and keys it makes distinct at a time.
-TOGETHER, STREAM, WORDS_A_TASK, KEYS = 2 << 20, 1 << 18, 1 << 24, 1 << 20
+TOGETHER, STREAM, WORDS_A_TASK, KEYS = 2 << 20, 1 << 18, 1 << 24, 1 << 18
 #: Places of buckets and slots that a task gathers before it counts them.
-GATHERED = 1 << 21
+GATHERED = 1 << 20
 #: Bits of a bit map's size at most (256 MB), and of a block of buckets and slots.
 MAP_BITS, BLOCK_BITS = 31, 16
 #: Candidates that are counted in one pass over the streams: some 40 bytes each in a worker.
@@ -364,21 +364,28 @@ def _tally(path: str) -> np.ndarray:
 _PARTS = {"l1": ("k1",), "r1": ("k2", "k3"), "l2": ("k1", "k2"), "r2": ("k3",)}
 _CUTS = ["k1", "k2", "k3", "a", *_PARTS]
 _CUT_SCHEMA = ", ".join(f"{c} long" for c in _CUTS)
+_SCORED = "k1 long, k2 long, k3 long, a long, l long, r long, score long, front long, back long"
 
 
-def _frequent(shards: DataFrame, slots: str, deep: int, tally: str, first: int, last: int, least: int) -> DataFrame:
-    """The phrases of some shards that occur often enough, with ``a`` and the counts of those parts that are in these shards; others are 0."""
+def _frequent(shards: DataFrame, slots: str, deep: int, tally: str, first: int, last: int, least: int, whole: bool) -> DataFrame:
+    """The phrases of some shards that occur often enough, with ``a`` and the counts of those parts that are in these shards.
+
+    Counts of other parts are 0 still; where these shards are the whole, the phrases are scored at once.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = H.load(slots, deep, first, last), _tally(tally)
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                own = np.arange(held.starts[shard - first], held.starts[shard - first + 1])
+                own = np.arange(*held.spans[shard])
                 own = own[(n[own] >= least) & (held.keys[1][own] != 0)]
-                cols = {k: x[own].view(np.int64) for k, x in zip(("k1", "k2", "k3"), held.keys, strict=True)} | {"a": n[own]}
-                yield _with_parts(cols, held, n)
+                for at in range(0, len(own), 10_000):
+                    part = own[at : at + 10_000]
+                    cols = {k: x[part].view(np.int64) for k, x in zip(("k1", "k2", "k3"), held.keys, strict=True)} | {"a": n[part]}
+                    found = _with_parts(cols, held, n)
+                    yield from _scored([found]) if whole else [found]
 
-    return shards.where((F.col("shard") >= first) & (F.col("shard") < last)).select("shard").mapInArrow(read, _CUT_SCHEMA)
+    return shards.where((F.col("shard") >= first) & (F.col("shard") < last)).select("shard").mapInArrow(read, _SCORED if whole else _CUT_SCHEMA)
 
 
 def _read_parts(rows: DataFrame, slots: str, deep: int, tally: str, first: int, last: int) -> DataFrame:
@@ -401,7 +408,7 @@ def _with_parts(cols: dict[str, np.ndarray], held: H.Slots, n: np.ndarray) -> pa
     return pa.RecordBatch.from_arrays([pa.array(cols[c]) for c in _CUTS], _CUTS)
 
 
-def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The cut of least score of each phrase, exact in Python's integers; of equal ones the first."""
     for batch in batches:
         out = []
@@ -410,7 +417,7 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if k3 and (other := 1_000_000 * a * a // (l2 * r2)) < score:
                 score, left, right = other, l2, r2
             out.append((k1, k2, k3, a, left, right, score, l2, r1))
-        names = ["k1", "k2", "k3", "a", "l", "r", "score", "front", "back"]
+        names = [c.split()[0] for c in _SCORED.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 9)], names)
 
 
@@ -490,12 +497,12 @@ def _counted(rows: DataFrame, common: DataFrame, shards: DataFrame, deep: int, m
     sums = [table(tallies(rows, common, path, deep, *span, maps, bits, parts), "tallies") for span in spans]
     found = None
     for span, tally in zip(spans, sums, strict=True):
-        own = _frequent(shards, path, deep, tally._placelink_path, *span, least)
+        own = _frequent(shards, path, deep, tally._placelink_path, *span, least, len(spans) == 1)
         for other, counts in zip(spans, sums, strict=True):
             if other != span:
                 own = _read_parts(table(own, "cuts"), path, deep, counts._placelink_path, *other)
         found = own if found is None else found.union(own)
-    out = table(found.mapInArrow(_scored, "k1 long, k2 long, k3 long, a long, l long, r long, score long, front long, back long"), "scored")
+    out = table(found if len(spans) == 1 else table(found, "cuts").mapInArrow(_scored, _SCORED), "scored")
     for tally in sums:
         drop(tally)
     return out
