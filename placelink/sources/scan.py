@@ -69,16 +69,16 @@ def _without_first(spark: SparkSession, path: str, n: int) -> DataFrame:
 
 
 def geojson(spark: SparkSession, path: str) -> DataFrame:
-    """``geometry`` as WKT and the properties, as text and in their order, of a feature collection.
+    """``geometry`` as WKT and the properties of all features, as text and in their mean order, of a feature collection.
 
-    The file is one JSON text, so one task parses it; its features are dealt
-    out from there.
+    A feature that lacks a property has null there.  The file is one JSON text,
+    so one task parses it; its features are dealt out from there.
     """
     ship(spark)
     raw = spark.read.text(path, wholetext=True)
     each = raw.select(F.explode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("f"))
-    told = each.select(F.json_object_keys(F.get_json_object("f", "$.properties")).alias("k")).where("k is not null").first()
-    names = told["k"] if told else []
+    told = each.select(F.posexplode(F.json_object_keys(F.get_json_object("f", "$.properties"))).alias("place", "k"))
+    names = [r["k"] for r in told.groupBy("k").agg(F.count("*").alias("n"), F.avg("place").alias("place")).orderBy("place", F.desc("n"), "k").collect()]  # a row a property
 
     def wkt(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

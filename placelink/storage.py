@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -39,6 +40,10 @@ class Storage:
         finally:
             stream.close()
 
+    def age(self, name: str) -> float:
+        """Seconds since a file or folder was last changed."""
+        return time.time() - self._fs.getFileStatus(self._at(name)).getModificationTime() / 1000
+
     def data(self, name: str) -> bytes:
         stream = self._fs.open(self._at(name))
         try:

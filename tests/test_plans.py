@@ -118,6 +118,16 @@ def test_geojson_and_files(spark, tmp_path):
         acquire.locate(tmp_path, "b.txt")
 
 
+def test_geojson_has_the_properties_of_all_features(spark, tmp_path):
+    feature = lambda props: {"type": "Feature", "properties": props, "geometry": {"type": "Point", "coordinates": [1, 2]}}
+    held = [feature({"n": "x"}), feature(None), feature({"n": "y", "k": 3}), feature({"k": 4, "late": "z"})]
+    (tmp_path / "b.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": held}))
+    rows = scan.geojson(spark, str(tmp_path / "b.geojson"))
+    assert set(rows.columns[1:]) == {"n", "k", "late"} and rows.columns[1] == "n"
+    assert sorted((r.n or "", r.k or "", r.late or "") for r in rows.collect()) == [("", "", ""), ("", "4", "z"), ("x", "", ""), ("y", "3", "")]
+
+
+
 def _index(folder):
     """A ``.shx`` file for the shapefile of the fixture."""
     data, at, spots = (folder / "areas.shp").read_bytes(), 100, []
