@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from placelink.llm.common import prepare, table
 
@@ -212,9 +213,9 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     null; rows that repeat come as often; an empty table gives none.
     """
     prepare(df.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit("")).alias("_score_text")
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), text) if keep else df.select(F.col(id_col).alias("id"), text)
-    name, kind = rows.dtypes[0]
+    rows = df if keep else df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    at_text = rows.columns.index(text_col if keep else "text")
+    names = [*rows.columns, "_score"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = model.table.tobytes()
@@ -222,7 +223,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             _tables.clear()
             _tables[mark] = pair_tables(model)
         for batch in batches:
-            texts = [t.as_py().encode("utf-8", "surrogatepass") for t in batch.column(1)]
+            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(at_text)]
             out, at = np.empty(len(texts)), 0
             while at < len(texts):
                 end, size = at + 1, len(texts[at])
@@ -234,10 +235,12 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                         end += 1
                     out[at:end] = probabilities(texts[at:end], model, _tables[mark])
                 at = end
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], [name, "_score"])
+            held = [*batch.columns, pa.array(out)] if keep else [batch.column(0), pa.array(out)]
+            yield pa.RecordBatch.from_arrays(held, names if keep else ["id", "_score"])
 
-    found = rows.mapInArrow(scan, f"{name} {kind}, _score double")
-    return found.select("row.*", "_score") if keep else found.withColumnRenamed("_score", "score")
+    shape = StructType([*(f for f in rows.schema.fields if keep or f.name == "id"), StructField("_score", DoubleType())])
+    found = rows.mapInArrow(scan, shape)
+    return found if keep else found.withColumnRenamed("_score", "score")
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
