@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placelink.llm import bpe, line_dedup, mixing, near_dup, quality
-from placelink.llm.common import table
+from placelink.llm.common import drop, table
 
 #: Rows up to which a table of ids is broadcast: some 2 MB.
 BROADCAST_ROWS = 100_000
@@ -71,8 +71,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each one's result is written for the next."""
+    """All stages on ``documents``; each one's result is written for the next, and goes when that is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), name)
+        before, docs = docs, table(stage(spark, docs, sf_dir), name)
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
