@@ -160,7 +160,7 @@ def read_rows(path: str, column: str, first: int, last: int) -> pa.Table:
 
     store, at = open_store(path)
     held = ds.dataset(at, filesystem=store, format="parquet")
-    return held.to_table(filter=(ds.field(column) >= first) & (ds.field(column) < last))
+    return held.to_table(filter=(ds.field(column) >= first) & (ds.field(column) < last), use_threads=False)
 
 
 def load(path: str, bits: int, first: int, last: int) -> Slots:

@@ -36,8 +36,8 @@ TOGETHER, STREAM, WORDS_A_TASK, KEYS = 2 << 20, 1 << 18, 1 << 24, 1 << 18
 GATHERED = 1 << 20
 #: Bits of a bit map's size at most (256 MB), and of a block of buckets and slots.
 MAP_BITS, BLOCK_BITS = 31, 16
-#: Candidates that are counted in one pass over the streams: some 40 bytes each in a worker.
-PASS_KEYS = 1 << 23
+#: Candidates that are counted in one pass over the streams: some 60 bytes each in a worker.
+PASS_KEYS = 1 << 20
 #: Arrays that meet in one of the next level of the tree.
 BRANCH = 16
 
