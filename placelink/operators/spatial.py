@@ -1,4 +1,4 @@
-"""Spatial joins: an equi-join on the cells of a grid of several levels, then an exact predicate."""
+"""Spatial joins: few shapes go to where points are read and meet them by quarters; others by an equi-join on the cells of a grid of several levels."""
 
 from __future__ import annotations
 
@@ -123,6 +123,66 @@ def _tested(pairs: DataFrame, left: DataFrame, right: DataFrame, test, key: list
     return dealt.mapInArrow(run, f"left_id {kinds['left_id']}, right_id {kinds['right_id']}")
 
 
+#: Shapes, and code points of their texts, up to which all are sent to the tasks that read points.
+FEW, FEW_TEXT = 10_000, 8 << 20
+#: Shapes or points of a quarter that are compared without cutting it again, and how often it is cut at most.
+LEAF, DEEP = 8, 12
+
+
+def quartered(shapes: list[geo.Shape], x: np.ndarray, y: np.ndarray, boundary: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``(points, shapes)``: places of all pairs of a point and a shape that holds it.
+
+    Points and the boxes of shapes are cut into quarters together, until few of
+    either are left; a point falls into one quarter, a box into all it touches.
+    """
+    boxes = np.array([s.box or (np.inf, np.inf, -np.inf, -np.inf) for s in shapes]).reshape(-1, 4)
+    found: list[tuple[np.ndarray, int]] = []
+    waiting = [(np.arange(len(x)), np.flatnonzero(boxes[:, 0] <= boxes[:, 2]), 0)]
+    while waiting:
+        at, own, deep = waiting.pop()
+        if not len(at) or not len(own):
+            continue
+        if len(own) > LEAF < len(at) and deep < DEEP:
+            cx, cy = np.median(x[at]), np.median(y[at])
+            left, low = x[at] < cx, y[at] < cy
+            parts = []
+            for west in (True, False):
+                for south in (True, False):
+                    touched = (boxes[own, 0] < cx if west else boxes[own, 2] >= cx) & (boxes[own, 1] < cy if south else boxes[own, 3] >= cy)
+                    parts.append((at[(left == west) & (low == south)], own[touched], deep + 1))
+            if max(len(p[1]) for p in parts) < len(own) or max(len(p[0]) for p in parts) < len(at):
+                waiting += parts
+                continue
+        for k in own.tolist():
+            a, b, c, d = boxes[k]
+            near = at[(x[at] >= a) & (x[at] <= c) & (y[at] >= b) & (y[at] <= d)]
+            if len(near):
+                near = near[shapes[k].holds(x[near], y[near], boundary)]
+                found.append((near, k))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([n for n, _ in found]), np.repeat([k for _, k in found], [len(n) for n, _ in found])
+
+
+def _among_few(points: DataFrame, shapes: DataFrame, boundary: bool) -> DataFrame | None:
+    """Pairs of ``points(left_id, x, y)`` and ``shapes(right_id, wkt)`` where all shapes may go to each task; else None."""
+    count, text = shapes.agg(F.count("*"), F.coalesce(F.sum(F.length("wkt")), F.lit(0))).first()
+    if count > FEW or text > FEW_TEXT:
+        return None
+    ship(points.sparkSession)
+    held = [tuple(r) for r in shapes.collect()]
+    kinds = dict(points.dtypes)["left_id"], dict(shapes.dtypes)["right_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parsed, ids = [geo.Shape(w) for _, w in held], [i for i, _ in held]
+        for batch in batches:
+            x, y = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (1, 2))
+            at, which = quartered(parsed, x, y, boundary)
+            yield pa.RecordBatch.from_pydict({"left_id": batch.column(0).take(pa.array(at)), "right_id": [ids[k] for k in which.tolist()]})
+
+    return points.select("left_id", "x", "y").mapInArrow(run, f"left_id {kinds[0]}, right_id {kinds[1]}")
+
+
 def points_in_shapes(points: DataFrame, shapes: DataFrame, cell: float | None = None, boundary: bool = False, srid: tuple[int, int] | None = None) -> DataFrame:
     """``(point_id, shape_id)``: all pairs of ``points(point_id, x, y)`` within ``shapes(shape_id, wkt)``.
 
@@ -133,8 +193,12 @@ def points_in_shapes(points: DataFrame, shapes: DataFrame, cell: float | None =
     px, py = F.col("x"), F.col("y")
     if srid and srid[0] != srid[1]:
         px, py = geo.transform(px, py, srid[1], srid[0])
-    held = _boxes(shapes.select(F.col("shape_id").alias("right_id"), "wkt"), "wkt").where("_box is not null")
+    asked = shapes.select(F.col("shape_id").alias("right_id"), "wkt").where(F.trim("wkt") != "")
     spots = points.select(F.col("point_id").alias("left_id"), px.alias("x"), py.alias("y")).where("x is not null and y is not null")
+    few = _among_few(spots, asked, boundary)
+    if few is not None:
+        return few.select(F.col("left_id").alias("point_id"), F.col("right_id").alias("shape_id"))
+    held = _boxes(asked, "wkt").where("_box is not null")
     pairs = candidates(spots.withColumn("_box", F.array("x", "y", "x", "y")), held, cell)
     found = _tested(pairs, spots, held.select("right_id", "wkt"), lambda shape, c: shape.holds(c[0].astype(float), c[1].astype(float), boundary), ["x", "y"])
     return found.select(F.col("left_id").alias("point_id"), F.col("right_id").alias("shape_id"))

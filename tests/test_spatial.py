@@ -20,7 +20,9 @@ def test_boundary_and_holes():
     assert shape.holds(x, y, boundary=True).tolist() == [True, False, True, True, False]
 
 
-def test_grid_join_equals_all_pairs(spark):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_joins_equal_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(spatial, "FEW", few)
     rng = np.random.default_rng(3)
     points = [(k, *map(float, rng.uniform(-5, 5, 2))) for k in range(300)] + [(999, None, 1.0)]
     shapes = []
@@ -91,3 +93,21 @@ def test_crs(spark):
     assert abs(east - 2_600_000) < 1.5 and abs(north - 1_200_000) < 1.5
     with pytest.raises(ValueError):
         geo.transform(F.col("e"), F.col("n"), 1, 2)
+
+
+def test_quarters_find_what_all_pairs_find():
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(0, 60, 3_000) / 4, rng.integers(0, 60, 3_000) / 4
+    shapes = [geo.Shape("POINT EMPTY"), geo.Shape("POINT(3 3)"), geo.Shape("LINESTRING(0 0,15 15)")]
+    for _ in range(60):
+        a, b = rng.integers(0, 50, 2) / 4
+        w, h = rng.integers(1, 30, 2) / 4
+        shapes.append(geo.Shape(f"POLYGON(({a} {b},{a + w} {b},{a + w} {b + h},{a} {b}))"))
+    for boundary in (True, False):
+        at, which = spatial.quartered(shapes, x, y, boundary)
+        got = set(zip(at.tolist(), which.tolist(), strict=True))
+        want = {(int(p), k) for k, s in enumerate(shapes) if s.rings for p in np.flatnonzero(s.holds(x, y, boundary))}
+        assert got == want and len(at) == len(got)
+    same = spatial.quartered([shapes[5]] * 30, np.full(50, 1.0), np.full(50, 1.0), True)
+    assert len(same[0]) in (0, 1_500)
+    assert all(len(a) == 0 for a in spatial.quartered([], x, y, True))
