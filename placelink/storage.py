@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -51,8 +53,8 @@ class Storage:
         finally:
             stream.close()
 
-    def write(self, name: str, content: str | bytes) -> None:
-        """Write a file so that readers see the old one or the new one, whole."""
+    def _part(self, name: str, content: str | bytes) -> str:
+        """A hidden file beside ``name`` with the content."""
         folder, _, own = name.rpartition("/")
         part = f"{folder}/.{own}-{uuid.uuid4().hex}" if folder else f".{own}-{uuid.uuid4().hex}"
         out = self._fs.create(self._at(part), True)
@@ -60,10 +62,39 @@ class Storage:
             out.write(bytearray(content.encode() if isinstance(content, str) else content))
         finally:
             out.close()
+        return part
+
+    def _rename(self, part: str, name: str, how: str) -> None:
         options = self._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        options[0] = getattr(self._jvm.org.apache.hadoop.fs.Options.Rename, how)
         self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at(name).toUri(), self._conf).rename(self._at(part), self._at(name), options)
 
+    def write(self, name: str, content: str | bytes) -> None:
+        """Write a file so that readers see the old one or the new one, whole."""
+        self._rename(self._part(name, content), name, "OVERWRITE")
+
+    def claim(self, name: str, content: str | bytes) -> bool:
+        """Write a file, whole, unless there is one; whether it is this one.
+
+        Of several writers one wins: on a local disk by a link, elsewhere by a
+        rename that does not overwrite, which must be atomic there as it is on HDFS.
+        """
+        if self.exists(name):
+            return False
+        part = self._part(name, content)
+        try:
+            if self.root.startswith("file:"):
+                os.link(self.path(part).removeprefix("file:"), self.path(name).removeprefix("file:"))
+            else:
+                self._rename(part, name, "NONE")
+        except (FileExistsError, Py4JJavaError):
+            if not self.exists(name):
+                raise
+            return False
+        finally:
+            self.delete(part)
+        return True
+
     def put(self, local: str, name: str) -> None:
         """Copy a file of this machine into the folder."""
         self._fs.copyFromLocalFile(False, True, self._jvm.org.apache.hadoop.fs.Path(f"file:{local}"), self._at(name))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placelink.modules import DictionaryRecognizer, FunctionRecognizer, HashEncoder, ManualRecognizer, ManualResolver, SimilarityResolver, WeightedEncoder
 from placelink.modules.resolvers import learned, window
-from placelink.catalog import Tables
+from placelink.catalog import Conflict, Tables
 from placelink.operators import annotate, spans
 from placelink.project import Linker, Project
 from placelink.sources import scan
@@ -61,6 +61,58 @@ def test_changes_at_the_same_time_and_replays(spark, tmp_path):
     assert a.read("recognition").count() == 2
 
 
+def test_many_changes_are_read_from_few_files(spark, tmp_path, monkeypatch):
+    tables = Tables(spark, str(tmp_path), "s")
+    row = lambda k: spark.createDataFrame([(str(k), "r")], "document_id string, recognizer_id string")
+    tables.append("recognition", row(1))
+    for k in range(130):
+        tables.commit({}, key=f"batch-{k}")
+    tables.append("recognition", row(2))
+    opened, real = [], tables.storage.read
+    monkeypatch.setattr(tables.storage, "read", lambda name: opened.append(name) or real(name))
+    assert sorted(r.document_id for r in tables.read("recognition").collect()) == ["1", "2"]
+    assert len(opened) <= 20 and len(tables.storage.names("_log")) <= 45
+    assert tables.committed("batch-0") and tables.committed("batch-129") and not tables.committed("batch-130")
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    from threading import Thread
+
+    both = [Tables(spark, str(tmp_path), "s") for _ in range(2)]
+    runs = [Thread(target=lambda t=t, n=n: [t.commit({}, key=f"{n}-{k}") for k in range(30)]) for n, t in enumerate(both)]
+    for r in runs:
+        r.start()
+    for r in runs:
+        r.join()
+    assert both[0]._load()[0] == 60 and both[0]._load()[2] == {f"{n}-{k}" for n in (0, 1) for k in range(30)}
+
+
+def test_upserts_touch_only_folders_with_their_keys(spark, tmp_path, monkeypatch):
+    a, b = (Tables(spark, str(tmp_path), "s") for _ in range(2))
+    rows = lambda *ks, by="r": spark.createDataFrame([(str(k), by) for k in ks], "document_id string, recognizer_id string")
+    for k in range(4):
+        a.append("recognition", rows(2 * k, 2 * k + 1))
+    before = a._state()["recognition"]
+    a.upsert("recognition", rows(3, 9, by="new"), ["document_id"])
+    after = a._state()["recognition"]
+    assert [f for f in before if f not in after] == [before[1]] and len(after) == 4
+    assert sorted(map(tuple, a.read("recognition").collect())) == sorted([(str(k), "new" if k == 3 else "r") for k in range(8)] + [("9", "new")])
+    # another writer changes the same folder while this one writes
+    real, raced = b.commit, []
+
+    def late(*args, **more):
+        if not raced:
+            raced.append(1)
+            a.upsert("recognition", rows(0, by="first"), ["document_id"])
+        return real(*args, **more)
+
+    monkeypatch.setattr(b, "commit", late)
+    b.upsert("recognition", rows(0, 1, by="second"), ["document_id"])
+    assert {r.document_id: r.recognizer_id for r in a.read("recognition").collect() if r.document_id in "01"} == {"0": "second", "1": "second"}
+    with pytest.raises(Conflict):
+        a.commit({}, drop=["recognition/gone"])
+
+
 def test_spans_that_are_moved(spark):
     tops = spark.createDataFrame([(1, 0, 4, "a"), (1, 10, 14, "b"), (1, 300, 310, "c")], "document_id long, start int, end int, loc_id string")
     changes = spark.createDataFrame([(1, 0, 4, 2, 6), (1, 10, 14, 5, 301), (1, 300, 310, 299, 305)], "document_id long, old_start int, old_end int, start int, end int")
