@@ -11,12 +11,13 @@ from __future__ import annotations
 import io
 import re
 import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,36 +25,93 @@ from placelink.modules.base import Recognizer
 from placelink.modules.sums import summed
 from placelink.modules.recognizers import SPANS
 from placelink.operators import spans
-from placelink.session import ship
+from placelink.session import scratch, ship
 from placelink.storage import Storage
 
-#: Hashed features, words of a sequence, and sequences that are decoded together.
-FEATURES, LONGEST, TOGETHER = 1 << 15, 64, 64
+#: Hashed features, words of a sequence, sequences that are learnt from together, those that are tagged together, and code
+#: points of texts that are cut into words together.
+FEATURES, LONGEST, TOGETHER, TAGGED, TEXTS = 1 << 15, 64, 64, 1024, 1 << 18
+#: Ahead of a place in a text: the number of the text.
+_TEXT = 1 << 40
 _WORD = re.compile(r"\w+|[^\w\s]")
 _END = re.compile(r"[.!?]\s|\n")
 
 
-@lru_cache(maxsize=100_000)
+_SHAPES = [(re.compile(r"\d"), "0"), (re.compile(r"[^\W\d_]"), "a"), (re.compile(r"(.)\1+"), r"\1")]
+_PREFIX = {k: zlib.crc32(f"{k} ".encode()) for k in "wsphba"}
+
+
+@lru_cache(maxsize=200_000)
 def _own(word: str, features: int) -> tuple[int, ...]:
     """Features of a word alone: itself, its ends, its shape; and of a word beside it."""
-    low, shape = word.lower(), re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", word))))
-    told = (f"w {low}", f"s {low[-3:]}", f"p {low[:3]}", f"h {shape}", f"b {low}", f"a {low}")
-    return tuple(zlib.crc32(t.encode()) % features for t in told)
+    low = word.lower()
+    if word.isalpha():
+        shape = "a"
+    else:
+        shape = word
+        for pattern, by in _SHAPES:
+            shape = pattern.sub(by, shape)
+    whole, crc, p = low.encode(), zlib.crc32, _PREFIX
+    ends = (crc(low[-3:].encode(), p["s"]), crc(low[:3].encode(), p["p"]), crc(shape.encode(), p["h"]))
+    return tuple(c % features for c in (crc(whole, p["w"]), *ends, crc(whole, p["b"]), crc(whole, p["a"])))
+
+
+class Words:
+    """Words of some texts, one after another: the text, start, end and sequence of each, and sizes of sequences."""
+
+    def __init__(self, texts: list[str]):
+        key: defaultdict[str, int] = defaultdict()
+        key.default_factory = key.__len__
+        ids, starts, counts, groups = [], [], [], []
+        for text in texts:
+            own = _WORD.findall(text)
+            ids += map(key.__getitem__, own)
+            starts += [m.start() for m in _WORD.finditer(text)]
+            counts.append(len(own))
+            groups.append([m.end() for m in _END.finditer(text)])
+        self.ids, self.known = np.array(ids, np.int64), list(key)
+        self.start = np.array(starts, np.int64)
+        self.end = self.start + np.array([len(w) for w in self.known], np.int64)[self.ids]
+        self.text = np.repeat(np.arange(len(texts)), counts)
+        ends = np.array([k * _TEXT + e for k, own in enumerate(groups) for e in own], np.int64)
+        # a sentence is told by how many ends lie before its words
+        group = np.searchsorted(ends, self.text * _TEXT + self.start, "right")
+        at = np.arange(len(self.ids))
+        new = np.ones(len(at), bool)
+        new[1:] = (group[1:] != group[:-1]) | (self.text[1:] != self.text[:-1])
+        self.first = new | ((at - np.maximum.accumulate(np.where(new, at, 0))) % LONGEST == 0)
+        self.sizes = np.diff(np.append(np.flatnonzero(self.first), len(at)))
+
+    def features(self, features: int = FEATURES) -> np.ndarray:
+        """The features of each word: its own four, one of the word before and one of the word after."""
+        told = np.array([_own(w, features) for w in self.known], np.int64).reshape(-1, 6)[self.ids]
+        edge = zlib.crc32(b"edge") % features
+        out = told.copy()
+        last = np.append(self.first[1:], True)[: len(out)]
+        out[1:, 4], out[:-1, 5] = told[:-1, 4], told[1:, 5]
+        out[self.first, 4], out[last, 5] = edge, edge
+        return out
+
+
+def _batched(texts: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """``(text, ...)`` rows by some ``TEXTS`` code points."""
+    held, size = [], 0
+    for row in texts:
+        held.append(row)
+        size += len(row[0])
+        if size >= TEXTS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def sequences(text: str) -> list[list[tuple[int, int]]]:
     """Words as (start, end), cut at ends of sentences and at ``LONGEST`` words."""
-    out: list[list[tuple[int, int]]] = [[]]
-    ends = [m.end() for m in _END.finditer(text)] + [len(text) + 1]
-    at = 0
-    for m in _WORD.finditer(text):
-        new = m.start() >= ends[at]
-        while m.start() >= ends[at]:
-            at += 1
-        if (new or len(out[-1]) == LONGEST) and out[-1]:
-            out.append([])
-        out[-1].append(m.span())
-    return [s for s in out if s]
+    words = Words([text])
+    spans_ = list(zip(words.start.tolist(), words.end.tolist(), strict=True))
+    ends = np.cumsum(words.sizes).tolist()
+    return [spans_[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
 
 def featured(text: str, words: list[tuple[int, int]], features: int = FEATURES) -> np.ndarray:
@@ -86,87 +144,158 @@ class Tagger:
         return cls(kinds, flat[: FEATURES * n].reshape(FEATURES, n).copy(), flat[FEATURES * n :].reshape(n + 1, n).copy())
 
     def decode(self, held: list[np.ndarray]) -> list[np.ndarray]:
-        """The best labels of sequences of features, all at once step by step."""
-        longest, n = max(map(len, held)), self.after.shape[1]
-        emitted = np.zeros((len(held), longest, n))
+        """The best labels of sequences of features."""
         size = np.array([len(f) for f in held])
-        emitted[np.arange(longest) < size[:, None]] = self.weights[np.concatenate(held)].sum(axis=1)
+        return np.split(self.best(np.concatenate(held), size), np.cumsum(size)[:-1])
+
+    def best(self, features: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The best labels of sequences of these sizes, one after another; all at once step by step, longest first."""
+        order = np.argsort(-size, kind="stable")
+        live = np.searchsorted(-size[order], -np.arange(int(size.max())), "left").tolist()  # sequences longer than each place
+        ends = np.append(0, np.cumsum(live))
+        rank = np.empty(len(size), np.int64)
+        rank[order] = np.arange(len(size))
+        place = np.arange(len(features)) - np.repeat(np.cumsum(size) - size, size)
+        at = ends[place] + np.repeat(rank, size)  # words lie by place, then by sequence
+        emitted = np.empty((len(features), self.after.shape[1]))
+        emitted[at] = self.weights[features].sum(axis=1)
         step = self.after + self.banned
-        score = emitted[:, 0] + step[-1]
-        back = np.zeros((len(held), longest, n), np.int64)
-        for t in range(1, longest):
-            each = score[:, :, None] + step[None, :-1]
-            best = each.argmax(axis=1)
-            back[:, t] = best
-            score = np.where((t < size)[:, None], np.take_along_axis(each, best[:, None], axis=1)[:, 0] + emitted[:, t], score)
-        out = []
-        for k, m in enumerate(size.tolist()):
-            labels = np.zeros(m, np.int64)
-            labels[-1] = score[k].argmax()
-            for t in range(m - 1, 0, -1):
-                labels[t - 1] = back[k, t, labels[t]]
-            out.append(labels)
-        return out
+        into = np.ascontiguousarray(step[:-1].T)
+        starts = ends.tolist()
+        score = emitted[: live[0]] + step[-1]
+        back: list[np.ndarray] = []
+        for k, i, j in zip(live[1:], starts[1:], starts[2:], strict=False):
+            each = score[:k, None, :] + into
+            back.append(each.argmax(axis=2))
+            np.max(each, axis=2, out=score[:k])
+            score[:k] += emitted[i:j]
+        now = score.argmax(axis=1)  # labels at the place of those that reach it, at their last one of the others
+        labels = np.empty(len(features), np.int64)
+        rows = np.arange(len(size))
+        for t in range(len(live) - 1, 0, -1):
+            k = live[t]
+            labels[starts[t] : starts[t + 1]] = now[:k]
+            now[:k] = back[t - 1][rows[:k], now[:k]]
+        labels[: live[0]] = now
+        return labels[at]
+
+    def found(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Spans of all texts: the text's number, start, end and kind of each."""
+        out = [(np.zeros(0, np.int64),) * 4]
+        done = 0
+        for held in _batched((t,) for t in texts):
+            words = Words([t for (t,) in held])
+            if len(words.ids):
+                cuts = np.append(np.cumsum(words.sizes)[TAGGED - 1 :: TAGGED], len(words.ids))
+                features, labels, at = words.features(), np.zeros(len(words.ids), np.int64), 0
+                for k, end in enumerate(cuts.tolist()):
+                    if end > at:
+                        labels[at:end] = self.best(features[at:end], words.sizes[k * TAGGED : (k + 1) * TAGGED])
+                    at = end
+                here, last = self._ends(labels)
+                out.append((words.text[here] + done, words.start[here], words.end[last], labels[here] // 2))
+            done += len(held)
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
     def tag(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """Labelled spans of each text."""
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        waiting: list[tuple[int, list[tuple[int, int]], np.ndarray]] = []
-
-        def told() -> None:
-            for (k, words, _), labels in zip(waiting, self.decode([f for *_, f in waiting]), strict=True):
-                out[k] += self._spans(words, labels)
-            waiting.clear()
-
-        for k, text in enumerate(texts):
-            for words in sequences(text):
-                waiting.append((k, words, featured(text, words)))
-                if len(waiting) == TOGETHER:
-                    told()
-        if waiting:
-            told()
+        for k, a, b, kind in zip(*(c.tolist() for c in self.found(texts)), strict=True):
+            out[k].append((a, b, self.kinds[kind]))
         return out
 
+    @staticmethod
+    def _ends(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the first and of the last word of each span."""
+        other = np.flatnonzero((labels % 2 == 1) | (labels == 0))  # all but words that continue a span
+        last = np.append(other[1:], len(labels)) - 1
+        begun = labels[other] % 2 == 1
+        return other[begun], last[begun]
+
     def _spans(self, words: list[tuple[int, int]], labels: np.ndarray) -> list[tuple[int, int, str]]:
-        out: list[tuple[int, int, str]] = []
-        for (a, b), label in zip(words, labels.tolist(), strict=True):
-            if label % 2:
-                out.append((a, b, self.kinds[label // 2]))
-            elif label:
-                out[-1] = (out[-1][0], b, out[-1][2])
-        return out
+        return [(words[i][0], words[j][1], self.kinds[labels[i] // 2]) for i, j in zip(*(c.tolist() for c in self._ends(labels)), strict=True)]
 
     def gold(self, words: list[tuple[int, int]], entities: list) -> np.ndarray:
-        """Labels of words by entities in order; a word is in an entity that it overlaps."""
-        labels = np.zeros(len(words), np.int64)
-        at, inside = 0, False
-        for k, (a, b) in enumerate(words):
-            while at < len(entities) and entities[at]["end"] <= a:
-                at, inside = at + 1, False
-            if at < len(entities) and entities[at]["start"] < b and entities[at]["label"] in self.kinds:
-                labels[k] = 1 + 2 * self.kinds.index(entities[at]["label"]) + inside
-                inside = True
-        return labels
-
-    def learn(self, batches: Iterator[tuple[list[np.ndarray], list[np.ndarray]]]) -> tuple[np.ndarray, int]:
-        """Averaged weights after an epoch over ``(features, labels)``, times the number of sequences, and that number."""
+        """Labels of the words of a sequence by entities in order; a word is in an entity that it overlaps."""
+        a, b = np.array(words, np.int64).reshape(-1, 2).T
+        first = np.zeros(len(words), bool)
+        first[:1] = True
+        kind = np.array([self.kinds.index(e["label"]) if e["label"] in self.kinds else -1 for e in entities], np.int64)
+        return self.labels(a, b, first, *(np.array([e[k] for e in entities], np.int64) for k in ("start", "end")), kind)
+
+    @staticmethod
+    def labels(a: np.ndarray, b: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Labels of words from ``a`` to ``b``, in order, by entities in order; ``first`` words begin sequences."""
+        out = np.zeros(len(a), np.int64)
+        if not len(start) or not len(a):
+            return out
+        at = np.searchsorted(np.maximum.accumulate(end), a, "right")  # the first entity that ends behind the word's start
+        own = np.minimum(at, len(start) - 1)
+        held = (at < len(start)) & (start[own] < b) & (kind[own] >= 0)
+        inside = np.zeros(len(a), bool)
+        inside[1:] = held[:-1] & (at[1:] == at[:-1]) & ~first[1:]
+        out[held] = 1 + 2 * kind[own[held]] + inside[held]
+        return out
+
+    def learn(self, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, int]:
+        """Averaged weights after an epoch over ``(features, labels, sizes)``, times the number of sequences, and that number."""
         late_w, late_a, steps, count = np.zeros_like(self.weights), np.zeros_like(self.after), 1, 0
-        for held, gold in batches:
-            for f, want, got in zip(held, gold, self.decode(held), strict=True):
-                wrong = np.flatnonzero(want != got)
-                if len(wrong):
-                    for labels, by in ((want, 1.0), (got, -1.0)):
-                        at = (f[wrong], labels[wrong][:, None])
-                        np.add.at(self.weights, at, by)
-                        np.add.at(late_w, at, by * steps)
-                        path = (np.concatenate([[len(self.after) - 1], labels[:-1]]), labels)
-                        np.add.at(self.after, path, by)
-                        np.add.at(late_a, path, by * steps)
-            count += len(held)
+        n = self.after.shape[1]
+        for features, want, size in batches:
+            got = self.best(features, size)
+            wrong = np.flatnonzero(want != got)
+            if len(wrong):
+                seq = np.repeat(np.arange(len(size)), size)
+                first = np.cumsum(size) - size
+                before = np.empty((2, len(want)), np.int64)
+                for row, labels in zip(before, (want, got), strict=True):
+                    row[1:], row[first] = labels[:-1], n
+                of = np.zeros(len(size), bool)
+                of[seq[wrong]] = True
+                path = np.flatnonzero(of[seq])
+                for at, cells, weights, late in ((wrong, None, self.weights, late_w), (path, before, self.after, late_a)):
+                    # sequence by sequence, what is wanted before what was found: sums round as if one by one
+                    order = np.argsort(np.concatenate([2 * seq[at], 2 * seq[at] + 1]), kind="stable")
+                    to = np.concatenate([want[at], got[at]])
+                    cell = np.concatenate([features[at]] * 2) * n + to[:, None] if cells is None else (cells[:, at].ravel() * n + to)[:, None]
+                    by = np.repeat(np.where(order < len(at), 1.0, -1.0), cell.shape[1])
+                    np.add.at(weights.reshape(-1), cell[order].ravel(), by)
+                    np.add.at(late.reshape(-1), cell[order].ravel(), by * steps)
+            count += len(size)
             steps += 1
         mean = np.concatenate([(self.weights - late_w / steps).ravel(), (self.after - late_a / steps).ravel()])
         return mean * count, count
 
+    def drawn(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(features, labels, sizes)`` of ``TOGETHER`` sequences at a time of ``batches(text, entities)``."""
+        kept = (np.zeros((0, 6), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        kinds = pa.array(self.kinds, pa.string())
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                listed = batch.column(1)
+                flat = listed.flatten()
+                size = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)
+                ends = np.cumsum(size)
+                start, end = (pc.struct_field(flat, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "end"))
+                kind = pc.fill_null(pc.index_in(pc.struct_field(flat, "label"), value_set=kinds), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                for text, i, j in zip(batch.column(0).to_pylist(), (ends - size).tolist(), ends.tolist(), strict=True):
+                    yield text, start[i:j], end[i:j], kind[i:j]
+
+        for held in _batched(rows()):
+            words = Words([r[0] for r in held])
+            shift = words.text * _TEXT
+            start, end = (np.concatenate([k * _TEXT + r[c] for k, r in enumerate(held)]) for c in (1, 2))
+            labels = self.labels(shift + words.start, shift + words.end, words.first, start, end, np.concatenate([r[3] for r in held]))
+            kept = tuple(np.concatenate(c) for c in zip(kept, (words.features(), labels, words.sizes), strict=True))
+            ends, full = np.append(0, np.cumsum(kept[2])), len(kept[2]) // TOGETHER * TOGETHER
+            for k in range(0, full, TOGETHER):
+                own = slice(ends[k], ends[k + TOGETHER])
+                yield kept[0][own], kept[1][own], kept[2][k : k + TOGETHER]
+            kept = kept[0][ends[full] :], kept[1][ends[full] :], kept[2][full:]
+        if len(kept[2]):
+            yield kept
+
     def save(self, spark, path: str) -> None:
         out = io.BytesIO()
         np.savez_compressed(out, weights=self.weights, after=self.after, kinds=np.array(self.kinds))
@@ -183,34 +312,25 @@ def train(examples: DataFrame, kinds: list[str], epochs: int = 4) -> Tagger:
 
     Entities of other kinds count as none; null texts are left out.
     """
-    rows = examples.where("text is not null").select("text", "entities")
+    spark = examples.sparkSession
+    store = Storage(spark, scratch(spark, "training"))
+    ship(spark)
+    examples.where("text is not null").select("text", "entities").write.parquet(store.path("set"))  # read once an epoch
+    rows = spark.read.parquet(store.path("set"))
     tagger = Tagger(kinds)
     for _ in range(epochs):
         begun = tagger.flat
 
         def epoch(batches: Iterator[pa.RecordBatch], begun: np.ndarray = begun) -> np.ndarray | None:
-            own, count = Tagger.of(kinds, begun), 0
-
-            def drawn() -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
-                held, gold = [], []
-                for batch in batches:
-                    for text, entities in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                        for words in sequences(text):
-                            held.append(featured(text, words))
-                            gold.append(own.gold(words, entities or []))
-                            if len(held) == TOGETHER:
-                                yield held, gold
-                                held, gold = [], []
-                if held:
-                    yield held, gold
-
-            total, count = own.learn(drawn())
+            own = Tagger.of(kinds, begun)
+            total, count = own.learn(own.drawn(batches))
             return np.append(total, count) if count else None
 
         total = summed(rows, epoch, len(begun) + 1)
         if not total[-1]:
             raise ValueError("no training examples: there are no texts")
         tagger = Tagger.of(kinds, total[:-1] / total[-1])
+    store.delete("set")
     return tagger
 
 
@@ -230,12 +350,16 @@ class TaggerRecognizer(Recognizer):
         ship(documents.sparkSession)
         tagger = self.tagger
 
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kind = dict(documents.dtypes)["document_id"]
+        kinds = pa.array(tagger.kinds, pa.string())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pd.Series([[{"start": a, "end": b, "label": k} for a, b, k in s] for s in tagger.tag(batch.fillna("").tolist())], dtype=object)
+                at, start, end, label = tagger.found(pc.fill_null(batch.column(1), "").to_pylist())
+                columns = [batch.column(0).take(pa.array(at)), pa.array(start, pa.int32()), pa.array(end, pa.int32()), kinds.take(pa.array(label))]
+                yield pa.RecordBatch.from_arrays(columns, ["document_id", "start", "end", "label"])
 
-        each = documents.select("document_id", F.explode(F.pandas_udf(run, "array<struct<start:int,end:int,label:string>>")(F.col("text"))).alias("e"))
-        return each.select("document_id", "e.start", "e.end", "e.label")
+        return documents.select("document_id", "text").mapInArrow(run, f"document_id {kind}, start int, `end` int, label string")
 
     def predict(self, documents: DataFrame) -> DataFrame:
         found = spans.of_types(self.entities(documents), self.config["entity_types"])

@@ -158,3 +158,31 @@ def test_towers_beat_hashed_trigrams_on_held_out_pairs(spark, tmp_path):
     assert np.allclose(contexts.vector, fitted.encoder.context([contexts.context])[0], atol=1e-6)
     with pytest.raises(ValueError):
         trained(pairs(spark, range(3)).where("label = 0"))
+
+
+def test_words_after_words_are_told_without_a_join(spark):
+    rows = [(0, "the cat  de  la ville the"), (1, None), (2, ""), (3, "the the end"), (4, "naïve la Zürich"), (5, "xthe y")]
+    found = spans.following(spark.createDataFrame(rows, "document_id long, text string"), ["the", "de", "la"])
+    assert "Exchange" not in found._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 4, 7, "the"), (0, 16, 21, "la"), (3, 4, 7, "the"), (3, 8, 11, "the"), (4, 9, 15, "la")]
+
+
+def test_training_reads_examples_once_and_in_few_steps(spark):
+    """Epochs go over a stored set, and what is learnt does not depend on how texts come in batches."""
+    import pyarrow as pa
+
+    from placelink.modules import tagger as G
+
+    texts = [f"We met in the town{k % 7} of Old Hill. Then le parc{k % 5}, " + "and so on " * (k % 40) for k in range(400)]
+    entities = [[{"start": t.index("town"), "end": t.index(" of"), "label": "A"}, {"start": t.index("parc"), "end": t.index("parc") + 5, "label": "B"}] for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(entities)], ["text", "entities"])
+    whole, parts = G.Tagger(["A", "B"]), G.Tagger(["A", "B"])
+    one = whole.learn(whole.drawn(iter([batch])))
+    two = parts.learn(parts.drawn(iter([batch.slice(0, 7), batch.slice(7, 0), batch.slice(7)])))
+    assert one[1] == two[1] == sum(len(sequences(t)) for t in texts) and (one[0] == two[0]).all()
+    fitted = G.Tagger.of(["A", "B"], one[0] / one[1])
+    for _ in range(4):
+        total, count = fitted.learn(fitted.drawn(iter([batch])))
+        fitted = G.Tagger.of(["A", "B"], total / count)
+    assert fitted.tag(texts) == [s for t in texts for s in fitted.tag([t])]
+    assert any(fitted.tag(texts))
