@@ -41,8 +41,14 @@ def _phrase_hits(indexed: DataFrame, phrases: DataFrame) -> DataFrame:
 
 
 def tiered(scored: DataFrame, names: DataFrame, limit: int, tiers: int, digits: int = 9) -> DataFrame:
-    """Limit on the name rows of a query, then dense ranks, then the best row of each feature."""
-    rows = scored.join(names.select("name", "feature_id"), "name")
+    """Limit on the name rows of a query, then dense ranks, then the best row of each feature.
+
+    ``scored(qid, name, score)`` has a row a query and name.  All rows of a name
+    score alike there, so only its first ``limit`` ones go on.
+    """
+    first = Window.partitionBy("name").orderBy("feature_id")
+    few = names.select("name", "feature_id").where("name is not null").withColumn("place", F.row_number().over(first)).where(F.col("place") <= limit).drop("place")
+    rows = scored.join(few, "name")
     rows = rows.withColumn("score", F.round("score", digits))
     near = Window.partitionBy("qid").orderBy("score", "feature_id", "name")
     rows = rows.withColumn("place", F.row_number().over(near)).where(F.col("place") <= limit)
