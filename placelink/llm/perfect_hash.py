@@ -163,6 +163,17 @@ def read_rows(path: str, column: str, first: int, last: int) -> pa.Table:
     return held.to_table(filter=(ds.field(column) >= first) & (ds.field(column) < last), use_threads=False)
 
 
+def read_batches(path: str, columns: list[str], rows: int) -> Iterator[pa.RecordBatch]:
+    """A table in the shared folder, file by file, ``rows`` at a time."""
+    import pyarrow.dataset as ds
+    import pyarrow.parquet as pq
+
+    store, at = open_store(path)
+    for file in ds.dataset(at, filesystem=store, format="parquet").files:
+        with store.open_input_file(file) as f:
+            yield from pq.ParquetFile(f).iter_batches(rows, columns=columns, use_threads=False)
+
+
 def load(path: str, bits: int, first: int, last: int) -> Slots:
     """The shards that a task looks up; they go with it, as idle workers would hold on to them."""
     return Slots(read_rows(path, "shard", first, last), bits, first, last)

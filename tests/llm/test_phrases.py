@@ -1,13 +1,17 @@
+import os
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import SparkFiles
 
 from placelink.llm import perfect_hash as H
 from placelink.llm import phrases
+from placelink.llm.common import table
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -133,3 +137,24 @@ def test_every_key_has_a_slot_of_its_own():
     assert (half.find(keys)[shard < 4] == -1).all() and sorted(half.find(keys)[shard >= 4].tolist()) == list(range((shard >= 4).sum()))
     with pytest.raises(ValueError):
         H.build(tuple(np.zeros(2, np.uint64) for _ in range(3)))
+
+
+def test_bit_maps_are_mapped_not_held(spark):
+    bits, width = 26, 1 << (phrases.BLOCK_BITS - 3)
+    rng, paths = np.random.default_rng(3), []
+    want = np.zeros(1 << (bits - 3), np.uint8)
+    for k in (5, 0, 1023):
+        want[k * width : (k + 1) * width] = rng.integers(0, 256, width)
+    rows = [(k, bytearray(want[k * width : (k + 1) * width].tobytes())) for k in (5, 0, 1023)]
+    for _ in range(phrases.MAPS_HELD + 2):
+        paths.append(table(spark.createDataFrame(rows, "block long, map binary"), "map")._placelink_path)
+    at = np.concatenate([rng.integers(0, 1 << bits, 1000), rng.integers(0, width * 8, 1000), rng.integers(1 << bits - 1, 1 << bits, 9), [0, (1 << bits) - 1]])
+    tracemalloc.start()
+    for path in [*paths, paths[0]]:  # the first is gone from the folder by then, and comes again
+        got = phrases.bit_map(path, bits)[at]
+        assert (got == ((want[at >> 3] >> (at & 7)) & 1 == 1)).all() and got.any()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 21, peak  # a map is 8 MB
+    files = [f for f in os.listdir(SparkFiles.getRootDirectory()) if f.startswith("placelink-map-")]
+    assert 0 < len(files) <= phrases.MAPS_HELD and not any(f.endswith(".part") for f in files)
