@@ -8,9 +8,10 @@ have it as a neighbour are compared with each other, unless both were there the
 round before, and whoever finds a nearer neighbour takes it.  A query walks the
 graph: it scores the neighbours of the best nodes it has seen until its best
 nodes are all expanded.  How many best nodes that are is measured: for a few
-queries all vectors are compared, and the walks of all queries go on with
-twice as many until those few find what they should.  Where that would take as
-many as there are vectors, all queries are compared with all vectors, by blocks.
+queries all vectors are compared, and their walks go on with twice as many until
+they find what they should; all queries walk with as many then, and are measured
+again.  Where that would take as many as there are vectors, all queries are
+compared with all vectors, by blocks.
 
 Nodes are numbered in a hash order, so near nodes have near numbers.  Descent
 and walk work cell by cell of these numbers: a cell gets each vector that it
@@ -47,6 +48,8 @@ EDGES = 500_000
 #: Best nodes that a query expands at first, best nodes scored exactly for each answer.  Walks end when
 #: nothing is left to expand; the steps only bound them for safety.
 BEAM, RESCORED, STEPS = 32, 2, 1_000
+#: Best nodes that a walk keeps for each of its beam: a beam twice as wide has no other ones.
+KEPT = 2
 #: Queries by which the beam is measured, the share of their answers that must be found, and bytes of queries that are
 #: compared with all vectors at a time where no beam finds it.
 CHECKED, TARGET, SCANNED = 64, 0.95, 8 << 20
@@ -292,8 +295,11 @@ def _front(s: np.ndarray, ids: np.ndarray, done: np.ndarray, beam: int) -> np.nd
     return best[done[best] == 0]
 
 
-def walk_step(rows: pa.Table, beam: int) -> Iterator[pa.RecordBatch]:
-    """One step of the walks of a cell: its states, the lists of the nodes they expand and the vectors of those."""
+def walk_step(rows: pa.Table, beam: int, keep: int | None) -> Iterator[pa.RecordBatch]:
+    """One step of the walks of a cell: its states, the lists of the nodes they expand and the vectors of those.
+
+    A walk keeps its ``keep`` best nodes; one that falls behind those is not expanded any more, whether it is met again or not.
+    """
     code = rows.filter(rows.column("code").is_valid())
     known = code.column("id").to_numpy()
     order = np.argsort(known)
@@ -316,7 +322,9 @@ def walk_step(rows: pa.Table, beam: int) -> Iterator[pa.RecordBatch]:
             ids, s = np.concatenate([ids, reached]), np.concatenate([s, (x[at] @ own) * scale[at]])
             # a node of the front that was scored only now has been expanded too
             done = np.concatenate([done, np.isin(reached, state["front"]).astype(np.uint8)])
-        front = ids[_front(s, ids, done, beam)].tolist()
+        best = np.lexsort((ids, -s))[:keep]
+        ids, s, done = ids[best], s[best], done[best]
+        front = ids[:beam][done[:beam] == 0].tolist()
         out.append(state | {"front": front, "fresh": [], "ids": ids.astype("<i8").tobytes(), "s": s.astype("<f8").tobytes(), "done": done.tobytes()})
     for at in range(0, len(out), 64):
         yield pa.RecordBatch.from_pylist(out[at : at + 64], _STATE_SCHEMA)
@@ -325,17 +333,17 @@ def walk_step(rows: pa.Table, beam: int) -> Iterator[pa.RecordBatch]:
 _STATE_SCHEMA = pa.schema([("cell", pa.int64()), ("q", pa.int64()), ("v", pa.binary()), ("front", pa.list_(pa.int64())), ("fresh", pa.list_(pa.int64())), ("ids", pa.binary()), ("s", pa.binary()), ("done", pa.binary())])
 
 
-def search(near: DataFrame, codes: DataFrame, state: DataFrame, beam: int, steps: int = STEPS) -> DataFrame:
+def search(near: DataFrame, codes: DataFrame, state: DataFrame, beam: int, keep: int | None = None, steps: int = STEPS) -> DataFrame:
     """``state`` when no walk has a node left to expand among its ``beam`` best.
 
     ``near(a, ids)`` is the graph over ``codes(id, code)``.  ``state`` has a row
     a query: its cell, the vector divided by its largest component, nodes to
-    expand and to score, and the nodes it has scored, as packed arrays.
+    expand and to score, and the ``keep`` best nodes it has scored (all without ``keep``), as packed arrays.
     """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in runs(batches, 1):
-            yield from walk_step(own, beam)
+            yield from walk_step(own, beam, keep)
 
     ended, live = None, state
     for _ in range(steps):
@@ -464,12 +472,15 @@ def walk(rows: DataFrame, largest: float, k: int, every: int) -> DataFrame:
             rows_ = [{"cell": c, "q": q, "v": x.tobytes(), "front": [q], "fresh": sorted({q, *entries}), "ids": b"", "s": b"", "done": b""} for c, q, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), v, strict=True)]
             yield pa.RecordBatch.from_pylist(rows_, _STATE_SCHEMA)
 
-    state = table(asked.select(F.floor(F.col("q") / size).alias("cell"), "q", "v").mapInArrow(begin, _STATE), "walk")
+    def begun(queries: DataFrame) -> DataFrame:
+        return table(queries.select(F.floor(F.col("q") / size).alias("cell"), "q", "v").mapInArrow(begin, _STATE), "walk")
+
     sample = asked.orderBy(F.xxhash64("q"), "q").limit(CHECKED).collect()
     least, beam, whole = floors(codes, sample, k) if sample else {}, BEAM, None
+    state, all_walk = begun(asked.where(F.col("q").isin(list(least)))), False
     while True:
-        state = table(search(near, codes, state, beam), "walks")
         most = RESCORED * (k + 1) * beam // BEAM
+        state = table(search(near, codes, state, beam, max(KEPT * beam, 2 * most)), "walks")
         own = best_seen(state.where(F.col("q").isin(list(least))), most)
         hits: dict[int, int] = dict.fromkeys(least, 0)
         for r in exactly(own.where("q <> id"), codes, asked).collect():
@@ -477,7 +488,10 @@ def walk(rows: DataFrame, largest: float, k: int, every: int) -> DataFrame:
             hits[r["q"]] += r["score"] >= low - 1e-9 * abs(low)
         wanted = sum(c for _, c in least.values())
         if sum(min(hits[q], c) for q, (_, c) in least.items()) >= TARGET * wanted:
-            break
+            if all_walk:
+                break
+            state, all_walk = begun(asked), True
+            continue
         if 8 * beam >= count:  # a wider beam would see most of what there is
             whole = in_blocks(codes, asked, k + 1).union(asked.select("q", F.col("q").alias("id")))
             break

@@ -275,3 +275,18 @@ def test_the_check_leaves_out_the_query_itself(spark):
     asked = points.selectExpr("id as q", "v").where("q in (2, 5)").collect()
     assert ann.floors(points, asked, 2) == {2: (9.0, 2), 5: (16.0, 2)}
     assert ann.floors(points, asked, 9) == {2: (3.0, 4), 5: (6.0, 4)}
+
+
+def test_a_walk_holds_its_best_nodes_only(spark):
+    x = np.random.default_rng(4).standard_normal((600, 8)).astype(np.float32)
+    x /= np.abs(x).max()
+    codes = spark.createDataFrame(list(enumerate(ann._codes(x))), "id long, code binary")
+    near = spark.createDataFrame([(k, np.argsort(-(x @ x[k]))[:12].tolist()) for k in range(600)], "a long, ids array<long>")
+    state = spark.createDataFrame([(0, q, bytearray((x[q] / np.abs(x[q]).max()).tobytes()), [q], [q], b"", b"", b"") for q in (7, 300)], ann._STATE)
+    told = []
+    for keep in ({}, {"keep": 16}):
+        rows = ann.search(near, codes, state, beam=8, **keep).orderBy("q").collect()
+        assert all(r.front == [] for r in rows)
+        told.append([list(zip((-np.frombuffer(r.s, "<f8")).tolist(), np.frombuffer(r.ids, "<i8").tolist(), strict=True)) for r in rows])
+    assert all(len(seen) > 16 for seen in told[0])
+    assert told[1] == [sorted(seen)[:16] for seen in told[0]]
