@@ -24,7 +24,7 @@ from placelink.llm.vectors import runs
 SHARD_KEYS, GAMMA = 1 << 16, 2.0
 _LEVELS = 200
 
-SCHEMA = "shard long, n long, sizes array<long>, bits binary, k1 binary, k2 binary, k3 binary"
+SCHEMA = "shard long, n long, sizes array<long>, bits binary, k1 binary, k2 binary, k3 binary, c binary"
 
 
 @lru_cache(maxsize=1024)
@@ -75,28 +75,46 @@ def shards_for(count: int) -> int:
     return max(0, (-(-count // SHARD_KEYS) - 1).bit_length())
 
 
-def sharded(keys: DataFrame, bits: int) -> DataFrame:
-    """The shards of distinct ``keys(k1, k2, k3)``, one row each."""
+def sharded(seen: DataFrame, bits: int) -> DataFrame:
+    """The shards of the keys of ``seen(k1, k2, k3, c)``, one row each, with the sums of their ``c`` by slot; keys may come more than once."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = tuple(c.to_numpy().view(np.uint64) for c in batch.columns)
-            yield pa.RecordBatch.from_arrays([pa.array(top(mix(own, 0), bits)), *batch.columns], ["shard", "k1", "k2", "k3"])
+            own = tuple(c.to_numpy().view(np.uint64) for c in batch.columns[:3])
+            yield pa.RecordBatch.from_arrays([pa.array(top(mix(own, 0), bits)), *batch.columns], ["shard", "k1", "k2", "k3", "c"])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches, 1):
-            own = tuple(run[c].to_numpy().view(np.uint64) for c in ("k1", "k2", "k3"))
+            rows = tuple(run[c].to_numpy().view(np.uint64) for c in ("k1", "k2", "k3"))
+            own, key = _each_once(rows)
             sizes, words, order = build(own)
+            slot = np.empty(len(order), np.int64)
+            slot[order] = np.arange(len(order))
+            total = np.zeros(len(order), np.int64)
+            np.add.at(total, slot[key], run["c"].to_numpy())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([run["shard"][0].as_py()]), pa.array([len(order)]), pa.array([sizes], pa.list_(pa.int64())), pa.array([words.tobytes()], pa.binary())] + [pa.array([k[order].tobytes()], pa.binary()) for k in own],
-                ["shard", "n", "sizes", "bits", "k1", "k2", "k3"],
+                [pa.array([run["shard"][0].as_py()]), pa.array([len(order)]), pa.array([sizes], pa.list_(pa.int64())), pa.array([words.tobytes()], pa.binary())]
+                + [pa.array([k.tobytes()], pa.binary()) for k in (*(k[order] for k in own), total)],
+                ["shard", "n", "sizes", "bits", "k1", "k2", "k3", "c"],
             )
 
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = keys.select(*(F.col(c).cast("long") for c in ("k1", "k2", "k3"))).mapInArrow(dealt, "shard long, k1 long, k2 long, k3 long")
+    n = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = seen.select(*(F.col(c).cast("long") for c in ("k1", "k2", "k3", "c"))).mapInArrow(dealt, "shard long, k1 long, k2 long, k3 long, c long")
     return each.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(made, SCHEMA)
 
 
+def _each_once(keys: tuple[np.ndarray, ...]) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Distinct keys, and the number of the key of each row."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return tuple(k[order[new]] for k in keys), which
+
+
 def joined(rows: pa.Table, column: str, kind: str) -> np.ndarray:
     """The numbers of a binary column of a table in one chunk, one row after another, as they lie in memory."""
     held = rows.column(column)
@@ -128,6 +146,7 @@ class Slots:
         self.rank = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words).astype(np.int64))])
         self.keys = tuple(joined(rows, k, "<u8") for k in ("k1", "k2", "k3"))
         self.n = len(self.keys[0])
+        self.counts = joined(rows, "c", "<i8") if "c" in rows.column_names else None
 
     def find(self, keys: tuple[np.ndarray, ...]) -> np.ndarray:
         """The slots of ``keys`` (fewer than three words: the rest are zero); -1 where a key is not here."""
@@ -154,15 +173,6 @@ class Slots:
         return out
 
 
-def read_rows(path: str, column: str, first: int, last: int) -> pa.Table:
-    """Rows of a table in the shared folder with ``first <= column < last``."""
-    import pyarrow.dataset as ds
-
-    store, at = open_store(path)
-    held = ds.dataset(at, filesystem=store, format="parquet")
-    return held.to_table(filter=(ds.field(column) >= first) & (ds.field(column) < last), use_threads=False)
-
-
 def read_batches(path: str, columns: list[str], rows: int) -> Iterator[pa.RecordBatch]:
     """A table in the shared folder, file by file, ``rows`` at a time."""
     import pyarrow.dataset as ds
@@ -172,8 +182,3 @@ def read_batches(path: str, columns: list[str], rows: int) -> Iterator[pa.Record
     for file in ds.dataset(at, filesystem=store, format="parquet").files:
         with store.open_input_file(file) as f:
             yield from pq.ParquetFile(f).iter_batches(rows, columns=columns, use_threads=False)
-
-
-def load(path: str, bits: int, first: int, last: int) -> Slots:
-    """The shards that a task looks up; they go with it, as idle workers would hold on to them."""
-    return Slots(read_rows(path, "shard", first, last), bits, first, last)

@@ -63,6 +63,36 @@ def test_equals_brute_force(spark, monkeypatch, small):
     assert got == want and len(want) > 100 and {r[0] for r in want} == {"en", "de", "und", "only"}
 
 
+def test_more_shards_take_no_more_passes(spark, monkeypatch):
+    rows = some(120, 3)
+    df = spark.createDataFrame(rows, "text string, lang string")
+    real, made = phrases.table, []
+    monkeypatch.setattr(phrases, "table", lambda rows, name: made.append(name) or real(rows, name))
+    told = []
+    for keys in (1 << 16, 64):
+        monkeypatch.setattr(H, "SHARD_KEYS", keys)
+        for name, value in (("PASS_KEYS", 64), ("KEYS", 16), ("MERGED", keys // 2)):
+            monkeypatch.setattr(phrases, name, value)
+        made.clear()
+        told.append((sorted(tuple(r) for r in phrases.mine(df, least=4).collect()), list(made)))
+    assert told[0] == told[1] and told[0][0] == plain(rows, 4, 50, 2000)
+
+
+def test_words_are_those_of_the_rule_and_their_hashes_depend_on_all():
+    texts = ["", "A b\tc.d\n", "  ", "Ünder\x0bx", "." * 3, "word"]
+    for end in (False, True):
+        own, at = phrases._split(pa.array(texts, pa.string()), end)
+        want = [[w for w in re.findall("[^ \t]+", piece)] for t in texts for piece in re.split("[.,;:!?\n-\r]", t.translate(LOW))]
+        got, last = [[]], own.to_pylist()
+        for k in at.tolist():
+            got.append([]) if k < 0 else got[-1].append(last[k])
+        assert [g for g in got if g] == [w for w in want if w] and (at[-1] < 0) == end
+    words = pa.array(["a", "b", "ab", "ba", "aa", "x" * 256, "x" * 257, "x" * 300, "ü"])
+    h = np.concatenate([phrases._hashes(lang, words, seed) for lang in ("en", "de") for seed in (0, 1)])
+    assert len(set(h.tolist())) == len(h) and 0 not in h
+    assert (phrases._hashes("en", words.slice(2, 5), 0) == h[2:7]).all() and len(phrases._hashes("en", words[:0], 0)) == 0
+
+
 def test_empty_tables_and_no_phrases(spark):
     df = spark.createDataFrame([("one two", "en"), (None, None), ("", "en")], "text string, lang string")
     assert phrases.mine(df.limit(0)).count() == 0
