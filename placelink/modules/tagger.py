@@ -11,7 +11,6 @@ from __future__ import annotations
 import io
 import re
 import zlib
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -33,9 +32,6 @@ from placelink.storage import Storage
 FEATURES, LONGEST, TOGETHER, TAGGED, TEXTS = 1 << 15, 64, 64, 1024, 1 << 18
 #: Ahead of a place in a text: the number of the text.
 _TEXT = 1 << 40
-_WORD = re.compile(r"\w+|[^\w\s]")
-_END = re.compile(r"[.!?]\s|\n")
-
 
 _SHAPES = [(re.compile(r"\d"), "0"), (re.compile(r"[^\W\d_]"), "a"), (re.compile(r"(.)\1+"), r"\1")]
 _PREFIX = {k: zlib.crc32(f"{k} ".encode()) for k in "wsphba"}
@@ -56,26 +52,63 @@ def _own(word: str, features: int) -> tuple[int, ...]:
     return tuple(c % features for c in (crc(whole, p["w"]), *ends, crc(whole, p["b"]), crc(whole, p["a"])))
 
 
+def _owns(words: list[str], features: int) -> np.ndarray:
+    """:func:`_own` of many words."""
+    crc, p = zlib.crc32, _PREFIX
+    low = [w.lower() for w in words]
+    whole = [w.encode() for w in low]
+    out = np.empty((len(words), 6), np.int64)
+    for k, c in ((0, "w"), (4, "b"), (5, "a")):
+        start = p[c]
+        out[:, k] = [crc(w, start) for w in whole]
+    start = p["s"]
+    out[:, 1] = [crc(w[-3:] if len(w) == len(t) else t[-3:].encode(), start) for w, t in zip(whole, low, strict=True)]
+    start = p["p"]
+    out[:, 2] = [crc(w[:3] if len(w) == len(t) else t[:3].encode(), start) for w, t in zip(whole, low, strict=True)]
+    out[:, 3] = crc(b"a", p["h"])
+    for k, w in enumerate(words):
+        if not w.isalpha():
+            out[k, 3] = _own(w, 1 << 32)[3]
+    return out % features
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """What each code point is: 0 a blank, 1 of a word, 2 a word by itself."""
+    every = "".join(map(chr, range(0x110000)))
+    out = np.full(len(every), 2, np.uint8)
+    for pattern, kind in ((r"\w+", 1), (r"\s+", 0)):
+        for m in re.finditer(pattern, every):
+            out[m.start() : m.end()] = kind
+    return out
+
+
 class Words:
     """Words of some texts, one after another: the text, start, end and sequence of each, and sizes of sequences."""
 
     def __init__(self, texts: list[str]):
-        key: defaultdict[str, int] = defaultdict()
-        key.default_factory = key.__len__
-        ids, starts, counts, groups = [], [], [], []
-        for text in texts:
-            own = _WORD.findall(text)
-            ids += map(key.__getitem__, own)
-            starts += [m.start() for m in _WORD.finditer(text)]
-            counts.append(len(own))
-            groups.append([m.end() for m in _END.finditer(text)])
-        self.ids, self.known = np.array(ids, np.int64), list(key)
-        self.start = np.array(starts, np.int64)
-        self.end = self.start + np.array([len(w) for w in self.known], np.int64)[self.ids]
-        self.text = np.repeat(np.arange(len(texts)), counts)
-        ends = np.array([k * _TEXT + e for k, own in enumerate(groups) for e in own], np.int64)
+        whole = "\n".join(texts)
+        points, raw = np.frombuffer(whole.encode("utf-32-le"), np.uint32), np.frombuffer(whole.encode(), np.uint8)
+        kind = _kinds()[points]
+        inside, alone = kind == 1, kind == 2
+        edge = inside[1:] != inside[:-1]
+        begun, done = inside | alone, inside | alone
+        begun[1:] &= edge | alone[1:]
+        done[:-1] &= edge | alone[:-1]
+        start, end = np.flatnonzero(begun), np.flatnonzero(done) + 1
+        first = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw)) if len(raw) > len(points) else np.arange(len(raw) + 1)
+        held = raw[np.repeat(kind > 0, np.diff(first))]
+        cuts = np.append(0, np.cumsum(first[end] - first[start])).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(start), pa.py_buffer(cuts), pa.py_buffer(held)).dictionary_encode()
+        self.ids, self.known = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+        size = np.array([len(t) + 1 for t in texts], np.int64)
+        base = np.cumsum(size) - size
+        self.text = np.searchsorted(base, start, "right") - 1
+        self.start, self.end = start - base[self.text], end - base[self.text]
+        stop = (points == 33) | (points == 46) | (points == 63)
+        ends = np.sort(np.concatenate([np.flatnonzero(stop[:-1] & (kind[1:] == 0)) + 2, np.flatnonzero(points == 10) + 1]))
         # a sentence is told by how many ends lie before its words
-        group = np.searchsorted(ends, self.text * _TEXT + self.start, "right")
+        group = np.searchsorted(ends, start, "right")
         at = np.arange(len(self.ids))
         new = np.ones(len(at), bool)
         new[1:] = (group[1:] != group[:-1]) | (self.text[1:] != self.text[:-1])
@@ -84,7 +117,7 @@ class Words:
 
     def features(self, features: int = FEATURES) -> np.ndarray:
         """The features of each word: its own four, one of the word before and one of the word after."""
-        told = np.array([_own(w, features) for w in self.known], np.int64).reshape(-1, 6)[self.ids]
+        told = _owns(self.known, features)[self.ids]
         edge = zlib.crc32(b"edge") % features
         out = told.copy()
         last = np.append(self.first[1:], True)[: len(out)]
@@ -158,7 +191,10 @@ class Tagger:
         place = np.arange(len(features)) - np.repeat(np.cumsum(size) - size, size)
         at = ends[place] + np.repeat(rank, size)  # words lie by place, then by sequence
         emitted = np.empty((len(features), self.after.shape[1]))
-        emitted[at] = self.weights[features].sum(axis=1)
+        total = self.weights.take(features[:, 0], axis=0)
+        for k in range(1, features.shape[1]):
+            total += self.weights.take(features[:, k], axis=0)
+        emitted[at] = total
         step = self.after + self.banned
         into = np.ascontiguousarray(step[:-1].T)
         starts = ends.tolist()

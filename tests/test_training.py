@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from placelink.modules import HashEncoder, SimilarityResolver, TaggerRecognizer, TwoTowers
 from placelink.modules.encoder import trained
 from placelink.modules.sums import summed
-from placelink.modules.tagger import FEATURES, Tagger, featured, sequences, train
+from placelink.modules.tagger import FEATURES, Tagger, Words, _own, _owns, featured, sequences, train
 from placelink.operators import spans
 
 PLACES = ["Aldmoor", "Brackwell", "Castorham", "Dunleigh", "Eastmere", "Farwick", "Glenholt", "Harrowby"]
@@ -51,6 +52,19 @@ def test_sequences_cover_all_words():
     assert [len(s) for s in parts] == [3, 1, 2, 64, 64, 22] and sequences("") == sequences("  ") == []
 
 
+def test_words_of_all_texts_are_found_at_once_and_are_those_of_the_rule():
+    rng = random.Random(1)
+    held = ["", "  ", "\n", "Ünder 日本 x́y. z!\nq?", ".", " .\n.", "\x1c x\x85y \xa0", "😀 b_1 ١٢", "İx 12-ab", *("".join(rng.choice("aÜ. !?\n\t_1日😀-") for _ in range(rng.randint(0, 30))) for _ in range(300))]
+    words = Words(held)
+    want = [(k, m.start(), m.end(), m.group()) for k, t in enumerate(held) for m in re.finditer(r"\w+|[^\w\s]", t)]
+    assert list(zip(words.text.tolist(), words.start.tolist(), words.end.tolist(), (words.known[i] for i in words.ids), strict=True)) == want
+    ends = [[m.end() for m in re.finditer(r"[.!?]\s|\n", t)] for t in held]
+    group = [(k, sum(e <= a for e in ends[k])) for k, a, *_ in want]
+    assert words.sizes.tolist() == [len(list(g)) for _, g in itertools.groupby(group)]
+    assert _owns(words.known, FEATURES).tolist() == [list(_own(w, FEATURES)) for w in words.known]
+    assert not len(Words([]).ids) and not len(Words([""]).features())
+
+
 def test_decoding_finds_the_best_labels():
     rng = np.random.default_rng(3)
     tagger = Tagger(["A", "B"], rng.standard_normal((FEATURES, 5)), rng.standard_normal((6, 5)))
