@@ -126,6 +126,15 @@ class Words:
         return out
 
 
+def _by_size(features: np.ndarray, labels: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same sequences, shorter ones first: those that are decoded together take as many steps as the longest has words."""
+    order = np.argsort(sizes, kind="stable")
+    first = (np.cumsum(sizes) - sizes)[order]
+    sizes = sizes[order]
+    at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(labels))
+    return features[at], labels[at], sizes
+
+
 def _batched(texts: Iterable[tuple]) -> Iterator[list[tuple]]:
     """``(text, ...)`` rows by some ``TEXTS`` code points."""
     held, size = [], 0
@@ -323,9 +332,9 @@ class Tagger:
             shift = words.text * _TEXT
             start, end = (np.concatenate([k * _TEXT + r[c] for k, r in enumerate(held)]) for c in (1, 2))
             labels = self.labels(shift + words.start, shift + words.end, words.first, start, end, np.concatenate([r[3] for r in held]))
-            kept = tuple(np.concatenate(c) for c in zip(kept, (words.features(), labels, words.sizes), strict=True))
+            kept = _by_size(*(np.concatenate(c) for c in zip(kept, (words.features(), labels, words.sizes), strict=True)))
             ends, full = np.append(0, np.cumsum(kept[2])), len(kept[2]) // TOGETHER * TOGETHER
-            for k in range(0, full, TOGETHER):
+            for k in (np.random.default_rng(full).permutation(full // TOGETHER) * TOGETHER).tolist():
                 own = slice(ends[k], ends[k + TOGETHER])
                 yield kept[0][own], kept[1][own], kept[2][k : k + TOGETHER]
             kept = kept[0][ends[full] :], kept[1][ends[full] :], kept[2][full:]

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,21 @@ def test_words_of_all_texts_are_found_at_once_and_are_those_of_the_rule():
     assert not len(Words([]).ids) and not len(Words([""]).features())
 
 
+def test_sequences_of_like_sizes_are_learnt_from_together():
+    rows = [(t, e) for _, t, e in texts(300, 5)] + [("x " * 60 + ".", [])] * 7 + [("", [])]
+    (batch,) = pa.Table.from_pylist([{"text": t, "entities": e} for t, e in rows], pa.schema([("text", pa.string()), ("entities", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string())])))])).to_batches()
+    tagger, plain = Tagger(["LOC", "GPE"]), []
+    for t, e in rows:
+        plain += [(featured(t, own).tolist(), tagger.gold(own, e).tolist()) for own in sequences(t)]
+    got, steps = [], 0
+    for features, labels, sizes in tagger.drawn(iter([batch])):
+        ends = np.cumsum(sizes)
+        got += [(features[b - n : b].tolist(), labels[b - n : b].tolist()) for b, n in zip(ends, sizes, strict=True)]
+        steps += sizes.max()
+    assert sorted(got) == sorted(plain)  # each sequence once
+    assert steps < 2 * sum(len(f) for f, _ in plain) / 64
+
+
 def test_decoding_finds_the_best_labels():
     rng = np.random.default_rng(3)
     tagger = Tagger(["A", "B"], rng.standard_normal((FEATURES, 5)), rng.standard_normal((6, 5)))
